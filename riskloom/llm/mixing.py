@@ -66,14 +66,14 @@ def plan(docs: DataFrame, block: int = 128, shards: int = 16, seed: int = 1) ->
     epoch = F.floor(F.col("slot") / F.col("n"))
     slots = slots.select("sid", "slot", ((F.pmod(F.col("slot"), F.col("n")) * F.pmod(prime, F.col("n")) + F.pmod(F.xxhash64("sid", epoch, F.lit(seed)), F.col("n"))) % F.col("n")).alias("index"), F.pmod(F.xxhash64("sid", "slot", F.lit(seed), F.lit("shard")), F.lit(shards)).cast("int").alias("shard"))
     times = slots.groupBy("sid", "index").agg(F.count("*").alias("times"), F.sort_array(F.collect_list("shard")).alias("shards"))
-    return placed, parts.join(times, ["sid", "index"])
+    return placed, parts.hint("merge").join(times, ["sid", "index"])
 
 
 def mixed_counts(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     placed, parts = plan(docs, **how)
     taken = stash(parts.groupBy("sid", "off").agg(F.sum(F.col("words") * F.col("times")).alias("taken")), "mix-taken")
-    used = placed.filter("size > 0").join(taken, ["sid", "off"], "left").unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    used = placed.filter("size > 0").hint("merge").join(taken, ["sid", "off"], "left").unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return used.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -103,7 +103,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     placed, parts = plan(docs, **how)
     of = parts.groupBy("sid", "off").agg(F.collect_list(F.struct(F.col("first").cast("long"), F.col("words").cast("long"), F.col("times").cast("long"))).alias("parts"))
-    of = placed.join(stash(of, "mix-parts"), ["sid", "off"], "left").groupBy("k").agg(F.first("size").alias("size"), F.first("parts", ignorenulls=True).alias("parts"))
+    of = placed.hint("merge").join(stash(of, "mix-parts"), ["sid", "off"], "left").groupBy("k").agg(F.first("size").alias("size"), F.first("parts", ignorenulls=True).alias("parts"))
     names = docs.columns
     keyed = docs.withColumn("__k", row_key("doc_id", "text")).join(stash(of, "mix-of").withColumnRenamed("k", "__k").withColumnRenamed("parts", "__parts").withColumnRenamed("size", "__size"), "__k").filter("__size = 0 or __parts is not null").select(*names, "__parts", "__size")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, eb_classifier, mixing, pivot_index, quality_rules, sharding, warc
+from . import bpe, chat_format, eb_classifier, jaccard_join, mixing, pivot_index, quality_rules, sharding, suffix_dedup, warc
 from .common import read
 
 
@@ -17,6 +17,14 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(read(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eb_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -44,5 +52,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_vectors, op5_quality_classifier, op6_sharding, op7_chat_format, op8_warc, op9_mixing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_vectors, op3_jaccard_join, op4_suffix_dedup, op5_quality_classifier, op6_sharding, op7_chat_format, op8_warc, op9_mixing, op10_bpe)}
 ORACLES: dict[str, str] = {}
