@@ -31,7 +31,16 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stash_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stash_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
