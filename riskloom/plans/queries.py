@@ -55,7 +55,8 @@ def _past(agg: str, scope: str, window: int | None, where: str = "TRUE", lag: in
     return f"SELECT p.txn_id, {f'round({x}, 5)' if rounded else x} AS value FROM tx p"
 
 
-_c, _ = F.col, None
+_c = F.col
+_OTHERS = "(SELECT CASE WHEN sd > 0.00004 THEN abs(CAST(p.amount AS DOUBLE) - m) / sd END FROM (SELECT avg(CAST(h.amount AS DOUBLE)) AS m, stddev_samp(CAST(h.amount AS DOUBLE)) AS sd FROM tx h WHERE h.account_id = p.account_id AND h.t <= p.t AND h.txn_id <> p.txn_id))"
 CNP = {"op": "and", "args": [{"op": "eq", "col": "channel", "value": "cnp"}, {"op": "eq", "col": "auth_result", "value": "approved"}]}
 MID = {"op": "between", "col": "amount", "value": [20, 60]}
 
@@ -72,11 +73,11 @@ _feature("bool_not_exists", lambda x: x.withColumn("value", reducers.bool_not_ex
 _feature("zscore", lambda x: x.withColumn("value", reducers.zscore(F.lit(True), "amount", trailing("account_id", "7d"))), _past("(max(CAST(amount AS DOUBLE)) - avg(CAST(amount AS DOUBLE))) / nullif(stddev_samp(CAST(amount AS DOUBLE)), 0)", "account_id", WEEK))
 _feature("rate_ratio", lambda x: x.withColumn("value", reducers.rate_ratio(F.lit(True), "card_id", "1d", "30d")), f"SELECT p.txn_id, round((SELECT (count(*) FILTER (h.t > p.t - {DAY}) / 86400.0) / nullif(count(*) / 2592000.0, 0) FROM tx h WHERE h.card_id = p.card_id AND h.t <= p.t AND h.t > p.t - {30 * DAY}), 5) AS value FROM tx p")
 _feature("out_over_in", lambda x: x.withColumn("value", reducers.out_over_in("amount", trailing("account_id", "7d"))), _past("CASE WHEN sum(amount) FILTER (direction = 'inbound') > 0 THEN coalesce(CAST(sum(amount) FILTER (direction = 'outbound') AS DOUBLE), 0) / CAST(sum(amount) FILTER (direction = 'inbound') AS DOUBLE) END", "account_id", WEEK))
-_feature("zscore_of_self", lambda x: x.withColumn("value", reducers.zscore_of_self("amount", trailing("account_id"))), _past("CASE WHEN stddev_samp(CAST(h.amount AS DOUBLE)) > 0.00004 THEN abs(CAST(any_value(p.amount) AS DOUBLE) - avg(CAST(h.amount AS DOUBLE))) / stddev_samp(CAST(h.amount AS DOUBLE)) END", "account_id", None, "h.txn_id <> p.txn_id"))
+_feature("zscore_of_self", lambda x: x.withColumn("value", reducers.zscore_of_self("amount", trailing("account_id"))), f"SELECT p.txn_id, round({_OTHERS}, 5) AS value FROM tx p")
 _feature("in_reference_set", lambda x: x.withColumn("value", reducers.in_reference_set("mcc", [3, 5, 7])), "SELECT txn_id, mcc IN (3, 5, 7) AS value FROM tx")
 _feature("eq_const", lambda x: x.withColumn("value", reducers.eq_const("channel", "pos")), "SELECT txn_id, channel = 'pos' AS value FROM tx")
 _feature("min_gap", lambda x: reducers.min_gap(x, "account_id"), "SELECT p.txn_id, round((SELECT min((o.t - i.t) / 6e7) FROM tx o JOIN tx i ON i.account_id = o.account_id AND i.t <= o.t WHERE o.account_id = p.account_id AND o.t <= p.t AND o.direction = 'outbound' AND i.direction = 'inbound'), 5) AS value FROM tx p")
-_feature("age_minutes_latest", lambda x: reducers.age_minutes_latest(x, "account_id", _c("direction") == "inbound"), _past("(any_value(p.t) - max(h.t)) / 6e7", "account_id", None, "direction = 'inbound'"))
+_feature("age_minutes_latest", lambda x: reducers.age_minutes_latest(x, "account_id", _c("direction") == "inbound"), "SELECT p.txn_id, round((p.t - (SELECT max(h.t) FROM tx h WHERE h.account_id = p.account_id AND h.t <= p.t AND h.direction = 'inbound')) / 6e7, 5) AS value FROM tx p")
 _feature("age_minutes", lambda x: reducers.age_minutes(x, x.groupBy("device_id").agg((F.min("t") + DAY).alias("t0")), "device_id"), f"SELECT txn_id, round(CASE WHEN t0 <= t THEN (t - t0) / 6e7 END, 5) AS value FROM tx JOIN (SELECT device_id AS d, min(t) + {DAY} AS t0 FROM tx GROUP BY 1) ON d = device_id")
 _feature("geo_jump_km", lambda x: reducers.geo_jump(x, "card_id"), """, seen AS (SELECT p.txn_id, p.t AS pt, h.t, h.lat, h.lon, row_number() OVER (PARTITION BY p.txn_id ORDER BY h.t DESC, h.lat DESC, h.lon DESC) AS r FROM tx p JOIN tx h ON h.card_id = p.card_id AND h.t <= p.t AND h.lat IS NOT NULL),
  a AS (SELECT txn_id, lat AS la, lon AS lo FROM seen WHERE r = 1), b AS (SELECT s.txn_id, arg_min(s.lat, s.r) AS lat, arg_min(s.lon, s.r) AS lon FROM seen s JOIN a ON a.txn_id = s.txn_id WHERE s.lat <> la OR s.lon <> lo GROUP BY 1)
@@ -167,7 +168,7 @@ def _literal(rows) -> str:
 
 
 _LEDGER = f"""WITH {TX}, f AS (SELECT p.txn_id AS subject, (SELECT count(*) FROM tx h WHERE h.account_id = p.account_id AND h.t <= p.t AND h.t > p.t - {WEEK}) AS n7, CAST(amount AS DOUBLE) AS amt, CAST(mcc AS DOUBLE) AS mcc,
- (SELECT round(CASE WHEN stddev_samp(CAST(h.amount AS DOUBLE)) > 0.00004 THEN abs(CAST(any_value(p.amount) AS DOUBLE) - avg(CAST(h.amount AS DOUBLE))) / stddev_samp(CAST(h.amount AS DOUBLE)) END, 6) FROM tx h WHERE h.account_id = p.account_id AND h.t <= p.t AND h.txn_id <> p.txn_id) AS z FROM tx p),
+ round({_OTHERS}, 6) AS z FROM tx p),
  v AS (SELECT subject, 'n7' AS feature, CAST(n7 AS DOUBLE) AS value FROM f UNION ALL SELECT subject, 'amt', amt FROM f UNION ALL SELECT subject, 'z', z FROM f UNION ALL SELECT subject, 'mcc', mcc FROM f),
  c(rule_id, condition_id, feature, op, operand, points, required) AS (VALUES {_literal(CONDITIONS)}), ru(rule_id, action, severity, preventive, is_veto, review, prevent) AS (VALUES {_literal(RULES)}),
  l0 AS (SELECT v.subject, c.*, ru.* EXCLUDE (rule_id), v.value IS NULL AS missing, coalesce(CASE op WHEN '>' THEN value > operand WHEN '>=' THEN value >= operand WHEN '<' THEN value < operand WHEN '=' THEN value = operand WHEN '!=' THEN value <> operand END, FALSE) AS fired FROM v JOIN c ON c.feature = v.feature JOIN ru ON ru.rule_id = c.rule_id),
