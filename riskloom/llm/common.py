@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -52,6 +53,18 @@ def row_key(*cols: str):
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols])
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Fewer rows in an Arrow batch for jobs that run inside: bounds a Python worker's memory where rows are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # ---------------------------------------------------------------- membership filter of bounded size
 
 MAX_FILTER_BITS = 1 << 28

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, components, key_filter, release, row_key, stash
+from .common import Forest, components, key_filter, release, row_key, small_batches, stash
 from .textops import mix, shingles, text_bytes
 
 PARTS, BAND = 30, 3
@@ -100,7 +100,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, tag: str) -> DataF
     """The pairs (u, v) that link; each is decided on its whole sets."""
     pairs = stash(pairs, tag + "-pairs")
     ids = stash(pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct(), tag + "-ids")
-    sets = stash(_sets_of(texts, ids, "k"), tag + "-sets")
+    with small_batches(pairs.sparkSession, 1000):
+        sets = stash(_sets_of(texts, ids, "k"), tag + "-sets")
     met = pairs.hint("merge").join(sets.select(F.col("k").alias("u"), F.col("s").alias("a")), "u").hint("merge").join(sets.select(F.col("k").alias("v"), F.col("s").alias("b")), "v")
 
     def run(batches):
@@ -109,7 +110,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, tag: str) -> DataF
         for b in batches:
             out = []
             for u, v, x, y in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), b.column("a"), b.column("b"), strict=True):
-                if held > 1_000_000:
+                if held > 200_000:
                     ready.clear()
                     held = 0
                 for k, s in ((u, x), (v, y)):
@@ -119,7 +120,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, tag: str) -> DataF
                 out.append(linked(ready[u], ready[v], percent))
             yield b.select(["u", "v"]).filter(pa.array(out, pa.bool_()))
 
-    links = stash(met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), tag + "-links")
+    with small_batches(pairs.sparkSession, 128):
+        links = stash(met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), tag + "-links")
     release(pairs, ids, sets)
     return links
 
@@ -140,7 +142,8 @@ def _pairs(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, percent: int = 80, crowd: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; k (a hash of id and text) tells rows apart."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row_key("doc_id", "text").alias("k"))
-    described = stash(texts.select("doc_id", "k", "text").mapInArrow(_describe(percent), "doc_id long, k long, n long, d1 long, d2 long, bands array<long>, posts array<long>"), "jac-sets")
+    with small_batches(docs.sparkSession, 1000):
+        described = stash(texts.select("doc_id", "k", "text").mapInArrow(_describe(percent), "doc_id long, k long, n long, d1 long, d2 long, bands array<long>, posts array<long>"), "jac-sets")
     rows = stash(described.select("doc_id", "k", "n", "d1", "d2"), "jac-rows")
     classes = stash(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("k").alias("k"), F.min("doc_id").alias("min_id"), F.max("n").alias("n")), "jac-classes")
     reps = described.hint("merge").join(classes.select("k", "d1", "d2"), ["k", "d1", "d2"], "left_semi").dropDuplicates(["k"])
