@@ -102,7 +102,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Rows of equal id and text are cut alike, each by the parts of the first. Documents of no words stay as they are.
     """
     placed, parts = plan(docs, **how)
-    of = parts.groupBy("sid", "off").agg(F.collect_list(F.struct(F.col("first").cast("long"), F.col("words").cast("long"), F.col("times").cast("long"))).alias("parts"))
+    of = parts.groupBy("sid", "off").agg(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("words").cast("long").alias("words"), F.col("times").cast("long").alias("times"))).alias("parts"))
     of = placed.hint("merge").join(stash(of, "mix-parts"), ["sid", "off"], "left").groupBy("k").agg(F.first("size").alias("size"), F.first("parts", ignorenulls=True).alias("parts"))
     names = docs.columns
     keyed = docs.withColumn("__k", row_key("doc_id", "text")).join(stash(of, "mix-of").withColumnRenamed("k", "__k").withColumnRenamed("parts", "__parts").withColumnRenamed("size", "__size"), "__k").filter("__size = 0 or __parts is not null").select(*names, "__parts", "__size")
