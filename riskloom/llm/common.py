@@ -31,7 +31,8 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # the table replaces its shuffles
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
@@ -54,17 +55,21 @@ def row_key(*cols: str):
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Fewer rows in an Arrow batch for jobs that run inside: bounds a Python worker's memory where rows are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value):
+    """A setting of the session for jobs that run inside."""
     before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession, rows: int):
+    """Fewer rows in an Arrow batch for jobs that run inside: bounds a Python worker's memory where rows are long."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 # ---------------------------------------------------------------- membership filter of bounded size
 
 MAX_FILTER_BITS = 1 << 28

@@ -100,7 +100,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, tag: str) -> DataF
     """The pairs (u, v) that link; each is decided on its whole sets."""
     pairs = stash(pairs, tag + "-pairs")
     ids = stash(pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct(), tag + "-ids")
-    with small_batches(pairs.sparkSession, 1000):
+    with small_batches(pairs.sparkSession, 256):
         sets = stash(_sets_of(texts, ids, "k"), tag + "-sets")
     met = pairs.hint("merge").join(sets.select(F.col("k").alias("u"), F.col("s").alias("a")), "u").hint("merge").join(sets.select(F.col("k").alias("v"), F.col("s").alias("b")), "v")
 
@@ -142,7 +142,7 @@ def _pairs(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, percent: int = 80, crowd: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; k (a hash of id and text) tells rows apart."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row_key("doc_id", "text").alias("k"))
-    with small_batches(docs.sparkSession, 1000):
+    with small_batches(docs.sparkSession, 256):
         described = stash(texts.select("doc_id", "k", "text").mapInArrow(_describe(percent), "doc_id long, k long, n long, d1 long, d2 long, bands array<long>, posts array<long>"), "jac-sets")
     rows = stash(described.select("doc_id", "k", "n", "d1", "d2"), "jac-rows")
     classes = stash(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("k").alias("k"), F.min("doc_id").alias("min_id"), F.max("n").alias("n")), "jac-classes")
@@ -165,8 +165,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, crowd: int = 8) -> Da
     lists = _listed(posts, crowd, "jac-lists")
     light = lists.filter("not crowded")
     candidates = _pairs(light, light, percent).filter("u < v")
-    more, last = _short_pairs(sets, keyed, posts, lists, percent, crowd)
-    late = _verify(candidates.unionByName(more).distinct(), keyed, percent, "jac-late")
+    more, last, spent = _short_pairs(sets, keyed, posts, lists, percent, crowd)
+    met = stash(candidates.unionByName(more).distinct(), "jac-met")
+    release(lists, sets, *spent)
+    late = _verify(met, keyed, percent, "jac-late")
     if last is not None and not last.isEmpty():
         late = late.unionByName(_crowd_links(last, keyed, percent))
 
@@ -178,8 +180,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, crowd: int = 8) -> Da
     return full.select("doc_id", "k", F.col("n").alias("n_shingles"), "component_id").unionByName(rows.filter("n = 0").select("doc_id", "k", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _short_pairs(sets: DataFrame, keyed: DataFrame, posts: DataFrame, lists: DataFrame, percent: int, crowd: int) -> tuple[DataFrame, DataFrame | None]:
-    """Candidates of the sets that lost too many posted tokens to crowded lists, by all their tokens.
+def _short_pairs(sets: DataFrame, keyed: DataFrame, posts: DataFrame, lists: DataFrame, percent: int, crowd: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """Candidates of the sets that lost too many posted tokens to crowded lists, by all their tokens; those that only crowded tokens
+    can join; tables that nothing needs once the candidates are written.
 
     Their further tokens may crowd other lists, and these make other sets short; so it goes round until no set becomes short.
     """
@@ -187,14 +190,16 @@ def _short_pairs(sets: DataFrame, keyed: DataFrame, posts: DataFrame, lists: Dat
     sized = sets.select("k", "n", "root", need.cast("long").alias("need"), stored.cast("long").alias("stored"))
     gone = stash(lists.filter("crowded").select("token", "k"), "jac-crowded")
     none = sets.sparkSession.createDataFrame([], "u long, v long")
-    count, out = 0, none
+    count, out, spent = 0, none, []
     while True:
         lost = gone.groupBy("k").agg(F.count("*").alias("lost"))
         short = stash(sized.hint("merge").join(lost, "k").filter("stored - lost < need").drop("lost"), "jac-short")
         now = short.count()
         if now == count:
+            release(short)
             break
         count = now
+        release(*spent)
         crowded = stash(gone.select("token").distinct(), "jac-tokens")
         flagged = _all_tokens(keyed, short).hint("merge").join(crowded.withColumn("c", F.lit(True)), "token", "left").withColumn("c", F.coalesce("c", F.lit(False)))
         flagged = stash(flagged, "jac-flagged")
@@ -209,17 +214,19 @@ def _short_pairs(sets: DataFrame, keyed: DataFrame, posts: DataFrame, lists: Dat
         found = _listed(others.unionByName(further), crowd, "jac-further")
         light = found.filter("not crowded")
         out = _pairs(light, light, percent)
-        gone = stash(gone.unionByName(found.filter("crowded").select("token", "k")).distinct(), "jac-crowded")
+        before, gone = gone, stash(gone.unionByName(found.filter("crowded").select("token", "k")).distinct(), "jac-crowded")
+        spent = [short, crowded, flagged, found, before]
     if not count:
-        return none, None
+        return none, None, [gone]
     # sets with fewer uncrowded tokens than they must post: their crowded tokens, in hash order, among themselves
     crowded = gone.select("token").distinct().withColumn("x", F.lit(True))
-    flagged = stash(flagged.drop("c").hint("merge").join(crowded, "token", "left").withColumn("c", F.coalesce("x", F.lit(False))).drop("x"), "jac-flagged")
-    free = flagged.groupBy("k").agg(F.sum(F.when(F.col("c"), 0).otherwise(1)).alias("free"))
-    last = flagged.filter("c").hint("merge").join(free, "k").filter("free < need")
+    again = stash(flagged.drop("c").hint("merge").join(crowded, "token", "left").withColumn("c", F.coalesce("x", F.lit(False))).drop("x"), "jac-flagged")
+    free = again.groupBy("k").agg(F.sum(F.when(F.col("c"), 0).otherwise(1)).alias("free"))
+    last = again.filter("c").hint("merge").join(free, "k").filter("free < need")
     last = last.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("at"))).filter("r <= need - free").select("token", "k", "root", "n")
     last = stash(last, "jac-last")
-    return out.filter("u < v"), last
+    release(again, gone)
+    return out.filter("u < v"), last, spent
 
 
 def _crowd_links(last: DataFrame, keyed: DataFrame, percent: int, block: int = 256) -> DataFrame:
