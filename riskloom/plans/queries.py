@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates
 from ..functions.windows import micros, trailing
-from ..operators import cases, pit, reducers, rules
+from ..operators import cases, exposure, pit, reducers, rules
 from ..sources.tables import entity_links, transactions
 
 DAY, WEEK = micros("1d"), micros("7d")
@@ -237,6 +237,35 @@ def exposure_account(spark, sf_dir):
     return x.select("txn_id", F.coalesce(reducers.total(_c("direction") == "outbound", "amount", trailing("account_id", "90d")), F.lit(0)).alias("exposure"))
 
 
+def _exposure_sql(kind: str, key: str, days: int, where: str) -> str:
+    name = "outbound" if kind == "account" else "volume"
+    return f"SELECT p.txn_id, '{kind}' AS subject_type, '{name}_{days}d' AS basis, coalesce((SELECT sum(h.amount) FROM tx h WHERE h.{key} = p.{key} AND {where} AND h.t <= p.t AND h.t > p.t - {days * DAY}), 0)::DECIMAL(28,4) AS exposure FROM tx p"
+
+
+@query("exposure_all", f"WITH {TX} SELECT txn_id, 'transaction' AS subject_type, 'amount' AS basis, amount::DECIMAL(28,4) AS exposure FROM tx UNION ALL " + " UNION ALL ".join(_exposure_sql(kind, f"{kind}_id", 90 if kind == "account" else 30, "h.direction = 'outbound'" if kind == "account" else "TRUE") for kind in ("account", "card", "device", "merchant")))
+def exposure_all(spark, sf_dir):
+    return exposure.exposures(transactions(spark, sf_dir), {k: f"{k}_id" for k in ("account", "card", "device", "merchant")})
+
+
+_ISSUES = "SELECT subject, action AS action, channel FROM d JOIN (VALUES ('challenge', 'high', 'push'), ('challenge', 'elevated', 'sms'), ('challenge', 'low', 'sms')) c(action, band, channel) USING (action, band)"
+
+
+@query("actions_issued", _DECIDE + f" {_ISSUES} UNION ALL SELECT subject, 'notify', CASE band WHEN 'high' THEN 'queue' ELSE 'inbox' END FROM d WHERE source_rule IS NOT NULL")
+def actions_issued(spark, sf_dir):
+    """A preventive action and a notice for each decision with a source rule, each with the channel of its action and band."""
+    channels = [("challenge", "high", "push"), ("challenge", "elevated", "sms"), ("challenge", "low", "sms"), ("notify", "high", "queue"), ("notify", "elevated", "inbox"), ("notify", "low", "inbox")]
+    d = decisions(spark, sf_dir).filter("source_rule is not null")
+    issued = d.select("subject", "band", F.explode(F.array_compact(F.array(F.when(_c("action") == "challenge", _c("action")), F.lit("notify")))).alias("action"))
+    return issued.join(F.broadcast(spark.createDataFrame(channels, "action string, band string, channel string")), ["action", "band"], "left").select("subject", "action", "channel")
+
+
+@query("rule_catalog", _LEDGER + " SELECT rule_id, condition_id, points, CASE WHEN n_fired = 0 THEN 'never fired' WHEN points >= 0 THEN 'aggravating' ELSE 'mitigating' END AS standing, n_fired FROM (SELECT rule_id, condition_id, any_value(points) AS points, count(*) FILTER (fired) AS n_fired FROM l GROUP BY 1, 2)")
+def rule_catalog(spark, sf_dir):
+    """Each condition with its direction, or that it never fired."""
+    by = _rows(spark, sf_dir).groupBy("rule_id", "condition_id").agg(F.first("points").alias("points"), F.count_if("fired").alias("n_fired"))
+    return by.select("rule_id", "condition_id", "points", F.when(_c("n_fired") == 0, "never fired").when(_c("points") >= 0, "aggravating").otherwise("mitigating").alias("standing"), "n_fired")
+
+
 @query("case_routing", None)
 def case_routing(spark, sf_dir):
     d = decisions(spark, sf_dir).join(transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "t", "account_id"), "subject")
