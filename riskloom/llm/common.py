@@ -92,8 +92,9 @@ class KeyFilter:
 
 
 def key_filter(keys: DataFrame, col: str):
-    """A broadcast KeyFilter of column col (64-bit hashes). What reaches the driver is the bits, of bounded size, not the keys."""
-    spark, n = keys.sparkSession, keys.count()
+    """A broadcast KeyFilter of column col (64-bit hashes, repeated or not). What reaches the driver is the bits, of bounded size, not
+    the keys. The estimate of distinct keys only sizes the filter."""
+    spark, n = keys.sparkSession, keys.agg(F.approx_count_distinct(col)).first()[0]
     log2 = min(28, max(16, int(16 * max(n, 1)).bit_length()))
     low = (1 << log2) - 1
     c = F.col(col)
@@ -111,20 +112,20 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
 
     Alternating large-star and small-star rounds. Minima come from map-side combined aggregates; they are written before
     the join back, so that both join sides are plain shuffles and a hub's rows can be split by adaptive execution.
+    Ends when the edges are stars: each u has one edge and is no v.
     """
     e = stash(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
-    state = None
     while True:
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("top")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("top")))
+        most = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("top").alias("top")).agg(F.coalesce(F.max(F.col("child") + F.col("top")), F.lit(0))).first()[0]
+        if most <= 1:
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), tag)
         large = stash(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), tag)
         low = stash(large.groupBy("u").agg(F.min("v").alias("m")), tag)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         e = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), tag)
-        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == state:
-            break
-        state = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -99,7 +99,7 @@ def linked(a: tuple, b: tuple, percent: int) -> bool:
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int, tag: str) -> DataFrame:
     """The pairs (u, v) that link; each is decided on its whole sets."""
     pairs = stash(pairs, tag + "-pairs")
-    ids = stash(pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct(), tag + "-ids")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("k"))
     with small_batches(pairs.sparkSession, 256):
         sets = stash(_sets_of(texts, ids, "k"), tag + "-sets")
     met = pairs.hint("merge").join(sets.select(F.col("k").alias("u"), F.col("s").alias("a")), "u").hint("merge").join(sets.select(F.col("k").alias("v"), F.col("s").alias("b")), "v")
@@ -122,7 +122,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, tag: str) -> DataF
 
     with small_batches(pairs.sparkSession, 128):
         links = stash(met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), tag + "-links")
-    release(pairs, ids, sets)
+    release(pairs, sets)
     return links
 
 
@@ -204,7 +204,7 @@ def _short_pairs(sets: DataFrame, keyed: DataFrame, posts: DataFrame, lists: Dat
         flagged = _all_tokens(keyed, short).hint("merge").join(crowded.withColumn("c", F.lit(True)), "token", "left").withColumn("c", F.coalesce("c", F.lit(False)))
         flagged = stash(flagged, "jac-flagged")
         further = flagged.filter("not c and at >= stored").select("token", "k", "root", "n", F.lit(True).alias("further"))
-        meets = key_filter(further.select("token").distinct(), "token")
+        meets = key_filter(further, "token")
 
         def same(batches, meets=meets):
             for b in batches:
