@@ -101,7 +101,7 @@ def _verify(table: pa.Table, min_cosine: float, probes: int, shared: int) -> pa.
     return pa.table({"u": pa.array(ids[at].tolist() + [e[0] for e in edges], pa.int64()), "v": pa.array([None] * n + [e[1] for e in edges], pa.int64()), "links": pa.array(links[at].tolist() + [0] * m, pa.int64())})
 
 
-def near_vectors(vectors: DataFrame, min_cosine: float = 0.98, prefix: int = 12, probes: int = 4, shared: int = 4, block: int = 192) -> DataFrame:
+def near_vectors(vectors: DataFrame, min_cosine: float = 0.98, prefix: int = 24, probes: int = 12, shared: int = 2, block: int = 192) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     e = F.col("embedding")
