@@ -1,7 +1,7 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors, the first by a hash of the id. Each vector is described by its
-nearest pivots in order. It is posted in the inverted list of its nearest one and looked up in the lists of its `probes` nearest.
+Reference points (pivots) are a bounded sample of the vectors, the first by a hash of the id, without those within twice the linking
+angle of an earlier one: a group of near copies has few pivots however large it is. Each vector is described by its nearest pivots in order. It is posted in the inverted list of its nearest one and looked up in the lists of its `probes` nearest.
 Within a list, pairs that share at least `shared` of their `prefix` nearest pivots are verified by cosine in double precision.
 
 Exact copies are one class with a weight before the search. A list of more than `block` members is dealt out in blocks by a hash,
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import Forest, components, stash
 
 MAX_PIVOTS = 32768
+APART = 2  # pivots lie this many times the linking angle apart
 
 
 def _finite(c):
@@ -36,6 +37,26 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _thinned(points: np.ndarray, min_cosine: float, most: int, step: int = 1024) -> np.ndarray:
+    """The first `most` of the unit vectors that have no earlier one of these within APART times the linking angle."""
+    angle = APART * math.acos(max(-1.0, min(1.0, min_cosine)))
+    near = math.cos(angle) if angle < math.pi else -2.0
+    kept = points[:0]
+    for at in range(0, len(points), step):
+        part = points[at : at + step]
+        part = part[~(part @ kept.T > near).any(axis=1)] if len(kept) else part
+        close, own = part @ part.T > near, []
+        shut = np.zeros(len(part), bool)
+        for i in range(len(part)):
+            if not shut[i]:
+                own.append(i)
+                shut |= close[i]
+        kept = np.concatenate((kept, part[own]))
+        if len(kept) >= most:
+            break
+    return kept[:most]
+
+
 def _by_length(column):
     """(row numbers, matrix) for each length of vector in an Arrow list column."""
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
@@ -115,9 +136,9 @@ def near_vectors(vectors: DataFrame, min_cosine: float = 0.98, prefix: int = 24,
     n = classes.count()
     m = min(MAX_PIVOTS, max(64, 1 << (math.isqrt(16 * max(n, 1)) - 1).bit_length()))
     points: dict[int, list] = {}
-    for r in classes.orderBy(F.xxhash64("rep", F.lit("pivot")), "rep").limit(m).select("embedding").collect():
+    for r in classes.orderBy(F.xxhash64("rep", F.lit("pivot")), "rep").limit(min(MAX_PIVOTS, 2 * m)).select("embedding").collect():
         points.setdefault(len(r[0]), []).append(r[0])
-    sent = spark.sparkContext.broadcast({d: _unit(np.array(p)) for d, p in points.items()})
+    sent = spark.sparkContext.broadcast({d: _thinned(_unit(np.array(p)), min_cosine, m) for d, p in points.items()})
     described = stash(classes.select("rep", "label", "weight", "embedding").mapInArrow(_describe(sent, prefix), "rep long, label string, weight long, embedding array<double>, near array<int>"), "pivot-near")
 
     # lists: (label, pivot) with members posted and members probing; how many blocks each side takes

@@ -168,3 +168,17 @@ def test_bpe(spark):
         t = "".join(rng.choice("ab cé字 🙂'st\n\t1.,") for _ in range(rng.randrange(40)))
         assert model.encode([t])[0] == want.encode_ordinary(t)
     assert bpe.digests(df.limit(0), path, P.PATTERN).count() == 0
+
+
+def test_near_vectors_in_a_large_group(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, d = 6000, 32
+    x = rng.normal(size=(n, d))
+    x[::3] = rng.normal(size=d) + 0.1 * rng.normal(size=(n // 3, d))  # a third of the rows: cosines of about 0.99
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out = pivot_index.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    total, found = int((x @ x.T >= 0.98).sum()) - n, sum(r.n_links for r in out)
+    print("large group: links", total, "found", found)
+    assert 0.97 * total <= found <= total
