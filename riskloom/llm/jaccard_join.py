@@ -140,7 +140,7 @@ def _pairs(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, crowd: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row; k (a hash of id and text) tells rows apart."""
+    """doc_id, n_shingles, component_id for each row; k (a hash of id and text) tells rows apart, root (a hash, never null) components."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row_key("doc_id", "text").alias("k"))
     with small_batches(docs.sparkSession, 256):
         described = stash(texts.select("doc_id", "k", "text").mapInArrow(_describe(percent), "doc_id long, k long, n long, d1 long, d2 long, bands array<long>, posts array<long>"), "jac-sets")
@@ -175,9 +175,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, crowd: int = 8) -> Da
     roots = components(links.unionByName(late), "jac-all").withColumnRenamed("node", "k")
     named = stash(classes.hint("merge").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")), "jac-named")
     least = stash(named.groupBy("root").agg(F.min("min_id").alias("component_id")), "jac-least")
-    of_class = stash(named.hint("merge").join(least, "root").select("d1", "d2", "component_id"), "jac-result")
+    of_class = stash(named.hint("merge").join(least, "root").select("d1", "d2", "component_id", "root"), "jac-result")
     full = rows.filter("n > 0").hint("merge").join(of_class, ["d1", "d2"])
-    return full.select("doc_id", "k", F.col("n").alias("n_shingles"), "component_id").unionByName(rows.filter("n = 0").select("doc_id", "k", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return full.select("doc_id", "k", F.col("n").alias("n_shingles"), "component_id", "root").unionByName(rows.filter("n = 0").select("doc_id", "k", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("k").alias("root")))
 
 
 def _short_pairs(sets: DataFrame, keyed: DataFrame, posts: DataFrame, lists: DataFrame, percent: int, crowd: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
@@ -283,8 +283,8 @@ def _all_tokens(keyed: DataFrame, some: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each component, with the columns of docs: that of the smallest doc_id, null ids last; equal rows count as one."""
     found = jaccard_components(docs, percent)
-    found = stash(found.withColumn("root", F.when(F.col("n_shingles") == 0, F.struct(F.col("k"), F.lit(None).cast("long").alias("c"))).otherwise(F.struct(F.lit(None).cast("long").alias("k"), F.col("component_id").alias("c")))), "jac-groups")
-    first = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "k")).alias("x")).select(F.col("x.k").alias("__k"))
+    found = stash(found.withColumn("wordless", F.col("n_shingles") == 0), "jac-groups")
+    first = found.groupBy("wordless", "root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "k")).alias("x")).select(F.col("x.k").alias("__k"))
     keys = stash(first, "jac-keep")
     kept = docs.withColumn("__k", row_key("doc_id", "text"))
     return kept.hint("merge").join(keys, "__k", "left_semi").dropDuplicates(["__k"]).select(*docs.columns)

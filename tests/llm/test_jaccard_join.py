@@ -66,3 +66,10 @@ def test_empty_and_dedup(spark):
     wordless = {r[0] for r in want if r[1] == 0}
     assert sorted(r.doc_id for r in kept) == sorted({r[2] for r in want if r[1]} | wordless)
     assert len(kept[0]) == 6
+
+
+def test_dedup_groups_by_component_not_by_id(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(i, text(c), None, None, None, None) for i, c in [(None, "a"), (None, "b"), (None, "b"), (7, "c"), (7, "d"), (8, "d")]]
+    kept = jaccard_join.dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("7", "c"), ("7", "d"), ("None", "a"), ("None", "b")]
