@@ -4,9 +4,11 @@ Each record is a gzip member of its own. Files come from Spark's text writer, so
 writer's line end is an empty gzip member, which leaves a file a plain sequence of members. Of pages with equal payloads of
 `min_revisit` bytes or more, the one with the smallest page_id is a response and the others are revisits of it.
 
-The reader takes files as Spark's binaryFile source gives them. A record counts if its member inflates, its version line and
+The reader takes files as Spark's binaryFile source gives them. A record counts if it inflates, its version line and
 headers parse, its length fits and its digests agree. After a failed check it looks for the next valid gzip member or version line,
-goes on there, and logs the bytes between as a quarantined gap. Plain records outside members are read as well.
+goes on there, and logs the bytes between as a quarantined gap. Plain records outside members are read as well. In a member of
+several records it looks for the next version line in the inflated content; such a gap has the member's offset and its own in
+`inner`. Of a damaged member the records that inflated before the damage are kept, with length 0; its bytes are in a gap.
 
 Null html: an empty payload. Null page_id: written as `null`; such rows refer to the smallest id of their payload, and are responses
 where there is none. Rows of the smallest id itself are all responses. Null url: no target line. Empty tables give no files' records.
@@ -29,7 +31,7 @@ from .common import new_path, stash
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 SHIFT = 1 << 16
-SCHEMA = "kind string, path string, offset long, length long, reason string, record_type string, page_id long, uri string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+SCHEMA = "kind string, path string, offset long, length long, inner long, reason string, record_type string, page_id long, uri string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -65,17 +67,37 @@ def write(pages: DataFrame, path: str, min_revisit: int = 100, records_per_file:
     members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member at a position, or None if it is damaged."""
-    d, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not d.eof and pos < len(data):
-            part = data[pos : pos + SHIFT]
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, bool]:
+    """(content, end, whether intact) of the gzip member at a position; of a damaged one what inflates before the damage, and its place."""
+    d, out, pos, step = zlib.decompressobj(31), [], at, SHIFT
+    while not d.eof and pos < len(data):
+        before = d.copy()
+        part = data[pos : pos + step]
+        try:
             out.append(d.decompress(part))
-            pos += len(part)
-    except zlib.error:
-        return None
-    return (b"".join(out), pos - len(d.unused_data)) if d.eof else None
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), pos, False
+            d, step = before, max(1, step // 16)
+            continue
+        pos += len(part)
+    return b"".join(out), pos - len(d.unused_data), d.eof
+
+
+def _inner(content: bytes) -> tuple[list[tuple], list[tuple[int, str]]]:
+    """([(headers, block)], [(place, what is wrong)]) of a member's content."""
+    got, gaps, pos, open_gap = [], [], 0, False
+    while 0 <= pos < len(content):
+        r = _record_at(content, pos)
+        if isinstance(r, str):
+            if not open_gap:
+                gaps.append((pos, r))
+            open_gap = True
+            pos = content.find(VERSION, pos + 1)
+            continue
+        got.append((r[0], r[1]))
+        pos, open_gap = r[2], False
+    return got, gaps
 
 
 def _record_at(data, at: int) -> tuple[dict, bytes, int] | str:
@@ -110,50 +132,57 @@ def _record_at(data, at: int) -> tuple[dict, bytes, int] | str:
 
 
 def salvage(content: bytes) -> Iterator[tuple]:
-    """("record", offset, length, headers, block) and ("gap", offset, length, reason) that together cover the file."""
+    """("record", offset, length, headers, block) and ("gap", offset, length, reason, place in the member or None) that together cover
+    the file; records and gaps of one member share its offset and length."""
     data, at, bad, why = memoryview(content), 0, None, ""
+    head: list[tuple] = []  # records of a damaged member, whose bytes up to head_end may hold them once more as they are
+    head_end = 0
 
     def next_start(after: int) -> int:
         found = [p for p in (content.find(MAGIC, after), content.find(VERSION, after)) if p >= 0]
         return min(found, default=len(content))
 
     while at < len(content):
-        got, end, problem = [], at, "no member or version line"
+        got, gaps, end, problem, after = [], [], at, "no member or version line", at + 1
         if content.startswith(MAGIC, at):
-            inflated = _inflate(data, at)
-            if inflated is None:
-                problem = "damaged gzip member"
+            inner, end, intact = _inflate(data, at)
+            got, gaps = _inner(inner)
+            if not intact:
+                got = [g for g in got if at >= head_end or g not in head]
+                if got:
+                    if bad is not None:
+                        yield "gap", bad, at - bad, why, None
+                    for headers, block in got:
+                        yield "record", at, 0, headers, block
+                    bad, why, head, head_end = at, "damaged gzip member", got, end
+                got, problem = [], "damaged gzip member"
+            elif gaps and not got:
+                problem, after = gaps[0][1], end
             else:
-                inner, end = inflated
-                pos = 0
-                while pos < len(inner):
-                    r = _record_at(inner, pos)
-                    if isinstance(r, str):
-                        got, problem, end = [], r, at
-                        break
-                    got.append((r[0], r[1]))
-                    pos = r[2]
-                else:
-                    problem = ""
+                problem = ""
         elif content.startswith(VERSION, at):
             r = _record_at(content, at)
             if isinstance(r, str):
                 problem = r
+            elif at < head_end and (r[0], r[1]) in head:
+                problem, after = "damaged gzip member", r[2]
             else:
                 got, end, problem = [(r[0], r[1])], r[2], ""
         if problem:
             if bad is None:
                 bad, why = at, problem
-            at = next_start(at + 1)
+            at = next_start(after)
             continue
         if bad is not None:
-            yield "gap", bad, at - bad, why
+            yield "gap", bad, at - bad, why, None
             bad = None
         for headers, block in got:
             yield "record", at, end - at, headers, block
+        for place, reason in gaps:
+            yield "gap", at, end - at, reason, place
         at = end
     if bad is not None:
-        yield "gap", bad, len(content) - bad, why
+        yield "gap", bad, len(content) - bad, why, None
 
 
 def _page(urn: str | None) -> int | None:
@@ -171,7 +200,7 @@ def _read_batches(batches):
             for x in salvage(content.as_py()):
                 row = dict.fromkeys(names) | {"kind": x[0], "path": path.as_py(), "offset": x[1], "length": x[2]}
                 if x[0] == "gap":
-                    row["reason"] = x[3]
+                    row |= {"reason": x[3], "inner": x[4]}
                 else:
                     h, (http, _, body) = x[3], x[4].partition(b"\r\n\r\n")
                     size = next((int(v) for k, _, v in (y.partition(b":") for y in http.split(b"\r\n")) if k.lower() == b"content-length"), None)

@@ -182,3 +182,28 @@ def test_near_vectors_in_a_large_group(spark):
     total, found = int((x @ x.T >= 0.98).sum()) - n, sum(r.n_links for r in out)
     print("large group: links", total, "found", found)
     assert 0.97 * total <= found <= total
+
+
+def test_salvage_members_of_several_records():
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    rng = random.Random(6)
+    body = {i: bytes(rng.randrange(256) for _ in range(4000)) for i in range(6)}
+    plain = [warc.record(i, "u", b, digest(b), None) for i, b in body.items()]
+    ids = lambda found: [x[3]["warc-record-id"] for x in found if x[0] == "record"]
+    name = lambda *i: [f"<urn:page:{j}>" for j in i]
+
+    wrong = plain[2][:-20] + bytes([plain[2][-20] ^ 255]) + plain[2][-19:]
+    inner = plain[0] + plain[1] + wrong + plain[3]
+    member = gzip.compress(inner, mtime=0)
+    got = list(warc.salvage(member + gzip.compress(plain[4], mtime=0)))
+    assert ids(got) == name(0, 1, 3, 4)
+    assert [(x[1], x[2], x[4]) for x in got if x[0] == "gap"] == [(0, len(member), len(plain[0]) + len(plain[1]))]
+
+    for level in (0, 6):  # 0: the content stands in the member as it is
+        whole = gzip.compress(b"".join(plain[:4]), level, mtime=0)
+        cut, crc = whole[: len(whole) - 4500], whole[:-8] + bytes(8)
+        for damaged, kept in ((cut, (0, 1)), (crc, (0, 1, 2, 3))):
+            data = damaged + gzip.compress(plain[4], mtime=0)
+            got = list(warc.salvage(data))
+            assert ids(got)[: len(kept)] == name(*kept) and ids(got)[-1:] == name(4) and len(set(ids(got))) == len(ids(got))
+            assert sum(x[2] for x in got) == len(data)
