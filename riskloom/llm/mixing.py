@@ -41,6 +41,13 @@ def targets(sized: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame, block: int = 128, shards: int = 16, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(documents with sid, off and target; pieces: sid, off, first word, words, times taken for each block of a document)."""
+    placed, parts, slots, _ = _plan(docs, block, shards, seed)
+    times = slots.groupBy("sid", "index").agg(F.count("*").alias("times"))
+    return placed, parts.hint("merge").join(times, ["sid", "index"])
+
+
+def _plan(docs: DataFrame, block: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents with their places; their pieces; slots: sid, slot, index, shard; sources)."""
     text = F.col("text").cast("string")
     rows = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), row_key("doc_id", "text").alias("k")), "mix-rows")
     buckets = min(1 << 20, max(64, -(-rows.count() // 50_000)))
@@ -65,14 +72,55 @@ def plan(docs: DataFrame, block: int = 128, shards: int = 16, seed: int = 1) ->
     prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(len(PRIMES))) + 1).cast("int")).cast("long")
     epoch = F.floor(F.col("slot") / F.col("n"))
     slots = slots.select("sid", "slot", ((F.pmod(F.col("slot"), F.col("n")) * F.pmod(prime, F.col("n")) + F.pmod(F.xxhash64("sid", epoch, F.lit(seed)), F.col("n"))) % F.col("n")).alias("index"), F.pmod(F.xxhash64("sid", "slot", F.lit(seed), F.lit("shard")), F.lit(shards)).cast("int").alias("shard"))
-    times = slots.groupBy("sid", "index").agg(F.count("*").alias("times"), F.sort_array(F.collect_list("shard")).alias("shards"))
-    return placed, parts.hint("merge").join(times, ["sid", "index"])
+    return placed, parts, slots, sources
+
+
+def _pieces(block: int):
+    def run(batches):
+        for b in batches:
+            cols: list[list] = [[] for _ in range(5)]
+            for sid, off, text in zip(*(b.column(c).to_pylist() for c in ("sid", "off", "text")), strict=True):
+                spans = [m.span() for m in re.finditer(WORD, text)]
+                first = 0
+                while first < len(spans):
+                    index = (off + first) // block
+                    end = min(len(spans), (index + 1) * block - off)
+                    for col, x in zip(cols, (sid, index, off, end - first, text[spans[first][0] : spans[end - 1][1]]), strict=True):
+                        col.append(x)
+                    first = end
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "text" else pa.int64()) for n, c in zip(("sid", "index", "off", "words", "text"), cols, strict=True)], ["sid", "index", "off", "words", "text"])
+
+    return run
+
+
+def _shard_blocks(docs: DataFrame, block: int = 128, shards: int = 16, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(placed documents; the rows of shard_blocks with sid and, in order, each document's off and words in the block)."""
+    placed, _, slots, sources = _plan(docs, block, shards, seed)
+    texts = docs.select(row_key("doc_id", "text").alias("k"), F.col("text").cast("string").alias("text")).groupBy("k").agg(F.any_value("text").alias("text"))
+    pieces = placed.filter("size > 0").select("k", "sid", "off").hint("merge").join(texts, "k").select("sid", "off", "text").mapInArrow(_pieces(block), "sid long, index long, off long, words long, text string")
+    joined = pieces.groupBy("sid", "index").agg(F.sort_array(F.collect_list(F.struct("off", "words", "text"))).alias("x"))
+    joined = joined.select("sid", "index", F.array_join("x.text", "\n").alias("text"), F.transform("x", lambda p: F.struct(p["off"].alias("off"), p["words"].alias("words"))).alias("parts"))
+
+    # places in a shard in an order fixed by hashes; a shard is ordered in buckets, never in one task
+    slots = slots.withColumn("h", F.xxhash64("sid", "slot", F.lit(seed), F.lit("place")))
+    slots = stash(slots.withColumn("bucket", F.shiftright("h", 52)), "mix-slots")
+    inner, outer = Window.partitionBy("shard", "bucket").orderBy("h", "sid", "slot"), Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slots.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("start"))
+    at = slots.withColumn("r", F.row_number().over(inner)).hint("merge").join(starts, ["shard", "bucket"]).select("sid", "index", "shard", (F.col("start") + F.col("r") - 1).alias("position"))
+    at = at.join(F.broadcast(sources.select("sid", "source")), "sid")  # one row per source
+    blocks = stash(at.hint("merge").join(joined, ["sid", "index"]).select("shard", "position", "source", F.col("index").alias("block_index"), "text", "sid", "parts"), "mix-blocks")
+    return placed, blocks
+
+
+def shard_blocks(docs: DataFrame, **how) -> DataFrame:
+    """The mix as packed blocks: shard, position (from 0 in a shard), source, block_index, text of the joined block."""
+    return _shard_blocks(docs, **how)[1].select("shard", "position", "source", "block_index", "text")
 
 
 def mixed_counts(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken."""
-    placed, parts = plan(docs, **how)
-    taken = stash(parts.groupBy("sid", "off").agg(F.sum(F.col("words") * F.col("times")).alias("taken")), "mix-taken")
+    """doc_id, size, source_size, target, taken (words in the rows of shard_blocks)."""
+    placed, blocks = _shard_blocks(docs, **how)
+    taken = stash(blocks.select("sid", F.explode("parts").alias("p")).groupBy("sid", F.col("p.off").alias("off")).agg(F.sum("p.words").alias("taken")), "mix-taken")
     used = placed.filter("size > 0").hint("merge").join(taken, ["sid", "off"], "left").unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return used.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 

@@ -207,3 +207,27 @@ def test_salvage_members_of_several_records():
             got = list(warc.salvage(data))
             assert ids(got)[: len(kept)] == name(*kept) and ids(got)[-1:] == name(4) and len(set(ids(got))) == len(ids(got))
             assert sum(x[2] for x in got) == len(data)
+
+
+def test_shard_blocks(spark):
+    rows, df = documents(spark)
+    out = mixing.shard_blocks(df, block=4, shards=5).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.shard, []).append(r.position)
+    assert set(by) == set(range(5)) and all(sorted(p) == list(range(len(p))) for p in by.values())
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len((r[1] or "").encode().split())
+    times = {}
+    for r in out:
+        last = -(-sizes[r.source] // 4) - 1
+        assert len(r.text.encode().split()) == (4 if r.block_index < last else sizes[r.source] - 4 * last)
+        times[r.source, r.block_index] = times.get((r.source, r.block_index), 0) + 1
+    assert max(times.values()) <= 3
+    for source in {r.source for r in out}:  # a shard's count of a source is near its share
+        n = [sum(r.shard == s and r.source == source for r in out) for s in range(5)]
+        assert all(abs(x - sum(n) / 5) <= 5 * (sum(n) * 0.16) ** 0.5 + 1 for x in n)
+    words = sum(len(r.text.encode().split()) for r in out)
+    assert words == sum(r.taken for r in mixing.mixed_counts(df, block=4, shards=5).collect())
+    assert mixing.shard_blocks(df.limit(0)).count() == 0
