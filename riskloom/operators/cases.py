@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-CASE = "struct<key:string,first:bigint,score:bigint>"
-ROUTE = "struct<id:bigint,routing:string>"
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def route(decisions: DataFrame, open_window: int) -> DataFrame:
@@ -14,23 +13,41 @@ def route(decisions: DataFrame, open_window: int) -> DataFrame:
 
     Decisions of a subject are folded in order (t, id): an open case of the same key with |t - first| <= window is restated if the score is
     higher and else folded; another open case of the subject in the window suppresses; the newest match wins.
+
+    A gap longer than the window parts a subject's decisions into sessions: a case is at least as old as the decision before the gap. The
+    decisions of a session are read in order as a stream; only the cases of the window are held. Null subjects are one subject; a decision with a null key or time meets no case.
     """
     none = decisions.filter("not authorised").select("id", F.lit("no_authority").alias("routing"))
-    per = decisions.filter("authorised").groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("t", "id", "key", "score"))).alias("ds"))
-    zero = F.struct(F.array().cast(f"array<{CASE}>").alias("cases"), F.array().cast(f"array<{ROUTE}>").alias("routes"))
-
-    def step(acc, d):
-        near = lambda c: F.abs(d["t"] - c["first"]) <= open_window
-        mine = F.filter(acc["cases"], lambda c: (c["key"] == d["key"]) & near(c))
-        other = F.exists(acc["cases"], lambda c: (c["key"] != d["key"]) & near(c))
-        hit = F.try_element_at(mine, F.lit(-1))
-        routing = F.when(hit.isNotNull(), F.when(d["score"] > hit["score"], "restated").otherwise("folded")).when(other, "suppressed").otherwise("raised")
-        moved = F.transform(acc["cases"], lambda c: F.when((c["key"] == hit["key"]) & (c["first"] == hit["first"]), F.struct(c["key"].alias("key"), F.least(c["first"], d["t"]).alias("first"), F.greatest(c["score"], d["score"]).alias("score"))).otherwise(c))
-        new = F.array(F.struct(d["key"].alias("key"), d["t"].alias("first"), d["score"].alias("score")))
-        cases = F.when(routing == "raised", F.concat(acc["cases"], new)).when(hit.isNotNull(), moved).otherwise(acc["cases"])
-        return F.struct(cases.cast(f"array<{CASE}>").alias("cases"), F.concat(acc["routes"], F.array(F.struct(d["id"].alias("id"), routing.alias("routing")))).cast(f"array<{ROUTE}>").alias("routes"))
-
-    routed = per.select(F.explode(F.aggregate("ds", zero, step, lambda acc: acc["routes"])).alias("r")).select("r.id", "r.routing")
+    mine = Window.partitionBy("subject").orderBy("t", "id")
+    cut = F.coalesce((F.col("t") - F.lag("t").over(mine) > open_window).cast("int"), F.lit(0))
+    parted = decisions.filter("authorised").select("subject", "id", "key", F.col("t").cast("long").alias("t"), F.col("score").cast("long").alias("score")).withColumn("cut", cut)
+    parted = parted.withColumn("session", F.sum("cut").over(mine))
+    rows = parted.repartition("subject", "session").sortWithinPartitions("subject", "session", "t", "id")
+    kind = decisions.schema["id"].dataType
+
+    def run(batches):
+        at, cases = None, []  # cases: [key, first, score], the newest last
+        for b in batches:
+            out = []
+            for subject, session, key, t, score in zip(*(b.column(c).to_pylist() for c in ("subject", "session", "key", "t", "score")), strict=True):
+                if at != (subject, session):
+                    at, cases = (subject, session), []
+                if key is None or t is None:
+                    out.append("raised")
+                    continue
+                cases = [c for c in cases if t - c[1] <= open_window]
+                hit = next((c for c in reversed(cases) if c[0] == key), None)
+                if hit is not None:
+                    out.append("restated" if score is not None and hit[2] is not None and score > hit[2] else "folded")
+                    hit[2] = max((x for x in (hit[2], score) if x is not None), default=None)
+                elif cases:
+                    out.append("suppressed")
+                else:
+                    out.append("raised")
+                    cases.append([key, t, score])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.string())], ["id", "routing"])
+
+    routed = rows.select("subject", "session", "id", "key", "t", "score").mapInArrow(run, StructType([StructField("id", kind), StructField("routing", StringType())]))
     return routed.unionByName(none)
 
 

@@ -71,3 +71,13 @@ def test_routing_equals_a_loop(spark):
     for s in "xyz":
         want |= _routed([(t, i, k, sc, a) for subject, i, k, t, sc, a in rows if subject == s], 10)
     assert got == want
+
+
+def test_routing_of_a_hot_subject(spark):
+    n = 6000
+    rows = [("hot", i, "ab"[i % 2], i * 3, i % 10, True) for i in range(n)] + [("cold", n, "a", 0, 1, True)]
+    out = cases.route(spark.createDataFrame(rows, "subject string, id long, key string, t long, score long, authorised boolean"), 10)
+    got = {r.id: r.routing for r in out.collect()}
+    want = _routed([(t, i, k, sc, a) for s, i, k, t, sc, a in rows if s == "hot"], 10) | {n: "raised"}
+    assert got == want
+    assert "collect_list" not in out._jdf.queryExecution().toString()  # no row holds a whole subject
