@@ -1,4 +1,4 @@
-"""Case routing, exposure and priority."""
+"""Case routing, issued actions and priority."""
 
 from __future__ import annotations
 
@@ -51,6 +51,16 @@ def route(decisions: DataFrame, open_window: int) -> DataFrame:
     return routed.unionByName(none)
 
 
+def issue(routed: DataFrame, channels: DataFrame, preventive: list[str]) -> DataFrame:
+    """(subject, action, band, routing) to (subject, action, channel): a preventive action is issued when a case is raised, a notice when
+    it is raised or restated. An action and band without a channel is an error, never a default."""
+    act = F.when((F.col("routing") == "raised") & F.col("action").isin(preventive), F.col("action"))
+    issued = routed.filter(F.col("routing").isin("raised", "restated")).select("subject", "band", F.explode(F.array_compact(F.array(act, F.lit("notify")))).alias("action"))
+    met = issued.join(F.broadcast(channels), ["action", "band"], "left")
+    lost = F.raise_error(F.format_string("no channel for action %s, band %s", "action", "band")).cast("string")
+    return met.select("subject", "action", F.when(F.col("channel").isNull(), lost).otherwise(F.col("channel")).alias("channel"))
+
+
 def priority(score, exposure, age_hours, weight: float = 0.5, floor: float = 10.0, half_life: float = 48.0):
     """score x exposure factor x recency factor; factors are rounded half-even before they are multiplied."""
     size = F.bround(1 + weight * F.log10(1 + F.greatest(exposure, F.lit(floor))), 6)

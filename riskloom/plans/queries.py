@@ -250,13 +250,16 @@ def exposure_all(spark, sf_dir):
 _ISSUES = "SELECT subject, action AS action, channel FROM d JOIN (VALUES ('challenge', 'high', 'push'), ('challenge', 'elevated', 'sms'), ('challenge', 'low', 'sms')) c(action, band, channel) USING (action, band)"
 
 
+CHANNELS = [("challenge", "high", "push"), ("challenge", "elevated", "sms"), ("challenge", "low", "sms"), ("notify", "high", "queue"), ("notify", "elevated", "inbox"), ("notify", "low", "inbox")]
+
+
 @query("actions_issued", _DECIDE + f" {_ISSUES} UNION ALL SELECT subject, 'notify', CASE band WHEN 'high' THEN 'queue' ELSE 'inbox' END FROM d WHERE source_rule IS NOT NULL")
 def actions_issued(spark, sf_dir):
-    """A preventive action and a notice for each decision with a source rule, each with the channel of its action and band."""
-    channels = [("challenge", "high", "push"), ("challenge", "elevated", "sms"), ("challenge", "low", "sms"), ("notify", "high", "queue"), ("notify", "elevated", "inbox"), ("notify", "low", "inbox")]
+    """A preventive action and a notice for each decision with a source rule, each with the channel of its action and band. As the SQL,
+    this knows no routing: actions_routed has what is really issued."""
     d = decisions(spark, sf_dir).filter("source_rule is not null")
     issued = d.select("subject", "band", F.explode(F.array_compact(F.array(F.when(_c("action") == "challenge", _c("action")), F.lit("notify")))).alias("action"))
-    return issued.join(F.broadcast(spark.createDataFrame(channels, "action string, band string, channel string")), ["action", "band"], "left").select("subject", "action", "channel")
+    return issued.join(F.broadcast(spark.createDataFrame(CHANNELS, "action string, band string, channel string")), ["action", "band"], "left").select("subject", "action", "channel")
 
 
 @query("rule_catalog", _LEDGER + " SELECT rule_id, condition_id, points, CASE WHEN n_fired = 0 THEN 'never fired' WHEN points >= 0 THEN 'aggravating' ELSE 'mitigating' END AS standing, n_fired FROM (SELECT rule_id, condition_id, any_value(points) AS points, count(*) FILTER (fired) AS n_fired FROM l GROUP BY 1, 2)")
@@ -273,6 +276,14 @@ def case_routing(spark, sf_dir):
     return cases.route(d.select(_c("account_id").alias("subject"), _c("subject").alias("id"), key.alias("key"), "t", "score", _c("source_rule").isNotNull().alias("authorised")), WEEK)
 
 
+@query("actions_routed", None)
+def actions_routed(spark, sf_dir):
+    """What is issued: a preventive action for raised decisions, a notice for raised and restated ones. A missing channel is an error."""
+    d = decisions(spark, sf_dir).join(case_routing(spark, sf_dir).withColumnRenamed("id", "subject"), "subject")
+    channels = spark.createDataFrame(CHANNELS, "action string, band string, channel string")
+    return cases.issue(d.select("subject", "action", "band", "routing"), channels, sorted({r[1] for r in RULES if r[3]}))
+
+
 @query("ingest_reject", f"WITH {TX} SELECT txn_id, concat_ws(',', CASE WHEN mcc IS NULL THEN 'missing mcc' END, CASE WHEN s_suppkey IS NULL THEN 'unknown device' END, CASE WHEN amount < 1 THEN 'amount too small' END) AS reasons FROM tx LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier) ON s_suppkey = device_id WHERE mcc IS NULL OR s_suppkey IS NULL OR amount < 1")
 def ingest_reject(spark, sf_dir):
     known = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(_c("s_suppkey").alias("device_id"), F.lit(True).alias("known")).distinct()

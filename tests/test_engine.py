@@ -81,3 +81,15 @@ def test_routing_of_a_hot_subject(spark):
     want = _routed([(t, i, k, sc, a) for s, i, k, t, sc, a in rows if s == "hot"], 10) | {n: "raised"}
     assert got == want
     assert "collect_list" not in out._jdf.queryExecution().toString()  # no row holds a whole subject
+
+
+def test_actions_are_issued_by_routing(spark):
+    kinds = ["raised", "restated", "folded", "suppressed", "no_authority"]
+    rows = [(f"{a}-{r}", a, "high", r) for a in ("challenge", "alert") for r in kinds]
+    channels = spark.createDataFrame([("challenge", "high", "push"), ("notify", "high", "queue")], "action string, band string, channel string")
+    routed = spark.createDataFrame(rows, "subject string, action string, band string, routing string")
+    got = sorted(map(tuple, cases.issue(routed, channels, ["challenge"]).collect()))
+    want = [("challenge-raised", "challenge", "push")] + [(f"{a}-{r}", "notify", "queue") for a in ("challenge", "alert") for r in ("raised", "restated")]
+    assert got == sorted(want)
+    with pytest.raises(Exception, match="no channel for action notify"):
+        cases.issue(routed, channels.filter("action <> 'notify'"), ["challenge"]).collect()
