@@ -10,7 +10,8 @@ anchors need comparing. Hashes of any span come from prefix sums of a polynomial
    of these short contexts, put in order per anchor and core, and equal neighbours repeat.
 3. As each string of a run holds its anchor, a run's repeated strings cover one span, from the first to the last of them.
 
-A group that many documents share is never gathered: step 1 is a count, and step 2 sorts rows of 80 bytes by group.
+Step 1 is a count. Step 2 gathers the rows (80 bytes each) of one anchor and core in one task and in its Python worker's memory: a passage
+that many documents share between different texts does so at its edges. This grows with the number of these documents.
 
 Null text: no bytes. Matches never cross documents. Rows of equal id and text are two documents. Long texts are read in pieces.
 """
