@@ -1,19 +1,22 @@
 """Removal of byte strings of a given length that start anywhere else too, within a document or in another.
 
 Equal strings of `length` bytes have their smallest 64-byte hash at the same place, the anchor, so only strings around equal
-anchors need comparing. Hashes of any span come from prefix sums of a polynomial hash in constant time.
-
-1. Each document gives its anchors with the run of string starts that each serves: a hundredth of its positions or less. Anchors
-   found once in the corpus drop out. A run whose whole extent has an equal one is repeated throughout.
-2. Other runs of repeated anchors are compared at every start. Starts fall into stretches of 16; their common core is compared by
-   hash, and the 15 bytes to either side, in which the strings of a stretch differ, byte by byte: the strings are the suffixes
-   of these short contexts, put in order per anchor and core, and equal neighbours repeat.
-3. As each string of a run holds its anchor, a run's repeated strings cover one span, from the first to the last of them.
-
-Step 1 is a count. Step 2 gathers the rows (80 bytes each) of one anchor and core in one task and in its Python worker's memory: a passage
-that many documents share between different texts does so at its edges. This grows with the number of these documents.
-
-Null text: no bytes. Matches never cross documents. Rows of equal id and text are two documents. Long texts are read in pieces.
+anchors need comparing. A document's strings with one anchor form a run; as each holds the anchor, a run's repeated strings cover
+one span around it.
+
+1. Each document gives its distinct runs: anchor hash, 128-bit digest of the run's bytes, places. Runs found twice or more, in one
+   document or several, are repeated throughout. One of each class of equal runs goes on, if its anchor has other classes.
+2. Suffix sort. The runs of an anchor, with their bytes, are put in order of what follows the anchor, and of what stands before it read
+   backwards, by a mergesort. Prefix sums of a polynomial hash give the common extension of two suffixes by binary search, so that a
+   comparison takes a logarithmic number of steps. Neighbours' common extensions L before and R from the anchor are then taken from
+   the bytes themselves; where a collision of hashes has misled the sort, the group is sorted again by its bytes. Two runs share a
+   string where L + R comes to `length` or more.
+3. Anchors of more than `group` classes, such as the edges of a passage that very many documents share, are never gathered: each string
+   of their runs is counted by a 128-bit digest, with map-side combine.
+
+Null text: no bytes. Matches never cross documents. Rows of equal id and text are two documents. Long texts are read in pieces of
+1 MB. Empty tables give empty results; further columns of any name are carried or left out, never read. Ties need no rule: all
+copies of a repeated string go. Strings counted in step 1 and 3 are equal by 128-bit digest, those of step 2 by their bytes.
 """
 
 from __future__ import annotations
@@ -22,15 +25,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, row_key, stash
-from .textops import BASE, mix, prefix_hash, span_hash, text_bytes
+from .common import key_filter, release, row_key, small_batches, stash
+from .textops import mix, powers, prefix_hash, span_hash, text_bytes
 
-GRAM, STRETCH, SEGMENT = 64, 16, 1 << 20
+GRAM, SEGMENT = 64, 1 << 20
+GROUP = 1024
+CHUNK = 2048  # runs sorted at once, or one group
 U = np.uint64
 LOW = U(0xFFFFFFFF)
+SPANS = "k long, starts array<long>, n long"
+LONGS = pa.list_(pa.int64())
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -44,136 +52,273 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(text: np.ndarray, length: int):
-    """For each piece of a text: (place, bytes, prefix hashes, anchor hash, anchor, first start, last start), positions in the piece."""
+    """For each piece of a text: (place, bytes, anchor hash, anchor, first start, last start), positions in the piece."""
     for at in range(0, max(1, len(text) - length + 1), SEGMENT):
         data = text[at : at + SEGMENT + length - 1]
         if len(data) < length:
             return
-        p = prefix_hash(data)
         i = np.arange(len(data) - GRAM + 1)
-        h = mix(span_hash(p, i, i + GRAM))
+        h = mix(span_hash(prefix_hash(data), i, i + GRAM))
         anchor = (_window_min((h & ~LOW) | i.astype(U), length - GRAM + 1) & LOW).astype(np.int64)
         first = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1))
         last = np.concatenate((first[1:] - 1, [len(anchor) - 1]))
-        yield at, data, p, h[anchor[first]], anchor[first], first, last
+        yield at, data, h[anchor[first]].view(np.int64), anchor[first], first, last
+
+
+def _digests(data: np.ndarray, starts, ends) -> np.ndarray:
+    """128-bit digests of spans, as rows of two 64-bit values."""
+    view = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
 
+def _run_key(k: int, anchor: np.ndarray) -> np.ndarray:
+    """A 64-bit key of a document's run."""
+    return mix(U(k & (1 << 64) - 1) ^ mix(anchor.astype(U))).view(np.int64)
+
+
+def _distinct_runs(length: int):
+    names = ["k", "g", "d1", "d2", "r", "n", "starts"]
 
-def _occurrences(length: int):
     def run(batches):
         for b in batches:
             data, offsets, _ = text_bytes(b.column("text"))
-            ks = b.column("k").to_numpy()
-            cols: list[list] = [[] for _ in range(6)]
-            for r in range(b.num_rows):
-                for at, _, p, g, q, s, e in runs(data[offsets[r] : offsets[r + 1]], length):
-                    extent = mix(span_hash(p, s, e + length) + (q - s).astype(U) * U(BASE) + mix((e - s).astype(U)))
-                    for c, x in zip(cols, (np.full(len(q), ks[r]), g.view(np.int64), extent.view(np.int64), q + at, s + at, e + at), strict=True):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols], ["k", "g", "e", "q", "s1", "s2"])
+            cols: list[list] = [[] for _ in names]
+            for k, lo, hi in zip(b.column("k").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                for at, piece, g, q, s, e in runs(data[lo:hi], length):
+                    d = _digests(piece, s, e + length)
+                    _, first, inverse = np.unique(d[:, 0], return_index=True, return_inverse=True)
+                    if (d[first[inverse], 1] != d[:, 1]).any():
+                        _, first, inverse = np.unique(d, axis=0, return_index=True, return_inverse=True)
+                    order = np.argsort(inverse.ravel(), kind="stable")
+                    ends = np.cumsum(np.bincount(inverse.ravel()))
+                    cols[0].append(np.full(len(first), k))
+                    for col, x in zip(cols[1:6], (g[first], d[first, 0], d[first, 1], _run_key(k, q[first] + at), e[first] - s[first] + length), strict=True):
+                        col.append(x)
+                    cols[6].append((s[order] + at, ends))
+            flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols[:6]]
+            sizes = np.concatenate([np.diff(x[1], prepend=0) for x in cols[6]]) if cols[6] else np.zeros(0, np.int64)
+            values = np.concatenate([x[0] for x in cols[6]]) if cols[6] else np.zeros(0, np.int64)
+            starts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in flat), starts], names)
 
     return run
 
 
-def _stretches(wanted, length: int):
-    names = ["key", "k", "q", "c", "lo", "hi", "around"]
-    types = [pa.int64()] * 6 + [pa.binary(2 * STRETCH - 2)]
-
-    def rows(k, text):
-        side = STRETCH - 1
-        for at, data, p, g, q, s, e in runs(text, length):
-            pick = np.flatnonzero(wanted.value.mask(k ^ ((q + at) << 24)))
-            if not len(pick):
-                continue
-            padded = np.concatenate((np.zeros(side, np.uint8), data, np.zeros(side, np.uint8)))
-            g, q, lo, hi = g[pick], q[pick], (q - e)[pick], (q - s)[pick]
-            n = hi // STRETCH - lo // STRETCH + 1
-            row = np.repeat(np.arange(len(pick)), n)
-            c = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + (lo // STRETCH)[row]
-            g, q, lo, hi = g[row], q[row], np.maximum(lo[row] - c * STRETCH, 0), np.minimum(hi[row] - c * STRETCH, side)
-            start = q - c * STRETCH
-            core = span_hash(p, start, start + length - side)
-            key = mix(mix(g + c.astype(U)) ^ core)
-            place = np.concatenate((np.arange(side), np.arange(side) + side + length - side))
-            around = padded[start[:, None] + place[None, :]]  # the bytes before and after the core
-            offset = np.arange(side)
-            around[:, :side][offset[None, :] < (side - hi)[:, None]] = 0
-            around[:, side:][offset[None, :] >= (side - lo)[:, None]] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(row), k)), pa.array(q + at), pa.array(c), pa.array(lo), pa.array(hi), pa.FixedSizeBinaryArray.from_buffers(types[-1], len(row), [None, pa.py_buffer(np.ascontiguousarray(around).tobytes())])], names)
+def _chosen(batch, length: int, wanted, hot, want_hot: bool):
+    """(k, g, q, piece, place of the piece, anchor, first and last start) of a batch's runs that are wanted, and whose anchor is hot or not."""
+    data, offsets, _ = text_bytes(batch.column("text"))
+    for k, lo, hi in zip(batch.column("k").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        for at, piece, g, q, s, e in runs(data[lo:hi], length):
+            pick = wanted.value.mask(_run_key(k, q + at))
+            if hot is not None:
+                pick &= hot.value.mask(g) == want_hot
+            pick = np.flatnonzero(pick)
+            if len(pick):
+                yield k, g[pick], q[pick], piece, at, s[pick], e[pick]
+
 
+def _contexts(wanted, hot, length: int):
     def run(batches):
         for b in batches:
-            ks = b.column("k").to_numpy()
-            data, offsets, _ = text_bytes(b.column("text"))
-            for r in range(b.num_rows):
-                for x in rows(ks[r], data[offsets[r] : offsets[r + 1]]):
-                    yield x.set_column(6, "around", x.column(6).cast(pa.binary()))
+            for k, g, q, piece, at, s, e in _chosen(b, length, wanted, hot, False):
+                view = piece.tobytes()
+                text = [view[x:y] for x, y in zip(s.tolist(), (e + length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), k)), pa.array(q + at), pa.array(q - s), pa.array(text, pa.binary())], ["g", "k", "q", "before", "text"])
 
     return run
 
 
-def repeated_starts(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest, largest) offset of a stretch at which a row's string equals another row's of its key; -1 if none.
-
-    The string at offset t differs within a key only in the suffix of its context at 15 - t, cut to 15 bytes.
-    """
-    least, most = np.full(len(key), -1), np.full(len(key), -1)
-    side = STRETCH - 1
-    for t in range(STRETCH):
-        at = np.flatnonzero((lo <= t) & (t <= hi))
-        if len(at) < 2:
-            continue
-        w = np.zeros((len(at), 16), np.uint8)
-        w[:, :side] = around[at, side - t : 2 * side - t]
-        x = w.view(U)
-        order = np.lexsort((x[:, 1], x[:, 0], key[at]))
-        k, y = key[at][order], x[order]
-        equal = (k[1:] == k[:-1]) & (y[1:] == y[:-1]).all(axis=1)
-        hit = at[order[np.concatenate(([False], equal)) | np.concatenate((equal, [False]))]]
-        least[hit] = np.where(least[hit] < 0, t, least[hit])
-        most[hit] = t
-    return least, most
-
-
-def _compare(batches):
-    rest = None
+def _strings(wanted, hot, length: int):
+    def run(batches):
+        for b in batches:
+            for k, _, q, piece, at, s, e in _chosen(b, length, wanted, hot, True):
+                n = e - s + 1
+                start = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
+                d = _digests(piece, start, start + length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(start), k), np.repeat(q, n) + at, start + at, d[:, 0], d[:, 1])], ["k", "q", "start", "d1", "d2"])
 
+    return run
+
+
+# ---------------------------------------------------------------- suffix sort of the runs of one anchor
+
+class Suffixes:
+    """Runs side by side, their anchors in one column; compares what follows the anchor (step 1) or stands before it (step -1)."""
+
+    def __init__(self, texts: list[bytes], before: np.ndarray, length: int):
+        size = np.array([len(t) for t in texts])
+        self.at = length - GRAM
+        self.bytes = np.zeros((len(texts), self.at + length), np.uint8)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.at - before, size)
+        self.bytes[np.repeat(np.arange(len(texts)), size), place] = np.frombuffer(b"".join(texts), np.uint8)
+        self.sums = np.zeros((len(texts), self.bytes.shape[1] + 1), U)
+        np.cumsum((self.bytes.astype(U) + U(1)) * powers(self.bytes.shape[1])[: self.bytes.shape[1]], axis=1, out=self.sums[:, 1:])
+        self.size = {1: size - before, -1: before}
+
+    def extension(self, x: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
+        """Length of the common extension of runs x and y, by binary search over prefix hashes."""
+        low, high = np.zeros(len(x), np.int64), np.minimum(self.size[step][x], self.size[step][y])
+        hx, hy = self.sums[x, self.at], self.sums[y, self.at]
+        while (low < high).any():
+            mid = (low + high + 1) >> 1
+            same = self.sums[x, self.at + step * mid] - hx == self.sums[y, self.at + step * mid] - hy
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return low
+
+    def _next(self, x: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+        """The byte after n common ones; -1 at the end."""
+        at = self.at + n if step > 0 else self.at - 1 - n
+        return np.where(n < self.size[step][x], self.bytes[x, np.clip(at, 0, self.bytes.shape[1] - 1)].astype(np.int64), -1)
+
+    def compare(self, x: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
+        n = self.extension(x, y, step)
+        return self._next(x, n, step) - self._next(y, n, step)
+
+    def sort(self, start: np.ndarray, size: np.ndarray, step: int) -> np.ndarray:
+        """Runs in order within each group; start, size: of the group, for each run. A mergesort of all groups side by side: each
+        element finds its rank in the run beside its own by binary search."""
+        order = np.arange(len(start))
+        place = order - start
+        width = 1
+        while width < size.max(initial=0):
+            at = np.flatnonzero(size > width)
+            me, run = order[at], place[at] // width
+            base, other = start[at], run ^ 1
+            low, high = np.zeros(len(at), np.int64), np.clip(size[at] - other * width, 0, width)
+            while (low < high).any():
+                go = np.flatnonzero(low < high)
+                mid = (low[go] + high[go]) >> 1
+                sign = self.compare(order[base[go] + other[go] * width + mid], me[go], step)
+                after = np.where(run[go] & 1, sign <= 0, sign < 0)
+                low[go], high[go] = np.where(after, mid + 1, low[go]), np.where(after, high[go], mid)
+            order[base + (run & ~1) * width + (place[at] - run * width) + low] = me
+            width *= 2
+        return order
+
+    def string(self, x: int, step: int) -> bytes:
+        n = int(self.size[step][x])
+        return self.bytes[x, self.at : self.at + n].tobytes() if step > 0 else self.bytes[x, self.at - n : self.at][::-1].tobytes()
+
+    def neighbours(self, start: np.ndarray, size: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(order, common extension with the next run in it), by the bytes. A sort that a collision misled is done again by bytes."""
+        order = self.sort(start, size, step)
+        x, y = order[:-1], order[1:]
+        span = slice(self.at, None) if step > 0 else slice(None, self.at)
+        common = np.zeros(len(x), np.int64)
+        for i in range(0, len(x), 512):
+            same = self.bytes[x[i : i + 512], span] == self.bytes[y[i : i + 512], span]
+            same = np.concatenate((same if step > 0 else same[:, ::-1], np.zeros((len(same), 1), bool)), axis=1)
+            common[i : i + 512] = same.argmin(axis=1)
+        common = np.minimum(common, np.minimum(self.size[step][x], self.size[step][y]))
+        inner = start[1:] == start[:-1]
+        if (inner & (self._next(x, common, step) > self._next(y, common, step))).any():
+            order = np.array(sorted(range(len(start)), key=lambda i: (start[i], self.string(i, step))))
+            return order, np.array([len(_common(self.string(a, step), self.string(b, step))) for a, b in zip(order[:-1], order[1:], strict=True)], np.int64)
+        return order, common
+
+
+def _common(a: bytes, b: bytes) -> bytes:
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[:n]
+
+
+def repeated_parts(g: np.ndarray, before: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run, how far before and from its anchor the strings reach that another run of its anchor has too; 0, 0: none.
+
+    g: anchor hashes, equal ones side by side."""
+    first = np.concatenate(([True], g[1:] != g[:-1]))
+    begins = np.flatnonzero(first)
+    sizes = np.diff(np.concatenate((begins, [len(g)])))
+    start, size = np.repeat(begins, sizes), np.repeat(sizes, sizes)
+    s = Suffixes(texts, before, length)
+    sorted_by = {step: s.neighbours(start, size, step) for step in (1, -1)}
+    left, right = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
+    two = begins[sizes == 2]
+    ok = sorted_by[1][1][two] + sorted_by[-1][1][two] >= length
+    for i in (0, 1):
+        right[two[ok] + i], left[two[ok] + i] = sorted_by[1][1][two[ok]], sorted_by[-1][1][two[ok]]
+    for b, n in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        of = {}
+        for step, (order, common) in sorted_by.items():
+            o, c = order[b : b + n] - b, common[b : b + n - 1]
+            rank = np.empty(n, np.int64)
+            rank[o] = np.arange(n)
+            of[step] = o, c, rank
+        shared = {step: np.empty(n, np.int64) for step in of}
+        for i in range(n):
+            for step, (o, c, rank) in of.items():  # a pair's common extension is the least of those between neighbours
+                r, x = rank[i], shared[step]
+                x[o[:r]] = np.minimum.accumulate(c[:r][::-1])[::-1]
+                x[o[r + 1 :]] = np.minimum.accumulate(c[r:])
+                x[i] = -length
+            hit = shared[1] + shared[-1] >= length
+            if hit.any():
+                right[b + i], left[b + i] = shared[1][hit].max(), shared[-1][hit].max()
+    return left, right
+
+
+def _compare(length: int):
     def done(t):
-        key, lo, hi = (t.column(c).to_numpy() for c in ("key", "lo", "hi"))
-        around = np.frombuffer(b"".join(t.column("around").to_pylist()), np.uint8).reshape(-1, 2 * STRETCH - 2)
-        least, most = repeated_starts(key, lo, hi, around)
-        hit = np.flatnonzero(most >= 0)
-        base = t.column("c").to_numpy()[hit] * STRETCH
-        return pa.RecordBatch.from_arrays([pa.array(t.column("k").to_numpy()[hit]), pa.array(t.column("q").to_numpy()[hit]), pa.array(base + least[hit]), pa.array(base + most[hit])], ["k", "q", "a1", "a2"])
-
-    for b in batches:
-        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-        key = t.column("key").to_numpy()
-        cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if len(key) and (key != key[-1]).any() else 0
-        rest = t.slice(cut)
-        if cut:
-            yield done(t.slice(0, cut))
-    if rest is not None and rest.num_rows:
-        yield done(rest)
-
-
-def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
-    """(k, spans): spans of bytes covered by strings that start elsewhere too, as array<struct<a, b>>; texts has k and text."""
-    occ = stash(texts.mapInArrow(_occurrences(length), "k long, g long, e long, q long, s1 long, s2 long"), "suf-occ")
-    classes = occ.groupBy("g", "e").agg(F.count("*").alias("c"), F.min(F.struct("k", "q")).alias("x"))
-    classes = classes.withColumn("n", F.count("*").over(Window.partitionBy("g"))).filter("c > 1 or n > 1")
-    classes = stash(classes.select("g", "e", "c", "n", "x.k", "x.q"), "suf-classes")
-    whole = occ.hint("merge").join(classes.filter("c > 1").select("g", "e"), ["g", "e"], "left_semi").select("k", F.col("s1").alias("a"), (F.col("s2") + length).alias("b"))
-    mixed = stash(classes.filter("n > 1").select(F.col("k").bitwiseXOR(F.shiftleft("q", 24)).alias("kq")), "suf-mixed")
-    rows = texts.mapInArrow(_stretches(key_filter(mixed, "kq"), length), "key long, k long, q long, c long, lo long, hi long, around binary")
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key")
-    part = sorted_rows.mapInArrow(_compare, "k long, q long, a1 long, a2 long").groupBy("k", "q").agg(F.min("a1").alias("a1"), F.max("a2").alias("a2"))
-    part = part.select("k", (F.col("q") - F.col("a2")).alias("a"), (F.col("q") + length - F.col("a1")).alias("b"))
-    return stash(whole.unionByName(part).groupBy("k").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suf-spans")
+        left, right = repeated_parts(t.column("g").to_numpy(), t.column("before").to_numpy(), t.column("text").to_pylist(), length)
+        hit = np.flatnonzero(right)
+        starts = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1), pa.int32()), pa.array(t.column("q").to_numpy()[hit] - left[hit], pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(t.column("k").to_numpy()[hit]), starts, pa.array(left[hit] + right[hit])], ["k", "starts", "n"])
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            g = t.column("g").to_numpy()
+            ends = np.flatnonzero(g[1:] != g[:-1]) + 1  # whole groups so far
+            at = 0
+            while len(ends) and ends[-1] - at >= CHUNK:
+                cut = int(ends[min(np.searchsorted(ends, at + CHUNK), len(ends) - 1)])
+                yield done(t.slice(at, cut - at))
+                at = cut
+            rest = t.slice(at)
+        if rest is not None and rest.num_rows:
+            yield done(rest)
+
+    return run
+
+
+def repeated_spans(texts: DataFrame, length: int, group: int = GROUP) -> DataFrame:
+    """(k, spans): spans of bytes covered by strings that start elsewhere too, as array<struct<starts, n>>; texts has k and text."""
+    spark = texts.sparkSession
+    with small_batches(spark, 512):
+        occ = stash(texts.mapInArrow(_distinct_runs(length), "k long, g long, d1 long, d2 long, r long, n long, starts array<long>"), "suf-runs")
+    classes = occ.groupBy("g", "d1", "d2").agg(F.sum(F.size("starts")).alias("c"), F.min("r").alias("r"))
+    classes = stash(classes, "suf-classes")
+    twice = classes.filter("c > 1").select("d1", "d2")
+    spans = [stash(occ.hint("merge").join(twice, ["d1", "d2"], "left_semi").select("k", "starts", "n"), "suf-whole")]
+
+    anchors = stash(classes.groupBy("g").agg(F.count("*").alias("classes")).filter("classes > 1"), "suf-anchors")
+    mixed = stash(classes.hint("merge").join(anchors, "g", "left_semi").select("r"), "suf-mixed")
+    wanted = key_filter(mixed, "r")
+    crowded = anchors.filter(F.col("classes") > group)
+    hot = None if crowded.isEmpty() else key_filter(crowded, "g")
+    with small_batches(spark, 512):
+        found = texts.mapInArrow(_contexts(wanted, hot, length), "g long, k long, q long, before long, text binary")
+        spans.append(stash(found.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(length), SPANS), "suf-sorted"))
+        if hot is not None:
+            strings = stash(texts.mapInArrow(_strings(wanted, hot, length), "k long, q long, start long, d1 long, d2 long"), "suf-strings")
+            again = stash(strings.groupBy("d1", "d2").agg(F.count("*").alias("c")).filter("c > 1").select("d1", "d2"), "suf-again")
+            reach = strings.hint("merge").join(again, ["d1", "d2"], "left_semi").groupBy("k", "q").agg(F.min("start").alias("a"), F.max("start").alias("b"))
+            spans.append(stash(reach.select("k", F.array("a").alias("starts"), (F.col("b") - F.col("a") + length).alias("n")), "suf-counted"))
+            release(strings, again)
+    release(occ, classes, anchors, mixed)
+    every = spans[0]
+    for x in spans[1:]:
+        every = every.unionByName(x)
+    out = stash(every.groupBy("k").agg(F.collect_list(F.struct("starts", "n")).alias("spans")), "suf-spans")
+    release(*spans)
+    return out
 
 
 def union_of(spans) -> list[list[int]]:
     out: list[list[int]] = []
-    for a, b in sorted((x["a"], x["b"]) for x in spans or ()):
+    for a, b in sorted((a, a + x["n"]) for x in spans or () for a in x["starts"]):
         if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
         else:
@@ -186,28 +331,29 @@ def _kept(data: bytes, spans: list[list[int]]) -> bytes:
     return b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
 
 
-def _joined(docs: DataFrame, length: int, columns: list[str]) -> DataFrame:
+def _joined(docs: DataFrame, length: int, group: int, columns: list[str]) -> DataFrame:
     texts = docs.select(row_key("doc_id", "text").alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(texts, length).withColumnsRenamed({"k": "__k", "spans": "__spans"})
+    spans = repeated_spans(texts, length, group).withColumnsRenamed({"k": "__k", "spans": "__spans"})
     return docs.select(*columns, row_key("doc_id", "text").alias("__k")).hint("merge").join(spans, "__k", "left").select(*columns, "__spans")
 
 
-def removal_digests(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the digest of what is left."""
+def removal_digests(docs: DataFrame, length: int = 400, group: int = GROUP) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, the digest of what is left, and its bytes."""
 
     def run(batches):
         for b in batches:
             rows = []
             for t, s in zip(b.column("text"), b.column("__spans"), strict=True):
                 data, spans = (t.as_py() or "").encode(), union_of(s.as_py())
-                rows.append((len(data), sum(y - x for x, y in spans), len(spans), hashlib.sha256(_kept(data, spans)).hexdigest()))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                left = _kept(data, spans)
+                rows.append((len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), len(left)))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string(), pa.int64()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
-    return _joined(docs, length, ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _joined(docs, length, group, ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long")
 
 
-def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, group: int = GROUP) -> DataFrame:
     """docs with the repeated bytes cut from text (bytes of characters that are cut through go too) and n_chars counted anew."""
     names = docs.columns
 
@@ -217,4 +363,4 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             own = {"text": pa.array(text, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in text], pa.int64())}
             yield pa.RecordBatch.from_arrays([own[c].cast(b.schema.field(c).type) if c in own else b.column(c) for c in names], names)
 
-    return _joined(docs, length, names).mapInArrow(run, docs.schema)
+    return _joined(docs, length, group, names).mapInArrow(run, docs.schema)
