@@ -1,29 +1,92 @@
 """Mixing sources to target weights by fixed-length blocks of tokens (words).
 
 The documents of a source lie one after another in an order fixed by hashes; their words are cut into blocks of `block` words.
-Each source gets a whole number of slots for its target. A slot goes to an output shard by a hash, so that a shard's counts of the
-sources are a multinomial draw given the sources' totals. Slots map to blocks by a permutation of the source's block indexes (a
-multiplication by a prime and a shift, new in each epoch), so a block is taken as often as any other or once less; blocks join
-slots by index. A target is at most three times its source's size, so no block is taken more than three times.
-
-Null source: a source of its own, last in order. Null or empty text: size 0, taken 0. Rows of equal id and text lie at places of
-their own in the query. Fewer than 10^9 blocks a source; take longer blocks beyond that.
+Each source gets a whole number of slots for its target. A multinomial draw for each source deals its slots out to the output shards,
+so that a shard's counts of the sources are a multinomial draw given the sources' totals, which keeps each source at its target.
+A shard's slots of a source follow those of the shard before it; a slot's block index is its place under a keyed pseudorandom
+permutation of the source's indexes (a Feistel network that walks its cycle until it is back in range), another one in each epoch. So
+a block is taken as often as any other or once less. Blocks join slots by index. A target is at most three times its source's size,
+so no block is taken more than three times. Any number of blocks that fits 62 bits has its permutation.
+
+Null source: a source of its own, last in order. Null or empty text: size 0, taken 0. Equal rows lie at places of their own. Ties in
+the order of documents are only between equal rows. Very long texts are cut as any other. An empty table gives an empty mix; further
+columns are carried by mixed_documents and told apart rows there and here, whatever their names.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, row_key, stash
+from .textops import mix
 
-PRIMES = (1000000007, 1000000009, 1000000021, 1000000033, 1000000087, 1000000093, 1000000097, 1000000103)  # larger than any number of blocks
 CHUNK = 8192  # slots made in one step
 MOST = 3
+ROUNDS = 6
+U = np.uint64
+
+
+def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The place of each x in a pseudorandom permutation of 0 .. n - 1 fixed by key; n and key for each x."""
+    half = np.array([max(1, (int(m) - 1).bit_length() + 1 >> 1) for m in np.unique(n)], np.uint64)[np.unique(n, return_inverse=True)[1].ravel()]
+    if (half > U(31)).any():
+        raise ValueError("a source has more blocks than 62 bits hold")
+    low = (U(1) << half) - U(1)
+
+    def once(v, at):
+        left, right = v >> half[at], v & low[at]
+        for i in range(ROUNDS):
+            left, right = right, left ^ (mix(mix(right + U(i)) ^ key[at]) & low[at])
+        return left << half[at] | right
+
+    out = once(x.astype(U), np.arange(len(x)))
+    while len(far := np.flatnonzero(out >= n.astype(U))):
+        out[far] = once(out[far], far)
+    return out.astype(np.int64)
+
+
+def _draws(shards: int, seed: int):
+    """For each source the slots of each shard, in chunks: sid, n, shard, first slot, number of slots."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for sid, n, slots in zip(*(b.column(c).to_pylist() for c in ("sid", "n", "slots")), strict=True):
+                counts = np.random.Generator(np.random.PCG64([seed, sid])).multinomial(slots, np.full(shards, 1 / shards)).tolist()
+                first = 0
+                for shard, count in enumerate(counts):
+                    for at in range(0, count, CHUNK):
+                        rows.append((sid, n, shard, first + at, min(CHUNK, count - at)))
+                        if len(rows) == 10_000:
+                            yield _batch(rows, ["sid", "n", "shard", "first", "count"])
+                            rows = []
+                    first += count
+            yield _batch(rows, ["sid", "n", "shard", "first", "count"])
+
+    return run
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
+
+
+def _blocks_of_slots(seed: int):
+    """sid, slot, index of its block, shard."""
+
+    def run(batches):
+        for b in batches:
+            for sid, n, shard, first, count in zip(*(b.column(c).to_pylist() for c in ("sid", "n", "shard", "first", "count")), strict=True):
+                slot = np.arange(first, first + count)
+                key = mix(mix(U(sid) ^ mix(U(seed) + U(1))) + (slot // n).astype(U))
+                index = permuted(slot % n, np.full(count, n), key)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, sid)), pa.array(slot), pa.array(index), pa.array(np.full(count, shard), pa.int32())], ["sid", "slot", "index", "shard"])
+
+    return run
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -49,7 +112,7 @@ def plan(docs: DataFrame, block: int = 128, shards: int = 16, seed: int = 1) ->
 def _plan(docs: DataFrame, block: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(documents with their places; their pieces; slots: sid, slot, index, shard; sources)."""
     text = F.col("text").cast("string")
-    rows = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), row_key("doc_id", "text").alias("k")), "mix-rows")
+    rows = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), row_key(*docs.columns).alias("k")), "mix-rows")
     buckets = min(1 << 20, max(64, -(-rows.count() // 50_000)))
     sources = stash(targets(rows), "mix-sources")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(buckets)))
@@ -67,11 +130,8 @@ def _plan(docs: DataFrame, block: int, shards: int, seed: int) -> tuple[DataFram
     parts = parts.select("sid", "off", "index", (first - F.col("off")).alias("first"), (F.least(F.col("off") + F.col("size"), (F.col("index") + 1) * block) - first).alias("words"))
 
     wanted = sources.filter("source_size > 0").withColumn("n", F.ceil(F.col("source_size") / block)).withColumn("slots", F.least(MOST * F.col("n"), F.round(F.col("target") * F.col("n") / F.col("source_size")).cast("long")))
-    chunks = wanted.filter("slots > 0").select("sid", "n", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk")).repartition("sid", "chunk")
-    slots = chunks.select("sid", "n", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1)).alias("slot"))
-    prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(len(PRIMES))) + 1).cast("int")).cast("long")
-    epoch = F.floor(F.col("slot") / F.col("n"))
-    slots = slots.select("sid", "slot", ((F.pmod(F.col("slot"), F.col("n")) * F.pmod(prime, F.col("n")) + F.pmod(F.xxhash64("sid", epoch, F.lit(seed)), F.col("n"))) % F.col("n")).alias("index"), F.pmod(F.xxhash64("sid", "slot", F.lit(seed), F.lit("shard")), F.lit(shards)).cast("int").alias("shard"))
+    drawn = stash(wanted.filter("slots > 0").select("sid", F.col("n").cast("long").alias("n"), F.col("slots").cast("long").alias("slots")).mapInArrow(_draws(shards, seed), "sid long, n long, shard long, first long, count long"), "mix-draws")
+    slots = drawn.repartition("sid", "shard", "first").mapInArrow(_blocks_of_slots(seed), "sid long, slot long, index long, shard int")
     return placed, parts, slots, sources
 
 
@@ -96,7 +156,7 @@ def _pieces(block: int):
 def _shard_blocks(docs: DataFrame, block: int = 128, shards: int = 16, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(placed documents; the rows of shard_blocks with sid and, in order, each document's off and words in the block)."""
     placed, _, slots, sources = _plan(docs, block, shards, seed)
-    texts = docs.select(row_key("doc_id", "text").alias("k"), F.col("text").cast("string").alias("text")).groupBy("k").agg(F.any_value("text").alias("text"))
+    texts = docs.select(row_key(*docs.columns).alias("k"), F.col("text").cast("string").alias("text")).groupBy("k").agg(F.any_value("text").alias("text"))
     pieces = placed.filter("size > 0").select("k", "sid", "off").hint("merge").join(texts, "k").select("sid", "off", "text").mapInArrow(_pieces(block), "sid long, index long, off long, words long, text string")
     joined = pieces.groupBy("sid", "index").agg(F.sort_array(F.collect_list(F.struct("off", "words", "text"))).alias("x"))
     joined = joined.select("sid", "index", F.array_join("x.text", "\n").alias("text"), F.transform("x", lambda p: F.struct(p["off"].alias("off"), p["words"].alias("words"))).alias("parts"))
@@ -147,13 +207,15 @@ def cut(text: str, parts: list[tuple[int, int, int]]) -> list[str]:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: columns of docs; up to three rows for a document, with the words taken in text and n_chars counted anew.
 
-    Rows of equal id and text are cut alike, each by the parts of the first. Documents of no words stay as they are.
+    Each of several equal rows is cut by the parts at its own place. Documents of no words stay as they are.
     """
     placed, parts = plan(docs, **how)
-    of = parts.groupBy("sid", "off").agg(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("words").cast("long").alias("words"), F.col("times").cast("long").alias("times"))).alias("parts"))
-    of = placed.hint("merge").join(stash(of, "mix-parts"), ["sid", "off"], "left").groupBy("k").agg(F.first("size").alias("size"), F.first("parts", ignorenulls=True).alias("parts"))
+    of = parts.groupBy("sid", "off").agg(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("words").cast("long").alias("words"), F.col("times").cast("long").alias("times"))).alias("__parts"))
+    of = placed.filter("size > 0").hint("merge").join(stash(of, "mix-parts"), ["sid", "off"]).select("k", "size", "__parts")
+    of = stash(of.unionByName(placed.filter("size = 0").select("k", "size", F.array().cast(of.schema["__parts"].dataType).alias("__parts"))), "mix-of")
     names = docs.columns
-    keyed = docs.withColumn("__k", row_key("doc_id", "text")).join(stash(of, "mix-of").withColumnRenamed("k", "__k").withColumnRenamed("parts", "__parts").withColumnRenamed("size", "__size"), "__k").filter("__size = 0 or __parts is not null").select(*names, "__parts", "__size")
+    one = docs.withColumn("__k", row_key(*names)).dropDuplicates(["__k"])
+    keyed = one.hint("merge").join(of.withColumnsRenamed({"k": "__k", "size": "__size"}), "__k").select(*names, "__parts", "__size")
 
     def run(batches):
         for b in batches:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 pytest.importorskip("riskloom.llm")
@@ -141,14 +142,42 @@ def test_mixing(spark):
     assert abs(sum(r.taken for r in out) - sum(r["size"] for r in out)) < 0.02 * sum(r["size"] for r in out)
     assert sorted(map(tuple, mixing.mixed_counts(df, block=4).collect()), key=str) == sorted(map(tuple, out), key=str)
     assert mixing.mixed_counts(df.limit(0)).count() == 0
-    plain = df.filter("doc_id >= 100").dropDuplicates(["doc_id"])
-    taken = {r.doc_id: r.taken for r in mixing.mixed_counts(plain, block=4).collect()}
-    mixed = {}
-    for r in mixing.mixed_documents(plain, block=4).collect():
-        mixed[r.doc_id] = mixed.get(r.doc_id, 0) + len(r.text.split())
+    taken, mixed = {}, {}  # equal rows are among them
+    for r in out:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    for r in mixing.mixed_documents(df, block=4).collect():
+        mixed[r.doc_id] = mixed.get(r.doc_id, 0) + len((r.text or "").encode().split())
     assert all(mixed.get(i, 0) == n for i, n in taken.items())
 
 
+def test_mixing_targets(spark):
+    """Water filling by hand: what a full source can't take goes to the others by weight, until none is above its cap."""
+    for sizes in ([5, 1000, 40, 300, 2], [100, 100, 100], [0, 7], [1, 1, 1000, 1, 1, 1]):
+        words = [("s%d" % i if i else None, n) for i, n in enumerate(sizes)]
+        order = sorted(range(len(words)), key=lambda i: (words[i][0] is None, words[i][0] or ""))
+        weight, full, total = {i: at % 3 + 1 for at, i in enumerate(order)}, {}, sum(sizes)
+        while True:
+            rest = [i for i in weight if i not in full]
+            share = {i: (total - sum(full.values())) * weight[i] / sum(weight[j] for j in rest) for i in rest}
+            above = [i for i in rest if share[i] > 3 * sizes[i]]
+            if not above:
+                break
+            full.update({i: 3 * sizes[i] for i in above})
+        want = {words[i][0]: x for i, x in (full | share).items()}
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(words, "source string, size long")).collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_permutation():
+    for n in (1, 2, 3, 17, 256, 1000, 4097):
+        x = np.arange(n)
+        a, b = (mixing.permuted(x, np.full(n, n), np.full(n, key, np.uint64)) for key in (3, 4))
+        assert sorted(a.tolist()) == sorted(b.tolist()) == x.tolist()
+        assert n < 17 or (a != b).mean() > 0.8
+    steps = np.diff(mixing.permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, 9, np.uint64)))
+    assert len(np.unique(steps)) > 500  # no arithmetic progressions
+
+
 def test_bpe(spark):
     import tiktoken
 
