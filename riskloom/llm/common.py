@@ -38,11 +38,15 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete stashed tables that nothing will read again."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stash_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(t.sparkSession, t._stash_path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
