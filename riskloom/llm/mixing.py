@@ -168,7 +168,7 @@ def _shard_blocks(docs: DataFrame, block: int = 128, shards: int = 16, seed: int
     starts = slots.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("start"))
     at = slots.withColumn("r", F.row_number().over(inner)).hint("merge").join(starts, ["shard", "bucket"]).select("sid", "index", "shard", (F.col("start") + F.col("r") - 1).alias("position"))
     at = at.join(F.broadcast(sources.select("sid", "source")), "sid")  # one row per source
-    blocks = stash(at.hint("merge").join(joined, ["sid", "index"]).select("shard", "position", "source", F.col("index").alias("block_index"), "text", "sid", "parts"), "mix-blocks")
+    blocks = at.hint("merge").join(joined, ["sid", "index"]).select("shard", "position", "source", F.col("index").alias("block_index"), "text", "sid", "parts")
     return placed, blocks
 
 
@@ -210,23 +210,24 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Each of several equal rows is cut by the parts at its own place. Documents of no words stay as they are.
     """
     placed, parts = plan(docs, **how)
-    of = parts.groupBy("sid", "off").agg(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("words").cast("long").alias("words"), F.col("times").cast("long").alias("times"))).alias("__parts"))
-    of = placed.filter("size > 0").hint("merge").join(stash(of, "mix-parts"), ["sid", "off"]).select("k", "size", "__parts")
-    of = stash(of.unionByName(placed.filter("size = 0").select("k", "size", F.array().cast(of.schema["__parts"].dataType).alias("__parts"))), "mix-of")
+    of = parts.groupBy("sid", "off").agg(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("words").cast("long").alias("words"), F.col("times").cast("long").alias("times"))).alias("parts"))
+    of = placed.filter("size > 0").hint("merge").join(stash(of, "mix-parts"), ["sid", "off"]).select("k", "size", "parts")
+    of = stash(of.unionByName(placed.filter("size = 0").select("k", "size", F.array().cast(of.schema["parts"].dataType).alias("parts"))), "mix-of")
     names = docs.columns
-    one = docs.withColumn("__k", row_key(*names)).dropDuplicates(["__k"])
-    keyed = one.hint("merge").join(of.withColumnsRenamed({"k": "__k", "size": "__size"}), "__k").select(*names, "__parts", "__size")
+    one = docs.select(F.struct(*names).alias("row"), row_key(*names).alias("k")).dropDuplicates(["k"])  # a struct: its names can't clash
+    keyed = one.hint("merge").join(of, "k").select("row", "parts", "size")
 
     def run(batches):
         for b in batches:
-            text, at, size = b.column("text").to_pylist(), b.column("__parts").to_pylist(), b.column("__size").to_pylist()
+            of = dict(zip(names, b.column("row").flatten(), strict=True))
+            text, at, size = of["text"].to_pylist(), b.column("parts").to_pylist(), b.column("size").to_pylist()
             rows, texts = [], []
             for i, (t, p, n) in enumerate(zip(text, at, size, strict=True)):
                 for x in [t] if not n else cut(t, [(q["first"], q["words"], q["times"]) for q in p]):
                     rows.append(i)
                     texts.append(x)
-            out = b.take(pa.array(rows, pa.int64()))
+            at = pa.array(rows, pa.int64())
             own = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if x is None else len(x) for x in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([own[c].cast(b.schema.field(c).type) if c in own else out.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([own[c].cast(of[c].type) if c in own else of[c].take(at) for c in names], names)
 
     return keyed.mapInArrow(run, docs.schema)
