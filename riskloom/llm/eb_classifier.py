@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import stash
 from .textops import LOWER, text_bytes, word_hashes
@@ -125,7 +126,7 @@ def evidence(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """The columns in keep, and the evidence of each head."""
     sent = docs.sparkSession.sparkContext.broadcast({h: (model[h]["weights"], model[h]["base"]) for h in HEADS})
     source = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).select(*keep, "__text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text") + "".join(f", __e_{h} double" for h in HEADS)
+    schema = StructType([f for f in source.schema if f.name != "__text"] + [StructField(f"__e_{h}", DoubleType()) for h in HEADS])
 
     def run(batches):
         for b in batches:
@@ -195,5 +196,6 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that the classifier keeps, with their columns."""
-    return score(docs, labels, F.col("source").cast("string"), F.col("lang").cast("string"), docs.columns, **how).filter("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang")  # a struct: its names can't clash
+    return score(rows, labels, F.col("source").cast("string"), F.col("lang").cast("string"), ["row"], **how).filter("kept").select("row.*")
 

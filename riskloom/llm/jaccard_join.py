@@ -382,5 +382,5 @@ def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     first = found.groupBy("wordless", "root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "k")).alias("x")).select(F.col("x.k").alias("__k"))
     keys = stash(first, "jac-keep")
     release(found)
-    kept = docs.withColumn("__k", row_key("doc_id", "text"))
-    return kept.hint("merge").join(keys, "__k", "left_semi").dropDuplicates(["__k"]).select(*docs.columns)
+    kept = docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("__k"))  # a struct: its names can't clash
+    return kept.hint("merge").join(keys, "__k", "left_semi").dropDuplicates(["__k"]).select("row.*")

@@ -331,10 +331,11 @@ def _kept(data: bytes, spans: list[list[int]]) -> bytes:
     return b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
 
 
-def _joined(docs: DataFrame, length: int, group: int, columns: list[str]) -> DataFrame:
+def _joined(docs: DataFrame, length: int, group: int) -> DataFrame:
+    """(row, spans): each row of docs as a struct, so that no name of its columns can clash."""
     texts = docs.select(row_key("doc_id", "text").alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(texts, length, group).withColumnsRenamed({"k": "__k", "spans": "__spans"})
-    return docs.select(*columns, row_key("doc_id", "text").alias("__k")).hint("merge").join(spans, "__k", "left").select(*columns, "__spans")
+    spans = repeated_spans(texts, length, group)
+    return docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("k")).hint("merge").join(spans, "k", "left").select("row", "spans")
 
 
 def removal_digests(docs: DataFrame, length: int = 400, group: int = GROUP) -> DataFrame:
@@ -343,14 +344,14 @@ def removal_digests(docs: DataFrame, length: int = 400, group: int = GROUP) -> D
     def run(batches):
         for b in batches:
             rows = []
-            for t, s in zip(b.column("text"), b.column("__spans"), strict=True):
+            for t, s in zip(b.column("text"), b.column("spans"), strict=True):
                 data, spans = (t.as_py() or "").encode(), union_of(s.as_py())
                 left = _kept(data, spans)
                 rows.append((len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), len(left)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string(), pa.int64()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
-    return _joined(docs, length, group, ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long")
+    return _joined(docs.select("doc_id", "text"), length, group).select("row.doc_id", "row.text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long")
 
 
 def without_repeats(docs: DataFrame, length: int = 400, group: int = GROUP) -> DataFrame:
@@ -359,8 +360,9 @@ def without_repeats(docs: DataFrame, length: int = 400, group: int = GROUP) -> D
 
     def run(batches):
         for b in batches:
-            text = [t if t is None or not s else _kept(t.encode(), union_of(s)).decode("utf-8", "ignore") for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True)]
+            of = dict(zip(names, b.column("row").flatten(), strict=True))
+            text = [t if t is None or not s else _kept(t.encode(), union_of(s)).decode("utf-8", "ignore") for t, s in zip(of["text"].to_pylist(), b.column("spans").to_pylist(), strict=True)]
             own = {"text": pa.array(text, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in text], pa.int64())}
-            yield pa.RecordBatch.from_arrays([own[c].cast(b.schema.field(c).type) if c in own else b.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([own[c].cast(of[c].type) if c in own else of[c] for c in names], names)
 
-    return _joined(docs, length, group, names).mapInArrow(run, docs.schema)
+    return _joined(docs, length, group).mapInArrow(run, docs.schema)
