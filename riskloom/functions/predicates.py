@@ -11,8 +11,8 @@ MAX_DEPTH, MAX_ARGS, MAX_IN = 6, 16, 512
 _COMPARE = {"eq": "__eq__", "ne": "__ne__", "gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__"}
 
 
-def build(spec: dict | None, columns: list[str], depth: int = 1) -> Column:
-    """None is TRUE. A value {"ref": "self.<col>"} is the probing row's own column, named self_<col>."""
+def build(spec: dict | None, columns: list[str], depth: int = 0) -> Column:
+    """None is TRUE. A value {"ref": "self.<col>"} is the probing row's own column, named self_<col>. The root is at depth 0."""
     if spec is None:
         return F.lit(True)
     if depth > MAX_DEPTH:
@@ -39,13 +39,21 @@ def build(spec: dict | None, columns: list[str], depth: int = 1) -> Column:
             raise ValueError("in takes 1 to 512 literals")
         return c.isin(value)
     if op == "between":
-        low, high = value
-        return c.between(low, high)
+        if not isinstance(value, list) or len(value) != 2:
+            raise ValueError("between takes two bounds")
+        return c.between(*(_bound(v, columns) for v in value))
     if op not in _COMPARE:
         raise ValueError(f"unknown operator {op!r}")
-    if isinstance(value, dict):
-        name = str(value.get("ref", ""))
-        if not name.startswith("self.") or name[5:] not in columns:
-            raise ValueError(f"unknown reference {value!r}")
-        value = F.col("self_" + name[5:])
-    return getattr(c, _COMPARE[op])(value)
+    return getattr(c, _COMPARE[op])(_bound(value, columns))
+
+
+def _bound(value, columns: list[str]):
+    """A literal, or the probing row's own column."""
+    if value is None:
+        raise ValueError("a comparison needs a value")
+    if not isinstance(value, dict):
+        return value
+    name = str(value.get("ref", ""))
+    if not name.startswith("self.") or name[5:] not in columns:
+        raise ValueError(f"unknown reference {value!r}")
+    return F.col("self_" + name[5:])

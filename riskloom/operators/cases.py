@@ -9,7 +9,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 
 def route(decisions: DataFrame, open_window: int) -> DataFrame:
-    """(subject, id, key, t, score, authorised) to (id, routing): raised, restated, folded, suppressed or no_authority.
+    """(subject, id, key, t, score, authorised) to (id, routing, case_id): raised, restated, folded, suppressed or no_authority. case_id is
+    the decision that raised the case: the own one, the one restated or folded into, or the one that suppresses.
 
     Decisions of a subject are folded in order (t, id): an open case of the same key with |t - first| <= window is restated if the score is
     higher and else folded; another open case of the subject in the window suppresses; the newest match wins.
@@ -17,7 +18,7 @@ def route(decisions: DataFrame, open_window: int) -> DataFrame:
     A gap longer than the window parts a subject's decisions into sessions: a case is at least as old as the decision before the gap. The
     decisions of a session are read in order as a stream; only the cases of the window are held. Null subjects are one subject; a decision with a null key or time meets no case.
     """
-    none = decisions.filter("not authorised").select("id", F.lit("no_authority").alias("routing"))
+    none = decisions.filter("not authorised").select("id", F.lit("no_authority").alias("routing"), F.lit(None).cast(decisions.schema["id"].dataType).alias("case_id"))
     mine = Window.partitionBy("subject").orderBy("t", "id")
     cut = F.coalesce((F.col("t") - F.lag("t").over(mine) > open_window).cast("int"), F.lit(0))
     parted = decisions.filter("authorised").select("subject", "id", "key", F.col("t").cast("long").alias("t"), F.col("score").cast("long").alias("score")).withColumn("cut", cut)
@@ -26,31 +27,47 @@ def route(decisions: DataFrame, open_window: int) -> DataFrame:
     kind = decisions.schema["id"].dataType
 
     def run(batches):
-        at, cases = None, []  # cases: [key, first, score], the newest last
+        at, cases = None, []  # cases: [key, first, score, id], the newest last
         for b in batches:
-            out = []
-            for subject, session, key, t, score in zip(*(b.column(c).to_pylist() for c in ("subject", "session", "key", "t", "score")), strict=True):
+            out, of = [], []
+            for subject, session, i, key, t, score in zip(*(b.column(c).to_pylist() for c in ("subject", "session", "id", "key", "t", "score")), strict=True):
                 if at != (subject, session):
                     at, cases = (subject, session), []
                 if key is None or t is None:
                     out.append("raised")
+                    of.append(i)
                     continue
                 cases = [c for c in cases if t - c[1] <= open_window]
                 hit = next((c for c in reversed(cases) if c[0] == key), None)
                 if hit is not None:
                     out.append("restated" if score is not None and hit[2] is not None and score > hit[2] else "folded")
+                    of.append(hit[3])
                     hit[2] = max((x for x in (hit[2], score) if x is not None), default=None)
                 elif cases:
                     out.append("suppressed")
+                    of.append(cases[-1][3])
                 else:
                     out.append("raised")
-                    cases.append([key, t, score])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.string())], ["id", "routing"])
+                    of.append(i)
+                    cases.append([key, t, score, i])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.string()), pa.array(of, b.column("id").type)], ["id", "routing", "case_id"])
 
-    routed = rows.select("subject", "session", "id", "key", "t", "score").mapInArrow(run, StructType([StructField("id", kind), StructField("routing", StringType())]))
+    routed = rows.select("subject", "session", "id", "key", "t", "score").mapInArrow(run, StructType([StructField("id", kind), StructField("routing", StringType()), StructField("case_id", kind)]))
     return routed.unionByName(none)
 
 
+def fold(routed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row for each case: (case_id, decision_id, first_event_at, last_event_at, triggering_events, score, ...).
+
+    decisions: id, t, score and further columns. First, last and number count the decisions raised, restated or folded into the case;
+    what the case says (decision_id, score, further columns) is that of its last restating decision, or else of the raising one."""
+    more = [c for c in decisions.columns if c not in ("id", "t")]
+    mine = routed.filter(F.col("routing").isin("raised", "restated", "folded")).join(decisions, "id")
+    says = F.max(F.when(F.col("routing") != "folded", F.struct("t", "id", *more))).alias("says")
+    out = mine.groupBy("case_id").agg(F.min("t").alias("first_event_at"), F.max("t").alias("last_event_at"), F.count("*").alias("triggering_events"), says)
+    return out.select("case_id", F.col("says.id").alias("decision_id"), "first_event_at", "last_event_at", "triggering_events", *[f"says.{c}" for c in more])
+
+
 def issue(routed: DataFrame, channels: DataFrame, preventive: list[str]) -> DataFrame:
     """(subject, action, band, routing) to (subject, action, channel): a preventive action is issued when a case is raised, a notice when
     it is raised or restated. An action and band without a channel is an error, never a default."""
@@ -62,7 +79,7 @@ def issue(routed: DataFrame, channels: DataFrame, preventive: list[str]) -> Data
 
 
 def priority(score, exposure, age_hours, weight: float = 0.5, floor: float = 10.0, half_life: float = 48.0):
-    """score x exposure factor x recency factor; factors are rounded half-even before they are multiplied."""
-    size = F.bround(1 + weight * F.log10(1 + F.greatest(exposure, F.lit(floor))), 6)
+    """score x exposure factor x recency factor; the factors are rounded half-even, to 3, 3 and 6 places, before they are multiplied."""
+    size = F.bround(1 + weight * F.log10(1 + F.greatest(exposure, F.lit(floor))), 3)
     recent = F.bround(F.pow(F.lit(0.5), F.greatest(age_hours, F.lit(0.0)) / half_life), 6)
-    return F.bround(score * size * recent, 3)
+    return F.bround(F.bround(score, 3) * size * recent, 3)

@@ -50,7 +50,8 @@ def rate_ratio(keep, scope, window, baseline):
 
 
 def out_over_in(value, w):
-    side = lambda d: F.sum(F.when(F.col("direction") == d, F.col(value).cast("double"))).over(w)
+    """Sums are of decimals, so their order doesn't matter; the two totals are divided as doubles."""
+    side = lambda d: F.sum(F.when(F.col("direction") == d, F.col(value))).over(w).cast("double")
     return _ratio(F.coalesce(side("outbound"), F.when(side("inbound").isNotNull(), 0.0)), side("inbound"))
 
 

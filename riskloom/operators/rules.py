@@ -29,38 +29,51 @@ def ledger(values: DataFrame, conditions: DataFrame, rules: DataFrame) -> DataFr
 
 
 def rule_scores(rows: DataFrame) -> DataFrame:
-    """Score, authority and veto state of each rule for each subject."""
-    veto = F.when(F.bool_or(F.col("status").isin("absent", "stale")), F.lit(None)).otherwise(F.bool_and("fired"))
+    """Score, authority and veto state of each rule for each subject.
+
+    A mitigator (negative points) without a present value takes away preventive authority (`sound`). A veto is established by its
+    mitigators: all fired; unknown (null) where one is absent, stale or of a failed fan-out; not where there are none or all are unresolvable."""
+    eases = F.col("points") < 0
+    mine = lambda c: F.bool_or(F.when(eases, c))
+    veto = F.when(F.count_if(eases) == 0, False).when(~mine(F.col("status") != "unresolvable"), False)
+    veto = veto.when(mine(F.col("status").isin("absent", "stale", "fanout_error")), F.lit(None).cast("boolean")).otherwise(F.bool_and(F.when(eases, F.col("fired"))))
+    sound = ~F.coalesce(mine(F.col("status") != "present"), F.lit(False))
     out = rows.groupBy("subject", "rule_id").agg(
         F.sum("contributed").alias("score"), F.first("satisfied").alias("satisfied"), F.first("action").alias("action"), F.first("severity").alias("severity"), F.first("preventive").alias("preventive"), F.first("is_veto").alias("is_veto"),
-        F.first("review").alias("review"), F.first("prevent").alias("prevent"), F.bool_and(F.col("status") == "present").alias("sound"), veto.alias("veto"),
+        F.first("review").alias("review"), F.first("prevent").alias("prevent"), sound.alias("sound"), veto.alias("veto"),
     )
     return out.withColumn("authorised", ~F.col("is_veto") & F.col("satisfied") & (F.col("score") >= F.col("review")))
 
 
 def consolidate(rows: DataFrame) -> DataFrame:
     """One signal for each (feature, direction) of a subject: the largest in size, ties to the lowest rule then condition; all
-    dropped where their sum isn't positive."""
-    fired = rows.filter("contributed <> 0").withColumn("direction", F.when(F.col("points") >= 0, "aggravating").otherwise("mitigating"))
+    dropped where their sum isn't positive. A fired condition of 0 points is a signal too, with its claimants."""
+    fired = rows.filter("fired and satisfied").withColumn("direction", F.when(F.col("points") >= 0, "aggravating").otherwise("mitigating"))
     best = F.min(F.struct(-F.abs("points"), F.col("rule_id"), F.col("condition_id"), F.col("points").alias("points"))).alias("best")
     s = fired.groupBy("subject", "feature", "direction").agg(best, F.array_sort(F.collect_set("rule_id")).alias("claimed"))
     s = s.select("subject", "feature", "direction", F.col("best.points").alias("contribution"), F.col("best.rule_id").alias("rule_id"), "claimed")
     return s.withColumn("score", F.sum("contribution").over(Window.partitionBy("subject"))).filter("score > 0")
 
 
+ALERT, MONITOR = 2, 1  # severities of these actions
+
+
 def decide(scores: DataFrame, signals: DataFrame, bands: list[tuple[str, int]]) -> DataFrame:
-    """One decision for each subject: score, band, action, source rule, veto state."""
+    """One decision for each subject: score, band, action, source rule, the rules that fired and those authorised.
+
+    A veto that is established or unknown lowers an action above `monitor` to it, and raises none."""
     points = signals.groupBy("subject").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("claimed")))), ",").alias("rules_fired"))
-    order = lambda keep: F.min(F.when(keep, F.struct(-F.col("severity"), F.col("rule_id"), F.col("action"), F.col("preventive"), (F.col("score") >= F.col("prevent")) & F.col("sound"))))
+    order = lambda keep: F.min(F.when(keep, F.struct(-F.col("severity"), F.col("rule_id"), F.col("action"), F.col("preventive"), F.col("severity").alias("level"), ((F.col("score") >= F.col("prevent")) & F.col("sound")).alias("may"))))
     allowed = F.col("authorised")
     per = scores.groupBy("subject").agg(
-        order(allowed).alias("top"), order(allowed & ~F.col("preventive")).alias("soft"), F.bool_or(F.when(F.col("is_veto"), F.col("veto"))).alias("vetoed"), F.bool_or(F.col("is_veto") & F.col("veto").isNull()).alias("unknown")
+        order(allowed).alias("top"), order(allowed & ~F.col("preventive")).alias("soft"), F.bool_or(F.when(F.col("is_veto"), F.col("veto"))).alias("vetoed"), F.bool_or(F.col("is_veto") & F.col("veto").isNull()).alias("unknown"), F.array_join(F.array_sort(F.collect_set(F.when(allowed, F.col("rule_id")))), "+").alias("rules_authorised")
     )
     d = per.join(points, "subject", "left")
     score = F.coalesce("score", F.lit(0))
     band = F.coalesce(*[F.when(score >= low, name) for name, low in bands])
-    prevents = F.col("top.preventive") & F.col("top.col5")
-    action = F.when(F.col("top").isNull(), "allow").when(~F.col("top.preventive") | prevents, F.col("top.action")).otherwise(F.coalesce("soft.action", F.lit("alert")))
+    kept = ~F.col("top.preventive") | F.col("top.may")
+    action = F.when(F.col("top").isNull(), "allow").when(kept, F.col("top.action")).otherwise(F.coalesce("soft.action", F.lit("alert")))
+    level = F.when(kept, F.col("top.level")).otherwise(F.coalesce("soft.level", F.lit(ALERT)))
     capped = F.coalesce("vetoed", F.lit(False)) | F.col("unknown")
-    action = F.when(capped & F.col("top").isNotNull(), "monitor").otherwise(action)
-    return d.select("subject", score.cast("long").alias("score"), band.alias("band"), action.alias("action"), F.col("top.rule_id").alias("source_rule"), F.coalesce("rules_fired", F.lit("")).alias("rules_fired"))
+    action = F.when(capped & F.col("top").isNotNull() & (level > MONITOR), "monitor").otherwise(action)
+    return d.select("subject", score.cast("long").alias("score"), band.alias("band"), action.alias("action"), F.col("top.rule_id").alias("source_rule"), F.coalesce("rules_fired", F.lit("")).alias("rules_fired"), "rules_authorised")

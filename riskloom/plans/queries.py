@@ -79,7 +79,7 @@ _feature("eq_const", lambda x: x.withColumn("value", reducers.eq_const("channel"
 _feature("min_gap", lambda x: reducers.min_gap(x, "account_id"), "SELECT p.txn_id, round((SELECT min((o.t - i.t) / 6e7) FROM tx o JOIN tx i ON i.account_id = o.account_id AND i.t <= o.t WHERE o.account_id = p.account_id AND o.t <= p.t AND o.direction = 'outbound' AND i.direction = 'inbound'), 5) AS value FROM tx p")
 _feature("age_minutes_latest", lambda x: reducers.age_minutes_latest(x, "account_id", _c("direction") == "inbound"), "SELECT p.txn_id, round((p.t - (SELECT max(h.t) FROM tx h WHERE h.account_id = p.account_id AND h.t <= p.t AND h.direction = 'inbound')) / 6e7, 5) AS value FROM tx p")
 _feature("age_minutes", lambda x: reducers.age_minutes(x, x.groupBy("device_id").agg((F.min("t") + DAY).alias("t0")), "device_id"), f"SELECT txn_id, round(CASE WHEN t0 <= t THEN (t - t0) / 6e7 END, 5) AS value FROM tx JOIN (SELECT device_id AS d, min(t) + {DAY} AS t0 FROM tx GROUP BY 1) ON d = device_id")
-_feature("geo_jump_km", lambda x: reducers.geo_jump(x, "card_id"), """, seen AS (SELECT p.txn_id, p.t AS pt, h.t, h.lat, h.lon, row_number() OVER (PARTITION BY p.txn_id ORDER BY h.t DESC, h.lat DESC, h.lon DESC) AS r FROM tx p JOIN tx h ON h.card_id = p.card_id AND h.t <= p.t AND h.lat IS NOT NULL),
+_feature("geo_jump_km", lambda x: reducers.geo_jump(x, "card_id"), """, hist AS MATERIALIZED (SELECT txn_id, card_id, t, lat, lon FROM tx), seen AS MATERIALIZED (SELECT p.txn_id, h.lat, h.lon, row_number() OVER (PARTITION BY p.txn_id ORDER BY h.t DESC, h.lat DESC, h.lon DESC) AS r FROM hist p JOIN hist h ON h.card_id = p.card_id WHERE h.t <= p.t AND h.lat IS NOT NULL AND h.lon IS NOT NULL),
  a AS (SELECT txn_id, lat AS la, lon AS lo FROM seen WHERE r = 1), b AS (SELECT s.txn_id, arg_min(s.lat, s.r) AS lat, arg_min(s.lon, s.r) AS lon FROM seen s JOIN a ON a.txn_id = s.txn_id WHERE s.lat <> la OR s.lon <> lo GROUP BY 1)
  SELECT tx.txn_id, round(2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(la - b.lat) / 2), 2) + cos(radians(b.lat)) * cos(radians(la)) * pow(sin(radians(lo - b.lon) / 2), 2)))), 5) AS value FROM tx LEFT JOIN a ON a.txn_id = tx.txn_id LEFT JOIN b ON b.txn_id = tx.txn_id""")
 _feature("pct_running_balance", lambda x: reducers.pct_of_running_balance(x, "account_id", "7d"), f""", m AS (SELECT p.txn_id, h.t, h.txn_id AS id, CAST(h.amount AS DOUBLE) AS x, h.direction FROM tx p JOIN tx h ON h.account_id = p.account_id AND h.t <= p.t AND h.t > p.t - {WEEK} AND h.auth_result = 'approved'),
@@ -148,8 +148,8 @@ def pit_status(spark, sf_dir):
     return pit.status(pit.as_of(*_store(transactions(spark, sf_dir))), DAY).select("probe_id", "status")
 
 
-RULES = [("R1", "challenge", 3, True, False, 40, 60), ("R2", "alert", 2, False, False, 20, 999), ("V1", "allow", 0, False, True, 999, 999)]
-CONDITIONS = [("R1", "c1", "n7", ">=", 4.0, 34, True), ("R1", "c2", "amt", ">", 60.0, 21, True), ("R1", "c3", "z", ">", 1.0, 18, False), ("R2", "c1", "n7", ">=", 3.0, 30, True), ("R2", "c2", "mcc", "!=", 4.0, 12, False), ("R2", "c3", "z", "<", 0.2, -9, False), ("V1", "c1", "mcc", "=", 3.0, -6, False)]
+RULES = [("R1", "challenge", 3, True, False, 40, 60), ("R2", "alert", 2, False, False, 20, 999), ("R3", "allow", 0, False, False, 0, 999), ("V1", "allow", 0, False, True, 999, 999)]
+CONDITIONS = [("R1", "c1", "n7", ">=", 4.0, 34, True), ("R1", "c2", "amt", ">", 60.0, 21, True), ("R1", "c3", "z", ">", 1.0, 18, False), ("R2", "c1", "n7", ">=", 3.0, 30, True), ("R2", "c2", "mcc", "!=", 4.0, 12, False), ("R2", "c3", "z", "<", 0.2, -9, False), ("R1", "c4", "mcc", "=", 7.0, -3, False), ("R3", "c1", "mcc", "=", 5.0, 0, False), ("V1", "c1", "mcc", "=", 3.0, -6, False), ("V1", "c2", "z", ">", 0.5, 2, False)]
 RULE_SCHEMA = "rule_id string, action string, severity int, preventive boolean, is_veto boolean, review int, prevent int"
 CONDITION_SCHEMA = "rule_id string, condition_id string, feature string, op string, operand double, points int, required boolean"
 BANDS = [("high", 75), ("elevated", 40), ("low", 0)]
@@ -173,9 +173,9 @@ _LEDGER = f"""WITH {TX}, f AS (SELECT p.txn_id AS subject, (SELECT count(*) FROM
  c(rule_id, condition_id, feature, op, operand, points, required) AS (VALUES {_literal(CONDITIONS)}), ru(rule_id, action, severity, preventive, is_veto, review, prevent) AS (VALUES {_literal(RULES)}),
  l0 AS (SELECT v.subject, c.*, ru.* EXCLUDE (rule_id), v.value IS NULL AS missing, coalesce(CASE op WHEN '>' THEN value > operand WHEN '>=' THEN value >= operand WHEN '<' THEN value < operand WHEN '=' THEN value = operand WHEN '!=' THEN value <> operand END, FALSE) AS fired FROM v JOIN c ON c.feature = v.feature JOIN ru ON ru.rule_id = c.rule_id),
  l AS (SELECT *, CASE WHEN fired AND satisfied THEN points ELSE 0 END AS contributed FROM (SELECT *, coalesce(bool_and(CASE WHEN required THEN fired END) OVER w, bool_or(fired) OVER w) AS satisfied FROM l0 WINDOW w AS (PARTITION BY subject, rule_id)))"""
-_SCORES = """, s AS (SELECT subject, rule_id, sum(contributed) AS score, any_value(satisfied) AS satisfied, any_value(action) AS action, any_value(severity) AS severity, any_value(preventive) AS preventive, any_value(is_veto) AS is_veto, any_value(review) AS review, any_value(prevent) AS prevent, bool_and(NOT missing) AS sound, CASE WHEN bool_or(missing) THEN NULL ELSE bool_and(fired) END AS veto FROM l GROUP BY 1, 2),
+_SCORES = """, s AS (SELECT subject, rule_id, sum(contributed) AS score, any_value(satisfied) AS satisfied, any_value(action) AS action, any_value(severity) AS severity, any_value(preventive) AS preventive, any_value(is_veto) AS is_veto, any_value(review) AS review, any_value(prevent) AS prevent, NOT coalesce(bool_or(missing) FILTER (points < 0), FALSE) AS sound, CASE WHEN count(*) FILTER (points < 0) = 0 THEN FALSE WHEN bool_or(missing) FILTER (points < 0) THEN NULL ELSE bool_and(fired) FILTER (points < 0) END AS veto FROM l GROUP BY 1, 2),
  sa AS (SELECT *, NOT is_veto AND satisfied AND score >= review AS authorised FROM s)"""
-_SIGNALS = """, g AS (SELECT subject, feature, direction, arg_min(points, (-abs(points), rule_id, condition_id)) AS contribution, list_sort(list(DISTINCT rule_id)) AS claimed, arg_min(rule_id, (-abs(points), rule_id, condition_id)) AS rule_id FROM (SELECT *, CASE WHEN points >= 0 THEN 'aggravating' ELSE 'mitigating' END AS direction FROM l WHERE contributed <> 0) GROUP BY 1, 2, 3),
+_SIGNALS = """, g AS (SELECT subject, feature, direction, arg_min(points, (-abs(points), rule_id, condition_id)) AS contribution, list_sort(list(DISTINCT rule_id)) AS claimed, arg_min(rule_id, (-abs(points), rule_id, condition_id)) AS rule_id FROM (SELECT *, CASE WHEN points >= 0 THEN 'aggravating' ELSE 'mitigating' END AS direction FROM l WHERE fired AND satisfied) GROUP BY 1, 2, 3),
  sg AS (SELECT * FROM (SELECT *, sum(contribution) OVER (PARTITION BY subject) AS score FROM g) WHERE score > 0)"""
 
 
@@ -200,11 +200,11 @@ def consolidate(spark, sf_dir):
 
 
 _DECIDE = _LEDGER + _SCORES + _SIGNALS + """, pt AS (SELECT subject, max(score) AS score, array_to_string(list_sort(list_distinct(flatten(list(claimed)))), ',') AS rules_fired FROM sg GROUP BY 1),
- top AS (SELECT subject, rule_id, action, preventive, score >= prevent AND sound AS may FROM sa WHERE authorised QUALIFY row_number() OVER (PARTITION BY subject ORDER BY severity DESC, rule_id) = 1),
- soft AS (SELECT subject, action FROM sa WHERE authorised AND NOT preventive QUALIFY row_number() OVER (PARTITION BY subject ORDER BY severity DESC, rule_id) = 1),
- vt AS (SELECT subject, coalesce(bool_or(CASE WHEN is_veto THEN veto END), FALSE) OR bool_or(is_veto AND veto IS NULL) AS capped FROM sa GROUP BY 1),
+ top AS (SELECT subject, rule_id, action, severity, preventive, score >= prevent AND sound AS may FROM sa WHERE authorised QUALIFY row_number() OVER (PARTITION BY subject ORDER BY severity DESC, rule_id) = 1),
+ soft AS (SELECT subject, action, severity FROM sa WHERE authorised AND NOT preventive QUALIFY row_number() OVER (PARTITION BY subject ORDER BY severity DESC, rule_id) = 1),
+ vt AS (SELECT subject, coalesce(bool_or(CASE WHEN is_veto THEN veto END), FALSE) OR bool_or(is_veto AND veto IS NULL) AS capped, coalesce(array_to_string(list_sort(list(rule_id) FILTER (authorised)), '+'), '') AS rules_authorised FROM sa GROUP BY 1),
  d AS (SELECT vt.subject, CAST(coalesce(pt.score, 0) AS BIGINT) AS score, CASE WHEN coalesce(pt.score, 0) >= 75 THEN 'high' WHEN coalesce(pt.score, 0) >= 40 THEN 'elevated' ELSE 'low' END AS band,
- CASE WHEN top.subject IS NULL THEN 'allow' WHEN capped THEN 'monitor' WHEN NOT top.preventive OR may THEN top.action ELSE coalesce(soft.action, 'alert') END AS action, top.rule_id AS source_rule, coalesce(rules_fired, '') AS rules_fired
+ CASE WHEN top.subject IS NULL THEN 'allow' WHEN capped AND CASE WHEN NOT top.preventive OR may THEN top.severity ELSE coalesce(soft.severity, 2) END > 1 THEN 'monitor' WHEN NOT top.preventive OR may THEN top.action ELSE coalesce(soft.action, 'alert') END AS action, top.rule_id AS source_rule, coalesce(rules_fired, '') AS rules_fired, rules_authorised
  FROM vt LEFT JOIN pt ON pt.subject = vt.subject LEFT JOIN top ON top.subject = vt.subject LEFT JOIN soft ON soft.subject = vt.subject)"""
 
 
@@ -247,21 +247,10 @@ def exposure_all(spark, sf_dir):
     return exposure.exposures(transactions(spark, sf_dir), {k: f"{k}_id" for k in ("account", "card", "device", "merchant")})
 
 
-_ISSUES = "SELECT subject, action AS action, channel FROM d JOIN (VALUES ('challenge', 'high', 'push'), ('challenge', 'elevated', 'sms'), ('challenge', 'low', 'sms')) c(action, band, channel) USING (action, band)"
-
-
+PREVENTIVE = ["challenge"]
 CHANNELS = [("challenge", "high", "push"), ("challenge", "elevated", "sms"), ("challenge", "low", "sms"), ("notify", "high", "queue"), ("notify", "elevated", "inbox"), ("notify", "low", "inbox")]
 
 
-@query("actions_issued", _DECIDE + f" {_ISSUES} UNION ALL SELECT subject, 'notify', CASE band WHEN 'high' THEN 'queue' ELSE 'inbox' END FROM d WHERE source_rule IS NOT NULL")
-def actions_issued(spark, sf_dir):
-    """A preventive action and a notice for each decision with a source rule, each with the channel of its action and band. As the SQL,
-    this knows no routing: actions_routed has what is really issued."""
-    d = decisions(spark, sf_dir).filter("source_rule is not null")
-    issued = d.select("subject", "band", F.explode(F.array_compact(F.array(F.when(_c("action") == "challenge", _c("action")), F.lit("notify")))).alias("action"))
-    return issued.join(F.broadcast(spark.createDataFrame(CHANNELS, "action string, band string, channel string")), ["action", "band"], "left").select("subject", "action", "channel")
-
-
 @query("rule_catalog", _LEDGER + " SELECT rule_id, condition_id, points, CASE WHEN n_fired = 0 THEN 'never fired' WHEN points >= 0 THEN 'aggravating' ELSE 'mitigating' END AS standing, n_fired FROM (SELECT rule_id, condition_id, any_value(points) AS points, count(*) FILTER (fired) AS n_fired FROM l GROUP BY 1, 2)")
 def rule_catalog(spark, sf_dir):
     """Each condition with its direction, or that it never fired."""
@@ -269,19 +258,41 @@ def rule_catalog(spark, sf_dir):
     return by.select("rule_id", "condition_id", "points", F.when(_c("n_fired") == 0, "never fired").when(_c("points") >= 0, "aggravating").otherwise("mitigating").alias("standing"), "n_fired")
 
 
-@query("case_routing", None)
+_ROUTED = _DECIDE + f""", dt AS MATERIALIZED (SELECT d.*, tx.t, tx.account_id FROM d JOIN tx ON txn_id = subject), o AS MATERIALIZED (SELECT account_id, subject AS id, concat('account:', account_id, ':', rules_authorised) AS key, t, score, row_number() OVER (PARTITION BY account_id ORDER BY t, subject) AS n FROM dt WHERE source_rule IS NOT NULL),
+ fold AS (SELECT account_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, '' AS routing, CAST(NULL AS BIGINT) AS case_id, CAST(NULL AS VARCHAR) AS ck, CAST(NULL AS BIGINT) AS cf, CAST(NULL AS BIGINT) AS cs FROM o WHERE n = 1 UNION ALL
+ SELECT account_id, n, id, CASE WHEN open AND ck = key AND score > cs THEN 'restated' WHEN open AND ck = key THEN 'folded' WHEN open THEN 'suppressed' ELSE 'raised' END, CASE WHEN open THEN case_id ELSE id END, CASE WHEN open THEN ck ELSE key END, CASE WHEN open THEN cf ELSE t END, CASE WHEN NOT open THEN score WHEN ck = key THEN greatest(cs, score) ELSE cs END
+ FROM (SELECT o.account_id, o.n, o.id, o.key, o.t, o.score, case_id, ck, cf, cs, coalesce(o.t - cf <= {WEEK}, FALSE) AS open FROM fold JOIN o ON o.account_id = fold.account_id AND o.n = fold.n + 1)),
+ routed AS MATERIALIZED (SELECT id, routing, case_id FROM fold WHERE n > 0 UNION ALL SELECT subject, 'no_authority', NULL FROM dt WHERE source_rule IS NULL)"""
+_ROUTED = _ROUTED.replace("WITH ", "WITH RECURSIVE ", 1)  # at most one case of an account is open at a time: a new one is raised only when none is in its window
+
+
+@query("case_routing", _ROUTED + " SELECT id, routing, case_id FROM routed")
 def case_routing(spark, sf_dir):
     d = decisions(spark, sf_dir).join(transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "t", "account_id"), "subject")
-    key = F.concat_ws(":", F.lit("account"), _c("account_id").cast("string"), "source_rule")
+    key = F.concat_ws(":", F.lit("account"), _c("account_id").cast("string"), "rules_authorised")
     return cases.route(d.select(_c("account_id").alias("subject"), _c("subject").alias("id"), key.alias("key"), "t", "score", _c("source_rule").isNotNull().alias("authorised")), WEEK)
 
 
-@query("actions_routed", None)
+_CHANNELS_SQL = "c(action, band, channel) AS (VALUES ('challenge', 'high', 'push'), ('challenge', 'elevated', 'sms'), ('challenge', 'low', 'sms'), ('notify', 'high', 'queue'), ('notify', 'elevated', 'inbox'), ('notify', 'low', 'inbox'))"
+_ISSUED = _ROUTED + f", {_CHANNELS_SQL.replace('c(', 'chan(', 1)}, issued AS (SELECT subject, action, band FROM dt JOIN routed ON id = subject WHERE routing = 'raised' AND action = 'challenge' UNION ALL SELECT subject, 'notify', band FROM dt JOIN routed ON id = subject WHERE routing IN ('raised', 'restated'))"
+
+
+@query("actions_routed", _ISSUED + " SELECT subject, action, channel FROM issued LEFT JOIN chan USING (action, band)")
 def actions_routed(spark, sf_dir):
     """What is issued: a preventive action for raised decisions, a notice for raised and restated ones. A missing channel is an error."""
     d = decisions(spark, sf_dir).join(case_routing(spark, sf_dir).withColumnRenamed("id", "subject"), "subject")
     channels = spark.createDataFrame(CHANNELS, "action string, band string, channel string")
-    return cases.issue(d.select("subject", "action", "band", "routing"), channels, sorted({r[1] for r in RULES if r[3]}))
+    return cases.issue(d.select("subject", "action", "band", "routing"), channels, PREVENTIVE)
+
+
+@query("actions_issued", _ISSUED + " SELECT subject, action, channel, t AS issued_at, case_id FROM issued JOIN (SELECT subject, t FROM dt) USING (subject) LEFT JOIN chan USING (action, band) LEFT JOIN routed ON id = subject")
+def actions_issued(spark, sf_dir):
+    """The actions issued, with their instant (that of the decision) and their case."""
+    d = decisions(spark, sf_dir).join(case_routing(spark, sf_dir).withColumnRenamed("id", "subject"), "subject")
+    channels = spark.createDataFrame(CHANNELS, "action string, band string, channel string")
+    at = transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), _c("t").alias("issued_at"))
+    issued = cases.issue(d.select("subject", "action", "band", "routing"), channels, PREVENTIVE)
+    return issued.join(at, "subject").join(d.select("subject", "case_id"), "subject")
 
 
 @query("ingest_reject", f"WITH {TX} SELECT txn_id, concat_ws(',', CASE WHEN mcc IS NULL THEN 'missing mcc' END, CASE WHEN s_suppkey IS NULL THEN 'unknown device' END, CASE WHEN amount < 1 THEN 'amount too small' END) AS reasons FROM tx LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier) ON s_suppkey = device_id WHERE mcc IS NULL OR s_suppkey IS NULL OR amount < 1")
@@ -333,9 +344,14 @@ def band_calibration(spark, sf_dir):
     return g.orderBy(F.desc("gap"), "score").limit(2).withColumn("cut", (F.round((_c("score") + _c("gap") / 2) / 5) * 5).cast("long"))
 
 
-@query("priority_queue", None)
+_PRIORITY = _DECIDE + f""", ex AS (SELECT p.txn_id, p.t, coalesce((SELECT sum(h.amount) FROM tx h WHERE h.account_id = p.account_id AND h.direction = 'outbound' AND h.t <= p.t AND h.t > p.t - {90 * DAY}), 0) AS exposure FROM tx p)
+ SELECT subject, score, round_even(round_even(CAST(score AS DOUBLE), 3) * round_even(1 + 0.5 * log10(1 + greatest(CAST(exposure AS DOUBLE), 10.0)), 3) * round_even(pow(0.5, greatest((now - t) / 3.6e9, 0) / 48.0), 6), 3) AS priority FROM d JOIN ex ON txn_id = subject, (SELECT max(t) AS now FROM tx) WHERE score > 0 ORDER BY priority DESC, subject LIMIT 100 OFFSET 20"""
+
+
+@query("priority_queue", _PRIORITY)
 def priority_queue(spark, sf_dir):
+    """The second page of the queue, 100 a page after the 20 on top."""
     d = decisions(spark, sf_dir).filter("score > 0").join(transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "t"), "subject").join(exposure_account(spark, sf_dir).withColumnRenamed("txn_id", "subject"), "subject")
     now = transactions(spark, sf_dir).agg(F.max("t").alias("now"))
     d = d.join(F.broadcast(now), F.lit(True))  # one row
-    return d.withColumn("priority", cases.priority(_c("score").cast("double"), _c("exposure").cast("double"), (_c("now") - _c("t")) / 3.6e9)).orderBy(F.desc("priority"), "subject").limit(100).select("subject", "score", "priority")
+    return d.withColumn("priority", cases.priority(_c("score").cast("double"), _c("exposure").cast("double"), (_c("now") - _c("t")) / 3.6e9)).orderBy(F.desc("priority"), "subject").offset(20).limit(100).select("subject", "score", "priority")

@@ -14,11 +14,15 @@ def test_predicates_refuse_the_unknown(spark):
     for bad in ({"op": "like", "col": "a", "value": 1}, {"op": "eq", "col": "z", "value": 1}, {"op": "not", "args": []}, {"op": "eq", "col": "a", "value": {"ref": "self.z"}}):
         with pytest.raises(ValueError):
             predicates.build(bad, ["a"])
+    for bad in ({"op": "eq", "col": "a"}, {"op": "between", "col": "a", "value": [1]}, {"op": "between", "col": "a", "value": [1, {"ref": "a"}]}):
+        with pytest.raises(ValueError):
+            predicates.build(bad, ["a"])
     deep = {"op": "eq", "col": "a", "value": 1}
     for _ in range(6):
         deep = {"op": "not", "args": [deep]}
+    predicates.build(deep, ["a"])  # the root is at depth 0, so its comparison is at depth 6
     with pytest.raises(ValueError):
-        predicates.build(deep, ["a"])
+        predicates.build({"op": "not", "args": [deep]}, ["a"])
     df = spark.createDataFrame([(1,), (None,), (3,)], "a int")
     assert df.filter(predicates.build(None, ["a"])).count() == 3
     assert df.filter(predicates.build({"op": "ne", "col": "a", "value": 1}, ["a"])).count() == 1
