@@ -11,12 +11,14 @@ one span around it.
    comparison takes a logarithmic number of steps. Neighbours' common extensions L before and R from the anchor are then taken from
    the bytes themselves; where a collision of hashes has misled the sort, the group is sorted again by its bytes. Two runs share a
    string where L + R comes to `length` or more.
-3. Anchors of more than `group` classes, such as the edges of a passage that very many documents share, are never gathered: each string
-   of their runs is counted by a 128-bit digest, with map-side combine.
+3. Anchors of more than `group` classes, such as the edges of a passage that very many documents share, are never gathered. Their runs
+   are sorted over all tasks, by ranges of what follows the anchor and of what stands before it. No extension of a run to one side is
+   longer than that with a neighbour in that order; what a run shares with near neighbours is repeated for certain. Strings between
+   the two bounds are counted by a 128-bit digest, with those strings of other runs that a membership filter lets through.
 
 Null text: no bytes. Matches never cross documents. Rows of equal id and text are two documents. Long texts are read in pieces of
 1 MB. Empty tables give empty results; further columns of any name are carried or left out, never read. Ties need no rule: all
-copies of a repeated string go. Strings counted in step 1 and 3 are equal by 128-bit digest, those of step 2 by their bytes.
+copies of a repeated string go. Strings counted in steps 1 and 3 are equal by 128-bit digest, all others by their bytes.
 """
 
 from __future__ import annotations
@@ -117,10 +119,10 @@ def _chosen(batch, length: int, wanted, hot, want_hot: bool):
                 yield k, g[pick], q[pick], piece, at, s[pick], e[pick]
 
 
-def _contexts(wanted, hot, length: int):
+def _contexts(wanted, hot, want_hot: bool, length: int):
     def run(batches):
         for b in batches:
-            for k, g, q, piece, at, s, e in _chosen(b, length, wanted, hot, False):
+            for k, g, q, piece, at, s, e in _chosen(b, length, wanted, hot, want_hot):
                 view = piece.tobytes()
                 text = [view[x:y] for x, y in zip(s.tolist(), (e + length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), k)), pa.array(q + at), pa.array(q - s), pa.array(text, pa.binary())], ["g", "k", "q", "before", "text"])
@@ -128,14 +130,24 @@ def _contexts(wanted, hot, length: int):
     return run
 
 
-def _strings(wanted, hot, length: int):
+def _strings(length: int, some=None):
+    """Strings of runs with their bytes: place and digest. Those that a filter of digests lets through, or those that start a bytes before
+    the anchor for a in (sure_l, most_l] or length - a in (sure_r, most_r]."""
+
     def run(batches):
         for b in batches:
-            for k, _, q, piece, at, s, e in _chosen(b, length, wanted, hot, True):
-                n = e - s + 1
-                start = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
-                d = _digests(piece, start, start + length)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(start), k), np.repeat(q, n) + at, start + at, d[:, 0], d[:, 1])], ["k", "q", "start", "d1", "d2"])
+            cols = {c: b.column(c).to_pylist() for c in b.schema.names}
+            for i, (k, q, before, text) in enumerate(zip(*(cols[c] for c in ("k", "q", "before", "text")), strict=True)):
+                start = np.arange(len(text) - length + 1)
+                if some is None:
+                    a = before - start
+                    of = lambda x: cols[x][i]  # noqa: B023, E731
+                    start = start[(a <= of("most_l")) & (length - a <= of("most_r")) & ((a > of("sure_l")) | (length - a > of("sure_r")))]
+                d = _digests(np.frombuffer(text, np.uint8), start, start + length)
+                if some is not None:
+                    hit = some.value.mask(d[:, 0])
+                    start, d = start[hit], d[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(start), k), np.full(len(start), q), q - before + start, d[:, 0], d[:, 1])], ["k", "q", "start", "d1", "d2"])
 
     return run
 
@@ -199,17 +211,21 @@ class Suffixes:
         n = int(self.size[step][x])
         return self.bytes[x, self.at : self.at + n].tobytes() if step > 0 else self.bytes[x, self.at - n : self.at][::-1].tobytes()
 
-    def neighbours(self, start: np.ndarray, size: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-        """(order, common extension with the next run in it), by the bytes. A sort that a collision misled is done again by bytes."""
-        order = self.sort(start, size, step)
-        x, y = order[:-1], order[1:]
+    def common(self, x: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
+        """As extension, by the bytes."""
         span = slice(self.at, None) if step > 0 else slice(None, self.at)
-        common = np.zeros(len(x), np.int64)
+        out = np.zeros(len(x), np.int64)
         for i in range(0, len(x), 512):
             same = self.bytes[x[i : i + 512], span] == self.bytes[y[i : i + 512], span]
             same = np.concatenate((same if step > 0 else same[:, ::-1], np.zeros((len(same), 1), bool)), axis=1)
-            common[i : i + 512] = same.argmin(axis=1)
-        common = np.minimum(common, np.minimum(self.size[step][x], self.size[step][y]))
+            out[i : i + 512] = same.argmin(axis=1)
+        return np.minimum(out, np.minimum(self.size[step][x], self.size[step][y]))
+
+    def neighbours(self, start: np.ndarray, size: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(order, common extension with the next run in it), by the bytes. A sort that a collision misled is done again by bytes."""
+        order = self.sort(start, size, step)
+        x, y = order[:-1], order[1:]
+        common = self.common(x, y, step)
         inner = start[1:] == start[:-1]
         if (inner & (self._next(x, common, step) > self._next(y, common, step))).any():
             order = np.array(sorted(range(len(start)), key=lambda i: (start[i], self.string(i, step))))
@@ -283,6 +299,74 @@ def _compare(length: int):
     return run
 
 
+# ---------------------------------------------------------------- runs of an anchor with very many classes
+
+def _beside(length: int, step: int, near: int = 3):
+    """For rows in order of the anchor and what is to one side of it: the longest extension to that side (most; all there is where a
+    neighbour may be in another task), and how far to this and the other side a near row shares strings for certain."""
+    names = ["k", "q", "most", "sure", "sure_other"]
+
+    def out(t, start: int, stop: int, first: bool, last: bool):
+        s = Suffixes(t.column("text").to_pylist(), t.column("before").to_numpy(), length)
+        n, g = t.num_rows, t.column("g").to_numpy()
+        most, sure, other = (np.zeros(n, np.int64) for _ in range(3))
+        for d in range(1, min(near, n - 1) + 1):
+            x = np.arange(n - d)
+            same = g[x] == g[x + d]
+            e, o = (np.where(same, s.common(x, x + d, z), 0) for z in (step, -step))
+            fits = e + o >= length
+            for at in (x, x + d):
+                if d == 1:
+                    most[at] = np.maximum(most[at], e)
+                sure[at], other[at] = np.maximum(sure[at], e * fits), np.maximum(other[at], o * fits)
+        if first:
+            most[0] = s.size[step][0]
+        if last:
+            most[n - 1] = s.size[step][n - 1]
+        return pa.RecordBatch.from_arrays([t.column("k").to_numpy()[start:stop], t.column("q").to_numpy()[start:stop], *(x[start:stop] for x in (most, sure, other))], names)
+
+    def run(batches):
+        held, start, first = None, 0, True  # start: the first row of held not given out; `near` rows before it are kept
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            stop = t.num_rows - near
+            if stop > start:
+                yield out(t, start, stop, first, False)
+                start, first = stop, False
+            keep = max(0, start - near)
+            held, start = t.slice(keep), start - keep
+        if held is not None and held.num_rows:
+            yield out(held, start, held.num_rows, first, True)
+
+    return run
+
+
+def _crowded(hot: DataFrame, length: int) -> list[DataFrame]:
+    """Spans of runs (g, k, q, before, text) whose anchors have very many classes."""
+    parts = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = F.reverse(F.substring(F.hex("text"), F.lit(1), 2 * F.col("before")))  # digits backwards: an order in which long extensions are near
+    found = {}
+    with small_batches(hot.sparkSession, CHUNK):
+        for name, step, key in (("r", 1, F.substring(F.hex("text"), 2 * F.col("before") + 1, F.lit(2 * length))), ("l", -1, side)):
+            rows = hot.withColumn("key", key).repartitionByRange(parts, "g", "key").sortWithinPartitions("g", "key").drop("key")
+            found[name] = stash(rows.mapInArrow(_beside(length, step), "k long, q long, most long, sure long, sure_other long"), "suf-beside")
+    r, l = (found[c].select("k", "q", *[F.col(x).alias(f"{x}_{c}") for x in ("most", "sure", "sure_other")]) for c in "rl")  # noqa: E741
+    both = r.hint("merge").join(l, ["k", "q"]).select("k", "q", "most_l", "most_r", F.greatest("sure_l", "sure_other_r").alias("sure_l"), F.greatest("sure_r", "sure_other_l").alias("sure_r"))
+    both = stash(both, "suf-both")
+    spans = [both.filter("sure_r > 0").select("k", F.array(F.col("q") - F.col("sure_l")).alias("starts"), (F.col("sure_l") + F.col("sure_r")).alias("n"))]
+    open_ = both.filter((F.col("most_l") + F.col("most_r") >= length) & ((F.col("sure_l") < F.col("most_l")) | (F.col("sure_r") < F.col("most_r"))))
+    schema = "k long, q long, start long, d1 long, d2 long"
+    asked = stash(hot.hint("merge").join(open_, ["k", "q"]).mapInArrow(_strings(length), schema), "suf-asked")
+    if not asked.isEmpty():
+        strings = stash(hot.mapInArrow(_strings(length, key_filter(asked, "d1")), schema), "suf-strings")
+        again = stash(strings.groupBy("d1", "d2").agg(F.count("*").alias("c")).filter("c > 1").select("d1", "d2"), "suf-again")
+        reach = asked.hint("merge").join(again, ["d1", "d2"], "left_semi").groupBy("k", "q").agg(F.min("start").alias("a"), F.max("start").alias("b"))
+        spans.append(stash(reach.select("k", F.array("a").alias("starts"), (F.col("b") - F.col("a") + length).alias("n")), "suf-counted"))
+        release(strings, again)
+    release(asked, *found.values())
+    return spans
+
+
 def repeated_spans(texts: DataFrame, length: int, group: int = GROUP) -> DataFrame:
     """(k, spans): spans of bytes covered by strings that start elsewhere too, as array<struct<starts, n>>; texts has k and text."""
     spark = texts.sparkSession
@@ -298,21 +382,17 @@ def repeated_spans(texts: DataFrame, length: int, group: int = GROUP) -> DataFra
     wanted = key_filter(mixed, "r")
     crowded = anchors.filter(F.col("classes") > group)
     hot = None if crowded.isEmpty() else key_filter(crowded, "g")
+    schema = "g long, k long, q long, before long, text binary"
     with small_batches(spark, 512):
-        found = texts.mapInArrow(_contexts(wanted, hot, length), "g long, k long, q long, before long, text binary")
+        found = texts.mapInArrow(_contexts(wanted, hot, False, length), schema)
         spans.append(stash(found.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(length), SPANS), "suf-sorted"))
-        if hot is not None:
-            strings = stash(texts.mapInArrow(_strings(wanted, hot, length), "k long, q long, start long, d1 long, d2 long"), "suf-strings")
-            again = stash(strings.groupBy("d1", "d2").agg(F.count("*").alias("c")).filter("c > 1").select("d1", "d2"), "suf-again")
-            reach = strings.hint("merge").join(again, ["d1", "d2"], "left_semi").groupBy("k", "q").agg(F.min("start").alias("a"), F.max("start").alias("b"))
-            spans.append(stash(reach.select("k", F.array("a").alias("starts"), (F.col("b") - F.col("a") + length).alias("n")), "suf-counted"))
-            release(strings, again)
+        if hot is not None:  # rows of equal id and text are of a class found twice already
+            spans += _crowded(stash(texts.mapInArrow(_contexts(wanted, hot, True, length), schema).dropDuplicates(["k", "q"]), "suf-hot"), length)
     release(occ, classes, anchors, mixed)
     every = spans[0]
     for x in spans[1:]:
         every = every.unionByName(x)
     out = stash(every.groupBy("k").agg(F.collect_list(F.struct("starts", "n")).alias("spans")), "suf-spans")
-    release(*spans)
     return out
 
 
