@@ -7,8 +7,9 @@ that fails, which needs no correction along the sequence; the error level is div
 A stratum without enough labels has no cutoff, so the rules reject nothing there.
 
 Nulls: a null text has no words and fails the base rules; a null language is the stratum "none"; labels with a null id or quality
-count nowhere; several labels of one id count as the worst. Rows with equal ids each get their own result. Strata beyond the
-`max_strata` with the most labels share one, which bounds all that is held on the driver.
+count nowhere; several labels of one id count as the worst. Rows with equal ids each get their own result; repeated rows, and ties of
+rule values with a cutoff, are rejected alike. Very long texts are measured whole. Empty tables give no rows, and without labels no
+cutoffs. Further columns aren't read. There may be any number of strata, each with its own cutoffs.
 """
 
 from __future__ import annotations
@@ -98,10 +99,45 @@ def _level(c):
     return sum((F.when(c >= g, 1).otherwise(0) for g in GRID), F.lit(0))
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, max_false_rejection: float = 0.05, error: float = 0.05, max_strata: int = 64) -> dict[str, dict]:
-    """Per stratum: cutoff level of each rule, chosen step and its counts. Uses all labels; the driver gets sums only."""
-    from pyspark.sql import Window
-
+def _paths(batches):
+    """For each stratum's histograms the cutoff levels of each step and rule, one after another."""
+    for b in batches:
+        out = []
+        for hist in b.column("hist").to_pylist():
+            of = {r: np.zeros(len(GRID) + 2, np.int64) for r in RULES}
+            for x in hist:
+                of[x["rule"]][x["level"]] += x["n"]
+            path = []
+            for a, margin in STEPS:
+                for r in RULES:
+                    above = of[r][::-1].cumsum()[::-1]  # rejected if the cutoff is this level
+                    ok = np.flatnonzero(above <= math.floor(a / len(RULES) * of[r].sum()))
+                    path.append(int(max(ok[0], 1)) + margin)
+            out.append(path)
+        yield pa.RecordBatch.from_arrays([b.column("stratum"), pa.array(out, pa.list_(pa.int32()))], ["stratum", "path"])
+
+
+def _chosen(level: float, max_false_rejection: float):
+    """For each tested stratum the last step before the first whose bound fails, with the cutoff of each rule (null: none)."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for stratum, path, n, k in zip(*(b.column(c).to_pylist() for c in ("stratum", "path", "n", "k")), strict=True):
+                step = next((i for i in range(len(STEPS)) if binomial_tail(k[i], n, max_false_rejection) > level), len(STEPS)) - 1
+                if step >= 0:
+                    levels = path[step * len(RULES) : (step + 1) * len(RULES)]
+                    rows.append((stratum, step, n, k[step], *(GRID[x - 1] if x <= len(GRID) else None for x in levels)))
+            cols = list(zip(*rows, strict=True)) or [()] * (4 + len(RULES))
+            types = [pa.string(), pa.int32(), pa.int64(), pa.int64()] + [pa.float64()] * len(RULES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["stratum", "step", "n", "rejected", *(f"c_{r}" for r in RULES)])
+
+    return run
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, max_false_rejection: float = 0.05, error: float = 0.05) -> DataFrame:
+    """One row for each stratum with cutoffs: stratum, step, n, rejected (of the holdout's n) and c_<rule>. Uses all labels; strata are rows
+    of a table, and only their number reaches the driver."""
     quality = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     good = stash(
         measured.filter(~F.col("base_failed")).join(quality.filter("quality = 1"), "doc_id").select(
@@ -109,50 +145,20 @@ def cutoffs(measured: DataFrame, labels: DataFrame, max_false_rejection: float =
         ),
         "rules-good",
     )
-    # the largest strata by name; a top-k, not a cap on rows: all others are one stratum of their own
-    top = [r[0] for r in good.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(max_strata).collect()]
-    good = good.withColumn("stratum", F.when(F.col("stratum").isin(top), F.col("stratum")).otherwise(F.lit("\x00rest"))) if top else good
     design = good.filter("half = 0").select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RULES])).alias("x"))
-    hist: dict[tuple, np.ndarray] = {}
-    for s, r, level, n in design.groupBy("stratum", "x.rule", "x.level").count().collect():
-        hist.setdefault((s, r), np.zeros(len(GRID) + 2, np.int64))[level] += n
-    strata = sorted({s for s, _ in hist})
-    path = {}
-    for s in strata:
-        for i, (a, margin) in enumerate(STEPS):
-            for r in RULES:
-                h = hist[s, r]
-                above = h[::-1].cumsum()[::-1]  # rejected if the cutoff is this level
-                ok = np.flatnonzero(above <= math.floor(a / len(RULES) * h.sum()))
-                path[s, i, r] = int(max(ok[0], 1)) + margin
-    if not strata:
-        return {}
-    hit = lambda s, i: F.coalesce(*[F.when(F.col(r) >= path[s, i, r], 1) for r in RULES], F.lit(0))
-    of = F.col("stratum")
-    tests = [F.sum(F.coalesce(*[F.when(of == s, hit(s, i)) for s in strata], F.lit(0))).alias(f"k{i}") for i in range(len(STEPS))]
-    found = {r["stratum"]: r for r in good.filter("half = 1").groupBy("stratum").agg(F.count("*").alias("n"), *tests).collect()}
-    out = {}
-    for s in strata:
-        if s not in found:
-            continue
-        for i in range(len(STEPS)):
-            n, k = found[s]["n"], found[s][f"k{i}"]
-            if binomial_tail(k, n, max_false_rejection) > error / len(strata):
-                break
-            out[s] = {"levels": {r: path[s, i, r] for r in RULES}, "step": i, "n": n, "rejected": k}
-    out["\x00named"] = top
-    return out
+    hist = design.groupBy("stratum", "x.rule", "x.level").agg(F.count("*").alias("n")).groupBy("stratum").agg(F.collect_list(F.struct("rule", "level", "n")).alias("hist"))
+    paths = stash(hist.mapInArrow(_paths, "stratum string, path array<int>"), "rules-paths")
+    at = lambda i, j: F.element_at("path", i * len(RULES) + j + 1)
+    hit = lambda i: F.greatest(*[(F.col(r) >= at(i, j)).cast("int") for j, r in enumerate(RULES)])
+    tested = good.filter("half = 1").join(paths, "stratum").groupBy("stratum").agg(F.count("*").alias("n"), F.array(*[F.sum(hit(i)) for i in range(len(STEPS))]).alias("k"))
+    schema = "stratum string, step int, n long, rejected long, " + ", ".join(f"c_{r} double" for r in RULES)
+    return stash(paths.join(tested, "stratum").select("stratum", "path", "n", "k").mapInArrow(_chosen(error / max(1, paths.count()), max_false_rejection), schema), "rules-cutoffs")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """One row per document: counts, base_failed, the first rule at its cutoff (null: none) and kept."""
     measured = stash(measures(docs), "rules").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    chosen = cutoffs(measured, labels, **how)
-    top = chosen.pop("\x00named", [])
-    lang = F.coalesce("lang", F.lit("none"))
-    stratum = F.when(lang.isin(top), lang).otherwise(F.lit("\x00rest")) if top else lang
-    hits = [F.when((F.col("stratum") == s) & (F.col(f"v_{r}") >= GRID[x["levels"][r] - 1]), F.lit(r)) for s, x in chosen.items() for r in RULES if x["levels"][r] <= len(GRID)]
-    failed = F.coalesce(*hits, F.lit(None).cast("string"))
-    return measured.withColumn("stratum", stratum).withColumn("failed_rule", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"), "failed_rule"
-    )
+    chosen = cutoffs(measured, labels, **how).select("stratum", *[f"c_{r}" for r in RULES])
+    failed = F.coalesce(*[F.when(F.col(f"v_{r}") >= F.col(f"c_{r}"), F.lit(r)) for r in RULES])
+    judged = measured.withColumn("stratum", F.coalesce("lang", F.lit("none"))).join(chosen, "stratum", "left").withColumn("failed_rule", failed)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"), "failed_rule")

@@ -37,10 +37,47 @@ def test_quality_rules(spark):
         hit = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 3)} if len(w) < 500 else None
         assert r.n_words == len(w) and r.n_symbols == sum(b.count(c) for c in b"#*$%&|<>")
         assert hit is None or r.n_repeat_words == len(hit)
-        assert r.kept is False or not r.base_failed
+        lines, seen = 0, set()
+        for line in b.split(b"\n"):
+            lines += bool(line.split()) and line in seen
+            seen.add(line)
+        assert r.n_dup_lines == lines and r.word_chars == len(b"".join(w).decode())
+        assert r.base_failed == (len(w) < 50 or 100 * r.n_repeat_words > 50 * len(w))
+        assert r.kept == (not r.base_failed and r.failed_rule is None)
     assert quality_rules.quality_rules(df.limit(0), labels).count() == 0
 
 
+def test_quality_cutoffs_by_stratum(spark):
+    """Every stratum, of 80, has cutoffs of its own, chosen as a plain loop chooses them."""
+    import math
+
+    rng = random.Random(6)
+    rules, grid = quality_rules.RULES, quality_rules.GRID
+    rows = [(i, f"l{i % 80}" if i % 160 else None, False, *(round(rng.random() ** 6, 6) for _ in rules)) for i in range(24_000)]
+    measured = spark.createDataFrame(rows, "doc_id long, lang string, base_failed boolean, " + ", ".join(f"v_{r} double" for r in rules))
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(24_000)], "doc_id long, quality int")
+    got = {r.stratum: r for r in quality_rules.cutoffs(measured, labels, 0.2, 0.9).collect()}
+    halves = {r.doc_id: r.half for r in spark.range(24_000).selectExpr("id as doc_id", "abs(xxhash64(id, 'half')) % 2 as half").collect()}
+    level = lambda v: sum(v >= g for g in grid)
+    by = {}
+    for i, lang, _, *v in rows:
+        if i % 10:
+            by.setdefault(lang or "none", ([], []))[halves[i]].append([level(x) for x in v])
+    want = {}
+    for s, (design, holdout) in by.items():
+        for step, (rate, margin) in enumerate(quality_rules.STEPS):
+            cut = []
+            for j in range(len(rules)):
+                most = math.floor(rate / len(rules) * len(design))
+                cut.append(next(c for c in range(1, len(grid) + 2) if sum(d[j] >= c for d in design) <= most) + margin)
+            k = sum(any(d[j] >= cut[j] for j in range(len(rules))) for d in holdout)
+            if quality_rules.binomial_tail(k, len(holdout), 0.2) > 0.9 / len(by):
+                break
+            want[s] = (step, len(holdout), k, *(grid[c - 1] if c <= len(grid) else None for c in cut))
+    assert len(want) > 64
+    assert {s: tuple(r)[1:] for s, r in got.items()} == want
+
+
 def test_binomial_tail():
     assert abs(quality_rules.binomial_tail(0, 10, 0.1) - 0.9**10) < 1e-12
     assert quality_rules.binomial_tail(10, 10, 0.1) == 1.0
