@@ -74,6 +74,12 @@ def small_batches(spark: SparkSession, rows: int):
     return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Arrow batches of at most so many bytes in this session from now on: texts may be long, and the last step of an operator runs when
+    its caller writes, so that a setting for a while can't hold there."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 # ---------------------------------------------------------------- membership filter of bounded size
 
 MAX_FILTER_BITS = 1 << 28

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_format, eb_classifier, jaccard_join, mixing, pivot_index, quality_rules, sharding, suffix_dedup, warc
-from .common import read
+from .common import bounded_batches, read
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +54,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_vectors, op3_jaccard_join, op4_suffix_dedup, op5_quality_classifier, op6_sharding, op7_chat_format, op8_warc, op9_mixing, op10_bpe)}
+def _bounded(query):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _bounded(f) for f in (op1_quality_rules, op2_near_vectors, op3_jaccard_join, op4_suffix_dedup, op5_quality_classifier, op6_sharding, op7_chat_format, op8_warc, op9_mixing, op10_bpe)}
 ORACLES: dict[str, str] = {}
