@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import bpe, eb_classifier, jaccard_join, mixing, suffix_dedup
-from riskloom.llm.common import delete, new_path, read
+from riskloom.llm.common import bounded_batches, delete, new_path, read
 
 ORACLE_SQL = None
 REPEAT_BYTES = 200  # 50 words take this much at four bytes a word, space included, so a repeated passage of more words is found whole
@@ -19,23 +19,27 @@ REPEAT_BYTES = 200  # 50 words take this much at four bytes a word, space includ
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier rejects. A null text has no words and is judged by its other features; equal rows are judged alike."""
+    bounded_batches(spark)
     return eb_classifier.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of the Jaccard join: that of the smallest doc_id, null ids last. Wordless and null texts are
     components of their own; of equal rows one stays."""
+    bounded_batches(spark)
     return jaccard_join.dedup(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts strings of REPEAT_BYTES that are found elsewhere, every copy of them. Null texts stay null, very long ones are read whole."""
+    bounded_batches(spark)
     return suffix_dedup.without_repeats(docs, REPEAT_BYTES)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixes the sources to their target weights. A null source is a source; documents without words stay; equal rows are cut each at its
     own place."""
+    bounded_batches(spark)
     return mixing.mixed_documents(docs)
 
 
@@ -43,6 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts of tokens, digests of ids and of the bytes that they decode to; a null text has none."""
     import public_tokenizers
 
+    bounded_batches(spark)
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
