@@ -1,5 +1,5 @@
 """All registered queries of the engine and their SQL."""
 
-from . import queries
+from . import doors, kpi, queries  # noqa: F401
 
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES
