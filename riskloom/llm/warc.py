@@ -10,7 +10,7 @@ goes on there, and logs the bytes between as a quarantined gap. Plain records ou
 several records it looks for the next version line in the inflated content; such a gap has the member's offset and its own in
 `inner`. Of a damaged member the records that inflated before the damage are kept, with length 0; its bytes are in a gap.
 
-Null html: an empty payload. Null page_id: written as `null`; such rows refer to the smallest id of their payload, and are responses
+Files are bounded in bytes, as a reader takes a whole file at once. Very long pages lie in files of their own. Null html: an empty payload. Null page_id: written as `null`; such rows refer to the smallest id of their payload, and are responses
 where there is none. Rows of the smallest id itself are all responses. Null url: no target line. Empty tables give no files' records.
 """
 
@@ -31,6 +31,7 @@ from .common import new_path, stash
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 SHIFT = 1 << 16
+FILE_BYTES = 32 << 20
 SCHEMA = "kind string, path string, offset long, length long, inner long, reason string, record_type string, page_id long, uri string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
@@ -62,9 +63,18 @@ def plan_records(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
     return rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first")).alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str, min_revisit: int = 100, records_per_file: int = 2000) -> None:
-    members = plan_records(pages, min_revisit).mapInArrow(_write_batches, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", records_per_file).text(path)
+def write(pages: DataFrame, path: str, min_revisit: int = 100, file_bytes: int = FILE_BYTES) -> None:
+    """Archives whose records come to file_bytes at most before compression, but for a record that is larger alone.
+
+    Records of about one size (within a factor of 8) share files, so that a number of records bounds a file's bytes."""
+    bytes_of = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    kind = lambda payload: F.ceil(F.log2(1024 + bytes_of(payload) + 3 * bytes_of("url")) / 3).cast("int")
+    kinds = sorted(r[0] for r in pages.select(F.col("html").cast("string").alias("html"), F.col("url").cast("string").alias("url")).groupBy(kind("html").alias("kind")).agg(F.count("*")).collect())  # 12 rows at most
+    records = plan_records(pages, min_revisit)
+    for k in kinds or [4]:
+        members = records.filter(kind("payload") == k).mapInArrow(_write_batches, "member binary")
+        lines = members.select(F.col("member").cast("string").alias("value")).write.mode("append").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
+        lines.option("maxRecordsPerFile", max(1, file_bytes // 8**k)).text(path)
 
 
 def _inflate(data: memoryview, at: int) -> tuple[bytes, int, bool]:

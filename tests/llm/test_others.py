@@ -159,6 +159,40 @@ def test_warc(spark):
     assert out == sorted(want, key=str)
 
 
+def test_warc_files_are_bounded(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, "u", "".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 100, 3000, 9000, 40_000])))) for i in range(300)] + [(999, "u", "z" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"), file_bytes=150_000)
+    sizes, ids = [], []
+    for f in (tmp_path / "w").glob("part-*"):
+        got = [x for x in warc.salvage(f.read_bytes()) if x[0] == "record"]
+        ids += [x[3]["warc-record-id"] for x in got]
+        sizes.append((sum(len(x[4]) for x in got), len(got)))
+    assert sorted(ids) == sorted(f"<urn:page:{r[0]}>" for r in rows)
+    assert all(n == 1 or size <= 150_000 for size, n in sizes) and len(sizes) < 120
+    out = {r.page_id: r.payload_bytes for r in warc.round_trip(pages).collect()}
+    assert out == {r[0]: len(r[2]) for r in rows}
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_salvage_reads_damaged_files(spark, tmp_path):
+    """The reader over files as Spark gives them: damage costs only what is damaged."""
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"))
+    (part,) = (tmp_path / "w").glob("part-*")
+    data = bytearray(part.read_bytes())
+    starts = [i for i in range(len(data)) if data[i : i + 3] == b"\x1f\x8b\x08"]
+    data[starts[20] + 40] ^= 255
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "part-0").write_bytes(bytes(data))
+    rows = warc.read_salvaging(spark, str(tmp_path / "d"), payloads=True).collect()
+    ids = {r.page_id for r in rows if r.kind == "record"}
+    gaps = [r for r in rows if r.kind == "gap"]
+    assert len(ids) == 39 and len(gaps) == 1 and gaps[0].length > 0
+    assert all(bytes(r.payload).decode() == f"page {r.page_id} " * 50 for r in rows if r.kind == "record")
+
+
 def test_salvage():
     one = lambda i: gzip.compress(warc.record(i, "u", b"x" * 300, hashlib.sha256(b"x" * 300).hexdigest(), None), mtime=0)
     damaged = bytearray(one(2))
