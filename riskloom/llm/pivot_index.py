@@ -9,7 +9,8 @@ and every block of members meets every block of probes, so no task holds a whole
 spanning forest, never all pairs. Each linked pair is counted in one place: if both find each other, where the smaller is posted.
 
 Nulls: vectors that are null, zero or hold null or non-finite components, and vectors with a null label, link with nothing but
-get their row. Vectors of different length never link. Rows with equal vec_id are told apart only by their vectors.
+get their row. Vectors of different length never link. Rows with equal vec_id are told apart only by their vectors; repeated rows are
+of one class. Ties among pivots go to the lower number. An empty table gives an empty result; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import Forest, components, stash
 
 MAX_PIVOTS = 32768
+SCORES = 1 << 21  # similarities to pivots held at once
 APART = 2  # pivots lie this many times the linking angle apart
 
 
@@ -78,12 +80,13 @@ def _describe(pivots: dict, prefix: int):
                     for r in rows:
                         near[r] = [0]
                     continue
-                for at in range(0, len(rows), 1024):
-                    score = _unit(x[at : at + 1024]) @ p.T
+                step = max(16, SCORES // len(p))
+                for at in range(0, len(rows), step):
+                    score = _unit(x[at : at + step]) @ p.T
                     k = min(prefix, score.shape[1])
                     best = np.argpartition(-score, k - 1, axis=1)[:, :k]
                     order = np.take_along_axis(best, np.lexsort((best, -np.take_along_axis(score, best, 1)), axis=1), 1)
-                    for r, o in zip(rows[at : at + 1024], order, strict=True):
+                    for r, o in zip(rows[at : at + step], order, strict=True):
                         near[r] = o.tolist()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "label", "weight", "embedding")), pa.array(near, pa.list_(pa.int32()))], ["rep", "label", "weight", "embedding", "near"])
 
@@ -128,12 +131,14 @@ def near_vectors(vectors: DataFrame, min_cosine: float = 0.98, prefix: int = 24,
     e = F.col("embedding")
     rows = vectors.select(F.col("vec_id").cast("long"), e.cast("array<double>").alias("embedding"), F.col("label"))
     rows = rows.withColumn("ok", F.coalesce(_finite(F.col("embedding")) & F.col("label").isNotNull(), F.lit(False)))
-    rows = rows.withColumn("class", F.when(F.col("ok"), F.xxhash64(F.col("label").cast("string"), F.col("embedding"))))
-    classes = stash(
-        rows.filter("ok").groupBy("class").agg(F.count("*").alias("weight"), F.min("vec_id").alias("min_id"), F.any_value("label").cast("string").alias("label"), F.any_value("embedding").alias("embedding")).withColumnRenamed("class", "rep"),
-        "pivot-classes",
-    )
-    n = classes.count()
+    seed, n, distinct = 0, 1, 0
+    while n != distinct:  # classes are of equal vectors and labels; if two have one hash, all are hashed anew
+        seed += 1
+        hashed = rows.withColumn("class", F.when(F.col("ok"), F.xxhash64(F.col("label").cast("string"), F.col("embedding"), F.lit(seed))))
+        each = hashed.filter("ok").groupBy(F.col("class").alias("rep"), F.col("label").cast("string").alias("label"), "embedding")
+        classes = stash(each.agg(F.count("*").alias("weight"), F.min("vec_id").alias("min_id")), "pivot-classes")
+        n, distinct = classes.agg(F.count("*"), F.count_distinct("rep")).first()
+    rows = hashed
     m = min(MAX_PIVOTS, max(64, 1 << (math.isqrt(16 * max(n, 1)) - 1).bit_length()))
     points: dict[int, list] = {}
     for r in classes.orderBy(F.xxhash64("rep", F.lit("pivot")), "rep").limit(min(MAX_PIVOTS, 2 * m)).select("embedding").collect():

@@ -83,6 +83,16 @@ def test_binomial_tail():
     assert quality_rules.binomial_tail(10, 10, 0.1) == 1.0
 
 
+def test_near_vectors_edges(spark):
+    schema = "vec_id long, embedding array<double>, label string, class string, rep long, near int, weight int"
+    rows = [(1, [1.0, 0.0], "a", "x", 1, 1, 1), (1, [1.0, 0.0], "a", "x", 1, 1, 1), (1, [0.0, 1.0], "a", "x", 1, 1, 1), (2, [1.0, 0.001], "a", "y", 2, 2, 2), (3, [1.0, 0.0], None, None, None, None, None), (None, [1.0, 0.0], "b", None, None, None, None), (4, [2.0, 0.0], "a", None, None, None, None), (5, [1.0, 0.0, 0.0], "a", None, None, None, None), (6, None, "a", None, None, None, None)]
+    rows += [(7, [], "a", None, None, None, None), (8, [0.0, 0.0], "a", None, None, None, None), (9, [float("nan"), 1.0], "a", None, None, None, None), (10, [None, 1.0], "a", None, None, None, None)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in pivot_index.near_vectors(spark.createDataFrame(rows, schema)).collect()), key=str)
+    want = [(1, 3, 1), (1, 3, 1), (1, 0, 1), (2, 3, 1), (3, 0, 3), (None, 0, None), (4, 3, 1), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 0, 9), (10, 0, 10)]
+    assert got == sorted(want, key=str)
+    assert pivot_index.near_vectors(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_near_vectors(spark):
     import numpy as np
 
