@@ -1,5 +1,5 @@
 """All registered queries of the engine and their SQL."""
 
-from . import doors, kpi, queries, streams  # noqa: F401
+from . import doors, kpi, queries, streams, wider  # noqa: F401
 
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES

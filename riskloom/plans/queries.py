@@ -155,12 +155,12 @@ CONDITION_SCHEMA = "rule_id string, condition_id string, feature string, op stri
 BANDS = [("high", 75), ("elevated", 40), ("low", 0)]
 
 
-def _rows(spark, sf_dir) -> DataFrame:
+def _rows(spark, sf_dir, rule_rows=None, condition_rows=None) -> DataFrame:
     x = transactions(spark, sf_dir).withColumn("n7", reducers.count(F.lit(True), trailing("account_id", "7d"))).withColumn("z", reducers.zscore_of_self("amount", trailing("account_id")))
     name = lambda n, c: F.struct(F.lit(n).alias("feature"), c.cast("double").alias("value"))
     x = x.select(_c("txn_id").alias("subject"), F.explode(F.array(name("n7", _c("n7")), name("amt", _c("amount")), name("z", F.round("z", 6)), name("mcc", _c("mcc")))).alias("f"))
     values = x.select("subject", "f.feature", "f.value", F.when(_c("f.value").isNull(), "absent").otherwise("present").alias("status"))
-    return rules.ledger(values, spark.createDataFrame(CONDITIONS, CONDITION_SCHEMA), spark.createDataFrame(RULES, RULE_SCHEMA))
+    return rules.ledger(values, spark.createDataFrame(condition_rows or CONDITIONS, CONDITION_SCHEMA), spark.createDataFrame(rule_rows or RULES, RULE_SCHEMA))
 
 
 def _literal(rows) -> str:
@@ -209,8 +209,8 @@ _DECIDE = _LEDGER + _SCORES + _SIGNALS + """, pt AS (SELECT subject, max(score)
 
 
 @query("decisions", _DECIDE + " SELECT * FROM d")
-def decisions(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
+def decisions(spark, sf_dir, rule_rows=None, condition_rows=None):
+    rows = _rows(spark, sf_dir, rule_rows, condition_rows)
     return rules.decide(rules.rule_scores(rows), rules.consolidate(rows), BANDS)
 
 

@@ -97,3 +97,29 @@ def test_actions_are_issued_by_routing(spark):
     assert got == sorted(want)
     with pytest.raises(Exception, match="no channel for action notify"):
         cases.issue(routed, channels.filter("action <> 'notify'"), ["challenge"]).collect()
+
+
+def test_routes():
+    from riskloom.operators import routes
+
+    edges = [(5, "b", "a", "x"), (2, "b", "a", "y"), (3, "c", "x", "z"), (4, "c", "y", "z"), (6, "d", "z", "w"), (7, "e", "w", "v")]
+    assert routes.shortest(edges, "a", "z") == [2, 4] and routes.shortest(edges, "a", "a") == []
+    assert routes.shortest(edges, "a", "w") == [2, 4, 6] and routes.shortest(edges, "a", "v") is None  # at most three hops
+    assert routes.plan(edges, "auto", "v", "a", "z") == ("trigger", [2, 4])
+    assert routes.plan(edges, "subject.b.c", "a", None, "z") == ("subject", [2, 4])
+    for path, subject in (("self", "a"), ("subject.q", "a"), ("auto", "v")):
+        with pytest.raises(ValueError):
+            routes.plan(edges, path, subject, None, "z")
+
+
+def test_veto_and_authority_of_mitigators(spark):
+    """Literal rows that tell mitigators from aggravators."""
+    from riskloom.operators import rules
+
+    conditions = spark.createDataFrame([("V", "c1", "m1", "=", 1.0, -5, False), ("V", "c2", "m2", "=", 1.0, -5, False), ("V", "c3", "a1", "=", 1.0, 5, False), ("W", "c1", "a1", "=", 1.0, 5, False)], "rule_id string, condition_id string, feature string, op string, operand double, points int, required boolean")
+    config = spark.createDataFrame([("V", "allow", 0, False, True, 0, 0), ("W", "allow", 0, False, True, 0, 0)], "rule_id string, action string, severity int, preventive boolean, is_veto boolean, review int, prevent int")
+    cases_ = {"all": (("present", 1.0), ("present", 1.0), ("absent", None)), "one": (("present", 1.0), ("present", 0.0), ("present", 1.0)), "stale": (("present", 1.0), ("stale", 1.0), ("present", 1.0)), "none": (("unresolvable", None), ("unresolvable", None), ("present", 1.0)), "part": (("unresolvable", None), ("present", 1.0), ("present", 1.0)), "fan": (("fanout_error", None), ("present", 1.0), ("present", 1.0))}
+    values = spark.createDataFrame([(s, f, v, st) for s, x in cases_.items() for f, (st, v) in zip(("m1", "m2", "a1"), x)], "subject string, feature string, value double, status string")
+    got = {(r.subject, r.rule_id): (r.veto, r.sound) for r in rules.rule_scores(rules.ledger(values, conditions, config)).collect()}
+    assert {s: got[s, "V"] for s in cases_} == {"all": (True, True), "one": (False, True), "stale": (None, False), "none": (False, False), "part": (False, False), "fan": (None, False)}
+    assert all(got[s, "W"] == (False, True) for s in cases_)  # no mitigator: nothing to establish, nothing taken away
