@@ -115,6 +115,11 @@ def key_filter(keys: DataFrame, col: str):
     return spark.sparkContext.broadcast(KeyFilter(words, log2))
 
 
+def few_files(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df in as many parts as its rows, at most `rows` of a few bytes, need: a small table isn't spread over a file for each shuffle partition."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 # ---------------------------------------------------------------- connected components
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
@@ -127,15 +132,16 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     e = stash(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
     while True:
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("top")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("top")))
-        most = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("top").alias("top")).agg(F.coalesce(F.max(F.col("child") + F.col("top")), F.lit(0))).first()[0]
+        most, n = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("top").alias("top")).agg(F.coalesce(F.max(F.col("child") + F.col("top")), F.lit(0)), F.coalesce(F.sum("child"), F.lit(0))).first()
         if most <= 1:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), tag)
-        large = stash(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), tag)
-        low = stash(large.groupBy("u").agg(F.min("v").alias("m")), tag)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), tag)
+        low = stash(few_files(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * n), tag)
+        large = stash(few_files(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n), tag)
+        least = stash(few_files(large.groupBy("u").agg(F.min("v").alias("m")), n), tag)
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        before, e = e, stash(few_files(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), n), tag)
+        release(low, large, least, before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, key_filter, release, row_key, small_batches, stash
+from .common import Forest, components, few_files, key_filter, release, row_key, small_batches, stash
 from .textops import mix, shingles, text_bytes
 
 PARTS, BAND = 30, 3
@@ -207,6 +207,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, crowd: int = 8) -> Da
     with small_batches(spark, 128):
         described = stash(texts.select("doc_id", "k", "text").mapInArrow(_describe(percent), "doc_id long, k long, n long, d1 long, d2 long, last long, bands array<long>, posts array<long>"), "jac-sets")
     rows = stash(described.select("doc_id", "k", "n", "d1", "d2"), "jac-rows")
+    size = rows.count()
     classes = stash(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("k").alias("k"), F.min("doc_id").alias("min_id"), F.max("n").alias("n")), "jac-classes")
     reps = described.hint("merge").join(classes.select("k", "d1", "d2"), ["k", "d1", "d2"], "left_semi").dropDuplicates(["k"])
     reps = stash(reps.select("k", "n", "last", "bands", "posts"), "jac-reps")
@@ -224,7 +225,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, crowd: int = 8) -> Da
     # first order
     tokens = reps.select(F.explode("posts").alias("token")).groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     tokens = stash(tokens, "jac-repeated")
-    lists = _listed(_posts(reps, tokens).withColumn("further", F.lit(False)), found, crowd, "jac-lists")
+    with small_batches(spark, 1024):
+        lists = _listed(_posts(reps, tokens).withColumn("further", F.lit(False)), found, crowd, "jac-lists")
     met = stash(_pairs(lists.filter("not crowded"), percent), "jac-shared")
     lost = lists.filter("crowded").groupBy("k").agg(F.count("*").alias("lost"))
     known = stash(reps.select("k", "n", "last").hint("merge").join(lost, "k", "left").withColumn("lost", F.coalesce("lost", F.lit(0))), "jac-known")
@@ -232,7 +234,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, crowd: int = 8) -> Da
     stored = lambda e: _posted(F.col(f"n{e}"), percent)
     rest = F.when(F.col("lastu") <= F.col("lastv"), F.col("nu") - stored("u")).otherwise(F.col("nv") - stored("v"))
     room = (100 + percent) * (F.col("m") + F.least("lostu", "lostv") + rest) >= percent * (F.col("nu") + F.col("nv"))
-    more, last, spent = _short_sets(reps, known, found, keyed, lists, percent, crowd)
+    more, last, spent = _short_sets(reps, known, found, keyed, lists, percent, crowd, size)
     late = _verify(both.filter(room).select("u", "v").unionByName(more.select("u", "v")).distinct(), keyed, percent, "jac-late")
     release(reps, tokens, lists, met, known)
     edges = found.select(F.col("k").alias("u"), F.col("root").alias("v")).unionByName(late)
@@ -241,9 +243,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, crowd: int = 8) -> Da
     release(*spent)
 
     roots = components(edges, "jac-all").withColumnRenamed("node", "k")
-    named = stash(classes.hint("merge").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")), "jac-named")
-    least = stash(named.groupBy("root").agg(F.min("min_id").alias("component_id")), "jac-least")
-    of_class = stash(named.hint("merge").join(least, "root").select("d1", "d2", "component_id", "root"), "jac-result")
+    named = stash(few_files(classes.hint("merge").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")), size), "jac-named")
+    least = stash(few_files(named.groupBy("root").agg(F.min("min_id").alias("component_id")), size), "jac-least")
+    of_class = stash(few_files(named.hint("merge").join(least, "root").select("d1", "d2", "component_id", "root"), size), "jac-result")
     release(classes, named, least, found, late)
     full = rows.filter("n > 0").hint("merge").join(of_class, ["d1", "d2"])
     return full.select("doc_id", "k", F.col("n").alias("n_shingles"), "component_id", "root").unionByName(rows.filter("n = 0").select("doc_id", "k", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("k").alias("root")))
@@ -255,7 +257,7 @@ def _posted(n, percent: int):
     return F.least(n, p + F.floor(p / 4) + 4)
 
 
-def _short_sets(reps: DataFrame, known: DataFrame, found: DataFrame, keyed: DataFrame, lists: DataFrame, percent: int, crowd: int):
+def _short_sets(reps: DataFrame, known: DataFrame, found: DataFrame, keyed: DataFrame, lists: DataFrame, percent: int, crowd: int, size: int):
     """Of the sets that lost too many posted tokens to crowded lists: candidates by further tokens; the crowded tokens of those that
     only these can join, or None; tables to release at the end.
 
@@ -268,20 +270,22 @@ def _short_sets(reps: DataFrame, known: DataFrame, found: DataFrame, keyed: Data
     count, spent, tokens = 0, [gone], None
     while True:
         lost = gone.groupBy("k").agg(F.count("*").alias("lost"))
-        short = stash(sized.hint("merge").join(lost, "k").filter("stored - lost < need").drop("lost"), "jac-short")
+        short = stash(few_files(sized.hint("merge").join(lost, "k").filter("stored - lost < need").drop("lost"), size), "jac-short")
         spent.append(short)
         now = short.count()
         if now == count:
             break
         count = now
         crowded = stash(gone.select("token").distinct(), "jac-tokens")
-        tokens = stash(_all_tokens(keyed, short), "jac-all-tokens")
+        with small_batches(reps.sparkSession, 128):
+            tokens = stash(_all_tokens(keyed, short), "jac-all-tokens")
         spent += [crowded, tokens]
         further = tokens.filter("at >= stored").hint("merge").join(crowded, "token", "left_anti")
         further = further.select("token", "k", "n", F.lit(True).alias("further"))
         further = stash(further, "jac-further")
         others = _posts(reps, further).withColumn("further", F.lit(False))
-        met = _listed(others.unionByName(further), found, crowd, "jac-further-lists")
+        with small_batches(reps.sparkSession, 1024):
+            met = _listed(others.unionByName(further), found, crowd, "jac-further-lists")
         more = stash(_pairs(met.filter("not crowded"), percent), "jac-more")
         gone = stash(gone.unionByName(met.filter("crowded").select("token", "k")).distinct(), "jac-crowded")
         release(further, met)
@@ -293,7 +297,7 @@ def _short_sets(reps: DataFrame, known: DataFrame, found: DataFrame, keyed: Data
     flagged = tokens.hint("merge").join(crowded.withColumn("c", F.lit(True)), "token", "left").withColumn("c", F.coalesce("c", F.lit(False)))
     flagged = stash(flagged, "jac-flagged")
     free = flagged.groupBy("k").agg(F.sum(F.when(F.col("c"), 0).otherwise(1)).alias("free")).join(sized.select("k", "need"), "k").filter("free < need").select("k")
-    free = stash(free, "jac-free")
+    free = stash(few_files(free, size), "jac-free")
     last = stash(flagged.filter("c").hint("merge").join(free, "k", "left_semi").select("token", "k", "n"), "jac-last")
     spent += [crowded, flagged, free, last]
     return more, last, spent
@@ -380,7 +384,7 @@ def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = jaccard_components(docs, percent)
     found = stash(found.withColumn("wordless", F.col("n_shingles") == 0), "jac-groups")
     first = found.groupBy("wordless", "root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "k")).alias("x")).select(F.col("x.k").alias("__k"))
-    keys = stash(first, "jac-keep")
+    keys = stash(few_files(first, found.count()), "jac-keep")
     release(found)
     kept = docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("__k"))  # a struct: its names can't clash
     return kept.hint("merge").join(keys, "__k", "left_semi").dropDuplicates(["__k"]).select("row.*")

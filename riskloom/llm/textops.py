@@ -22,7 +22,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "inverse" if inverse else "base"
     have = _powers.get(key)
     if have is None or len(have) < n:
-        m = max(n, PIECE + 1)
+        m = 1 << max(16, (n - 1).bit_length())  # as long texts come; a worker that sees short ones stays small
         a = np.full(m, BASE_INVERSE if inverse else BASE, U)
         a[0] = 1
         have = _powers[key] = np.multiply.accumulate(a)
