@@ -347,8 +347,9 @@ def _crowded(hot: DataFrame, length: int) -> list[DataFrame]:
     side = F.reverse(F.substring(F.hex("text"), F.lit(1), 2 * F.col("before")))  # digits backwards: an order in which long extensions are near
     found = {}
     with small_batches(hot.sparkSession, CHUNK):
-        for name, step, key in (("r", 1, F.substring(F.hex("text"), 2 * F.col("before") + 1, F.lit(2 * length))), ("l", -1, side)):
-            rows = hot.withColumn("key", key).repartitionByRange(parts, "g", "key").sortWithinPartitions("g", "key").drop("key")
+        keyed = hot.withColumns({"r": F.substring(F.hex("text"), 2 * F.col("before") + 1, F.lit(2 * length)), "l": side})
+        for name, step, keys in (("r", 1, ["g", "r", "l"]), ("l", -1, ["g", "l", "r"])):  # no two runs are equal on both sides, so all can be parted
+            rows = keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("r", "l")
             found[name] = stash(rows.mapInArrow(_beside(length, step), "k long, q long, most long, sure long, sure_other long"), "suf-beside")
     r, l = (found[c].select("k", "q", *[F.col(x).alias(f"{x}_{c}") for x in ("most", "sure", "sure_other")]) for c in "rl")  # noqa: E741
     both = r.hint("merge").join(l, ["k", "q"]).select("k", "q", "most_l", "most_r", F.greatest("sure_l", "sure_other_r").alias("sure_l"), F.greatest("sure_r", "sure_other_l").alias("sure_r"))
