@@ -312,38 +312,35 @@ def load(path: str) -> Pieces:
     return _models[path]
 
 
-def _schema(df: DataFrame, added: dict[str, str]) -> str:
-    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema if f.name not in added), *(f"{k} {v}" for k, v in added.items())])
+def _with_columns(df: DataFrame, source: str, added: dict[str, str], of) -> DataFrame:
+    """df with the columns `added` in place of any of these names; of(Arrow column source) gives them. Columns go by place, so that names
+    with dots or backticks, or the same name twice, do no harm."""
+    keep = [i for i, c in enumerate(df.columns) if c not in added]
+    at = df.columns.index(source)
+    schema = ", ".join([*(f"c{i} {df.schema[i].dataType.simpleString()}" for i in keep), *(f"a{k} {kind}" for k, kind in enumerate(added.values()))])
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *of(b.column(at))], [*(f"c{i}" for i in keep), *(f"a{k}" for k in range(len(added)))])
+
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema).toDF(*(df.columns[i] for i in keep), *added)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", pieces: bool = False) -> DataFrame:
     """docs with `ids`, and their `pieces` if asked for."""
-    added = {"ids": "array<int>"} | ({"pieces": "array<string>"} if pieces else {})
 
-    def run(batches):
+    def of(column):
         model = load(path)
-        for b in batches:
-            ids = model.encode([x.as_py() or "" for x in b.column(text)])
-            keep = [c for c in b.schema.names if c not in added]
-            more = [pa.array(ids, pa.list_(pa.int32()))]
-            if pieces:
-                more.append(pa.array([[model.name[i] for i in x] for x in ids], pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *more], [*keep, *added])
+        ids = model.encode([x.as_py() or "" for x in column])
+        out = [pa.array(ids, pa.list_(pa.int32()))]
+        return [*out, pa.array([[model.name[i] for i in x] for x in ids], pa.list_(pa.string()))] if pieces else out
 
-    return docs.mapInArrow(run, _schema(docs, added))
+    return _with_columns(docs, text, {"ids": "array<int>"} | ({"pieces": "array<string>"} if pieces else {}), of)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """tokens with `text`, what the library's decoder makes of the ids; null ids are none."""
-
-    def run(batches):
-        model = load(path)
-        for b in batches:
-            texts = model.decode([x.as_py() or [] for x in b.column(ids)])
-            keep = [c for c in b.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
-
-    return tokens.mapInArrow(run, _schema(tokens, {"text": "string"}))
+    return _with_columns(tokens, ids, {"text": "string"}, lambda column: [pa.array(load(path).decode([x.as_py() or [] for x in column]), pa.string())])
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, collocations, eb_classifier, jaccard_join, mixing, piece_bpe, pivot_index, quality_rules, sharding, suffix_dedup, warc
+from . import bpe, chat_format, collocations, eb_classifier, jaccard_join, mixing, piece_bpe, pivot_index, quality_rules, sharding, suffix_dedup, warc, whitening
 from .common import bounded_batches, read
 
 
@@ -54,6 +54,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,7 +77,7 @@ def _bounded(query):
     return run
 
 
-QUERIES = {f.__name__: _bounded(f) for f in (op1_quality_rules, op2_near_vectors, op3_jaccard_join, op4_suffix_dedup, op5_quality_classifier, op6_sharding, op7_chat_format, op8_warc, op9_mixing, op10_bpe, op12_sentencepiece, op13_collocations)}
+QUERIES = {f.__name__: _bounded(f) for f in (op1_quality_rules, op2_near_vectors, op3_jaccard_join, op4_suffix_dedup, op5_quality_classifier, op6_sharding, op7_chat_format, op8_warc, op9_mixing, op10_bpe, op11_whitening, op12_sentencepiece, op13_collocations)}
 ORACLES = {
     "op7_chat_format": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
  r AS (SELECT *, contains(text, '<s>') OR contains(text, '</s>') OR contains(text, '[INST]') OR contains(text, '[/INST]') OR regexp_matches(text, '\\[blk]') AS bad, replace(replace(replace(replace(replace(text, '\', '\b'), '<s>', '\ls>'), '</s>', '\l/s>'), '[INST]', '\kINST]'), '[/INST]', '\k/INST]') AS escaped FROM c)
