@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 400_000  # entries of a half of a worker's cache; the older half goes when the younger is full
+CACHE = 900_000  # words that a worker keeps; it starts anew when full
 LETTERS = 1 << 20  # characters encoded at once
 WIDE = 24  # characters of a stretch up to which many agendas go side by side
 NEVER = np.int64(1) << 40
+TOGETHER = 64  # words that the library checks as one text
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE, _UNUSED = 1, 2, 3, 4, 6, 5  # fixed values of the model file's piece types
 _MERGE_MODEL = 2  # fixed value of the model file's type of merge models
@@ -65,33 +66,6 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
-class Kept:
-    """Two generations of a cache of bounded size: what is used stays, what isn't goes with the older one."""
-
-    def __init__(self):
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-
-    def put(self, key: str, value: list[int]) -> list[int]:
-        if len(self.young) >= CACHE:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-        return value
-
-    def get(self, key: str) -> list[int] | None:
-        value = self.young.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
-        return value
-
-    def take(self, keys: set[str]) -> tuple[dict[str, list[int]], list[str]]:
-        """What is kept of keys, and the others."""
-        have = {k: v for k in keys if (v := self.get(k)) is not None}
-        return have, [k for k in keys if k not in have]
-
-
 class Pieces:
     """A merge-type model: scores and ids of its pieces, the agenda, and the library for its normalizer, decoder and check."""
 
@@ -125,7 +99,7 @@ class Pieces:
         self.splits = bool(self.byte_id) and not any(m[1] == MARK and m[0] != MARK for m in self.meet)
         self.prefixed = self.library.normalize("a") == MARK + "a"
         self.decimal = [str(i) for i in range(len(self.name))]
-        self.words = Kept()
+        self.words: dict[str, list[int]] = {}
         self._tables()
 
     def _tables(self) -> None:
@@ -134,9 +108,14 @@ class Pieces:
         symbol = self.id_of | {c: len(self.name) + k for k, c in enumerate(inner)}
         single = {ord(c): i for c, i in symbol.items() if len(c) == 1}
         single |= {b: i for b, i in self.byte_id.items() if b < 128 and b not in single}  # one byte, one piece, never joined
-        self.points = np.array(sorted(single), np.int64)
-        self.symbols = np.array([single[c] for c in self.points.tolist()], np.int64)
-        self.pairs = np.array(sorted(ord(m[0]) << 21 | ord(m[1]) for m in self.meet), np.int64)
+        self.symbols = np.full(0x110000, -1, np.int64)
+        self.symbols[list(single)] = list(single.values())
+        place = {c: i for i, c in enumerate(sorted({c for m in self.meet for c in m}), 1)}
+        self.place = np.zeros(0x110000, np.int32)
+        self.place[[ord(c) for c in place]] = list(place.values())
+        self.neighbours = np.zeros((len(place) + 1, len(place) + 1), bool)
+        for m in self.meet:
+            self.neighbours[place[m[0]], place[m[1]]] = True
         joins = {symbol[p[:k]] << 32 | symbol[p[k:]]: p for p in self.rank for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol}
         self.join_keys = np.array(sorted(joins), np.int64)
         self.join_ids = np.array([self.id_of[joins[k]] for k in self.join_keys.tolist()], np.int64)
@@ -238,12 +217,10 @@ class Pieces:
         sizes = np.array([len(w) for w in words], np.int64)
         first = np.cumsum(sizes) - sizes
         text = "".join(words)
-        point = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.points, point), len(self.points) - 1)
-        symbol = np.where(self.points[at] == point, self.symbols[at], -1)
-        key = point[:-1] << 21 | point[1:]
+        point = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        symbol, place = self.symbols[point], self.place[point]
         begins = np.ones(len(point), bool)
-        begins[1:] = self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] != key
+        begins[1:] = ~self.neighbours[place[:-1], place[1:]]
         begins[first] = True
         starts = np.flatnonzero(begins)
         length = np.diff(np.append(starts, len(point)))
@@ -276,14 +253,19 @@ class Pieces:
                 words.append(None)
             else:
                 words.append([w[1:] for w in _WORD.findall(t)] if MARK * 2 in t else t[1:].split(MARK))
-        known, new = self.words.take(set(chain.from_iterable(w for w in words if w)))
-        for w, ids in zip(new, self.merge_words([MARK + w for w in new]), strict=True):
-            known[w] = self.words.put(w, ids)
+        if len(self.words) > CACHE:
+            self.words.clear()
+        known = self.words
+        new = list(set(chain.from_iterable(w for w in words if w)).difference(known))
+        known.update(zip(new, self.merge_words([MARK + w for w in new]), strict=True))
         get = known.__getitem__
         out = [list(chain.from_iterable(map(get, w))) if w else self.merge(t) for t, w in zip(normal, words, strict=True)]
-        raw = [("" if self.prefixed else " ") + w.replace(MARK, " ") for w in new]
+        raw, lead = [], "" if self.prefixed else " "
+        for at in range(0, len(new), TOGETHER):  # words side by side are a text in which each is a word again
+            raw.append(lead + " ".join(new[at : at + TOGETHER]).replace(MARK, " "))
+        mine = [list(chain.from_iterable(map(get, new[at : at + TOGETHER]))) for at in range(0, len(new), TOGETHER)]
         whole = [i for i, w in enumerate(words) if not w] or [0]
-        if not self._same(raw, [known[w] for w in new]) or not self._same([texts[i] for i in whole], [out[i] for i in whole]):
+        if not self._same(raw, mine) or not self._same([texts[i] for i in whole], [out[i] for i in whole]):
             for i, t in enumerate(texts):
                 if not self._same([t], [out[i]]):
                     raise ArithmeticError(f"ids of a text of {len(t)} characters differ from the library's: {out[i][:50]} for {t[:100]!r}")
