@@ -8,12 +8,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
+def step(cases: list[list], open_window: int, i, key, t, score, closes_at=None) -> tuple[list[list], str, object]:
+    """One decision against a subject's cases [key, first, score, id, closes_at], the newest last: the cases after it, routing, case_id."""
+    if key is None or t is None:
+        return cases, "raised", i
+    cases = [c for c in cases if t - c[1] <= open_window]
+    hit = next((c for c in reversed(cases) if c[0] == key), None)
+    if hit is not None:
+        routing = "restated" if score is not None and hit[2] is not None and score > hit[2] else "folded"
+        hit[2] = max((x for x in (hit[2], score) if x is not None), default=None)
+        return cases, routing, hit[3]
+    blocks = next((c for c in reversed(cases) if c[4] is None or c[4] > t), None)
+    if blocks is not None:
+        return cases, "suppressed", blocks[3]
+    return [*cases, [key, t, score, i, closes_at]], "raised", i
+
+
 def route(decisions: DataFrame, open_window: int) -> DataFrame:
     """(subject, id, key, t, score, authorised) to (id, routing, case_id): raised, restated, folded, suppressed or no_authority. case_id is
-    the decision that raised the case: the own one, the one restated or folded into, or the one that suppresses.
+    the decision that raised the case: the own one, the one restated or folded into, or the one that suppresses. A column closes_at, if
+    there is one, says when the case that a decision raises gets its first verdict, if it raises one.
 
     Decisions of a subject are folded in order (t, id): an open case of the same key with |t - first| <= window is restated if the score is
-    higher and else folded; another open case of the subject in the window suppresses; the newest match wins.
+    higher and else folded; another case of the subject in the window suppresses unless it has a verdict by then; the newest match wins.
 
     A gap longer than the window parts a subject's decisions into sessions: a case is at least as old as the decision before the gap. The
     decisions of a session are read in order as a stream; only the cases of the window are held. Null subjects are one subject; a decision with a null key or time meets no case.
@@ -21,38 +38,25 @@ def route(decisions: DataFrame, open_window: int) -> DataFrame:
     none = decisions.filter("not authorised").select("id", F.lit("no_authority").alias("routing"), F.lit(None).cast(decisions.schema["id"].dataType).alias("case_id"))
     mine = Window.partitionBy("subject").orderBy("t", "id")
     cut = F.coalesce((F.col("t") - F.lag("t").over(mine) > open_window).cast("int"), F.lit(0))
-    parted = decisions.filter("authorised").select("subject", "id", "key", F.col("t").cast("long").alias("t"), F.col("score").cast("long").alias("score")).withColumn("cut", cut)
+    closes = F.col("closes_at").cast("long") if "closes_at" in decisions.columns else F.lit(None).cast("long")
+    parted = decisions.filter("authorised").select("subject", "id", "key", F.col("t").cast("long").alias("t"), F.col("score").cast("long").alias("score"), closes.alias("closes_at")).withColumn("cut", cut)
     parted = parted.withColumn("session", F.sum("cut").over(mine))
     rows = parted.repartition("subject", "session").sortWithinPartitions("subject", "session", "t", "id")
     kind = decisions.schema["id"].dataType
 
     def run(batches):
-        at, cases = None, []  # cases: [key, first, score, id], the newest last
+        at, cases = None, []
         for b in batches:
             out, of = [], []
-            for subject, session, i, key, t, score in zip(*(b.column(c).to_pylist() for c in ("subject", "session", "id", "key", "t", "score")), strict=True):
+            for subject, session, i, key, t, score, closes_at in zip(*(b.column(c).to_pylist() for c in ("subject", "session", "id", "key", "t", "score", "closes_at")), strict=True):
                 if at != (subject, session):
                     at, cases = (subject, session), []
-                if key is None or t is None:
-                    out.append("raised")
-                    of.append(i)
-                    continue
-                cases = [c for c in cases if t - c[1] <= open_window]
-                hit = next((c for c in reversed(cases) if c[0] == key), None)
-                if hit is not None:
-                    out.append("restated" if score is not None and hit[2] is not None and score > hit[2] else "folded")
-                    of.append(hit[3])
-                    hit[2] = max((x for x in (hit[2], score) if x is not None), default=None)
-                elif cases:
-                    out.append("suppressed")
-                    of.append(cases[-1][3])
-                else:
-                    out.append("raised")
-                    of.append(i)
-                    cases.append([key, t, score, i])
+                cases, routing, case = step(cases, open_window, i, key, t, score, closes_at)
+                out.append(routing)
+                of.append(case)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.string()), pa.array(of, b.column("id").type)], ["id", "routing", "case_id"])
 
-    routed = rows.select("subject", "session", "id", "key", "t", "score").mapInArrow(run, StructType([StructField("id", kind), StructField("routing", StringType()), StructField("case_id", kind)]))
+    routed = rows.select("subject", "session", "id", "key", "t", "score", "closes_at").mapInArrow(run, StructType([StructField("id", kind), StructField("routing", StringType()), StructField("case_id", kind)]))
     return routed.unionByName(none)
 
 

@@ -44,10 +44,10 @@ def unseen(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(s, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
 
 
-def receipt(tagged: DataFrame, most: int) -> DataFrame:
-    """One row from (index, reasons, fate, occurred_at): fate is written, duplicate or rejected. Counts are of all rows; the list of
-    rejected ones, by index, covers the first `most` places of the batch, so that the receipt stays small; all are in the checked rows."""
+def receipt(tagged: DataFrame, registered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (index, reasons, fate, occurred_at), fate written, duplicate or rejected, and the devices registered: one row of counts, and
+    a row (index, reasons) for every rejected one. The second is a table of its own: it grows with the batch."""
     n = lambda fate: F.count_if(F.col("fate") == fate)
-    listed = F.array_sort(F.collect_list(F.when((F.col("fate") == "rejected") & (F.col("index") < most), F.struct("index", F.array_join("reasons", ";").alias("why")))))
-    x = tagged.agg(F.count("*").alias("submitted"), n("written").alias("written"), n("duplicate").alias("duplicates"), n("rejected").alias("rejected"), F.max(F.when(F.col("fate") == "written", F.col("occurred_at"))).alias("newest"), listed.alias("listed"))
-    return x.withColumn("listed", F.array_join(F.transform("listed", lambda r: F.concat_ws(":", r["index"].cast("string"), r["why"])), "|"))
+    x = tagged.agg(F.count("*").alias("submitted"), n("written").alias("written"), n("duplicate").alias("duplicates"), n("rejected").alias("rejected"), F.max(F.when(F.col("fate") == "written", F.col("occurred_at"))).alias("newest"))
+    x = x.crossJoin(registered.agg(F.count("*").alias("devices_registered")))  # one row each
+    return x, tagged.filter("fate = 'rejected'").select("index", "reasons")

@@ -71,12 +71,12 @@ FAILURES = ("no authority with a case", "routed without a case", "raised or rest
 
 
 def routing_failures(routed: DataFrame, cases: DataFrame) -> DataFrame:
-    """(id, failure) of decisions (id, routing, case_id) whose routing and case (case_id, decision_id, restated) disagree. A case that was
+    """(id, failure) of decisions (id, t, routing, case_id) whose routing and case (case_id, decision_id, restated) disagree. A case that was
     restated says its last restating decision, so only that one is held against it."""
     c = cases.select(F.col("case_id").alias("there"), "decision_id")
     x = routed.join(c, F.col("case_id") == F.col("there"), "left")
     free = F.col("routing") == "no_authority"
-    last = routed.filter(F.col("routing").isin("raised", "restated")).groupBy("case_id").agg(F.max("id").alias("newest")).withColumnRenamed("case_id", "of")
+    last = routed.filter(F.col("routing").isin("raised", "restated")).groupBy("case_id").agg(F.max_by("id", F.struct("t", "id")).alias("newest")).withColumnRenamed("case_id", "of")
     x = x.join(last, F.col("case_id") == F.col("of"), "left")
     kind = F.when(free & F.col("case_id").isNotNull(), FAILURES[0]).when(~free & F.col("case_id").isNull(), FAILURES[1]).when(F.col("case_id").isNotNull() & F.col("there").isNull(), FAILURES[4])
     kind = kind.when(F.col("routing").isin("raised", "restated") & (F.col("id") == F.col("newest")) & (F.col("decision_id") != F.col("id")), FAILURES[2]).when(F.col("routing").isin("folded", "suppressed") & (F.col("decision_id") == F.col("id")), FAILURES[3])

@@ -81,7 +81,16 @@ def ingest_devices(spark, sf_dir):
     return ingest.unseen(x, stored, ["device_id"])
 
 
-@query("ingest_receipt", BATCH + " SELECT count(*) AS submitted, count(*) FILTER (fate = 'written') AS written, count(*) FILTER (fate = 'duplicate') AS duplicates, count(*) FILTER (fate = 'rejected') AS rejected, max(occurred_at) FILTER (fate = 'written') AS newest, string_agg(concat(index, ':', reasons), '|' ORDER BY index) FILTER (fate = 'rejected' AND index < 500) AS listed FROM fa")
+_REGISTERED = "SELECT DISTINCT device_id FROM fa WHERE fate = 'written' AND device_id IS NOT NULL AND device_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 1)"
+
+
+@query("ingest_receipt", BATCH + f" SELECT count(*) AS submitted, count(*) FILTER (fate = 'written') AS written, count(*) FILTER (fate = 'duplicate') AS duplicates, count(*) FILTER (fate = 'rejected') AS rejected, max(occurred_at) FILTER (fate = 'written') AS newest, (SELECT count(*) FROM ({_REGISTERED})) AS devices_registered FROM fa")
 def ingest_receipt(spark, sf_dir):
-    """The receipt of the batch; of the rejected rows, those of its first 500 places are listed."""
-    return ingest.receipt(_tagged(spark, sf_dir), 500)
+    """The counts of the batch's receipt."""
+    return ingest.receipt(_tagged(spark, sf_dir), ingest_devices(spark, sf_dir))[0]
+
+
+@query("ingest_rejected", BATCH + " SELECT index, string_split(reasons, ';') AS reasons FROM fa WHERE fate = 'rejected'")
+def ingest_rejected(spark, sf_dir):
+    """The receipt's second part: every rejected row with all that speaks against it."""
+    return ingest.receipt(_tagged(spark, sf_dir), ingest_devices(spark, sf_dir))[1]

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import micros, trailing
-from ..operators import cases, kpis, reducers, rules
+from ..operators import cases, kpis, reducers
+from ..sources.store import shared
 from ..sources.tables import action_outcomes, case_outcomes, transactions
-from .queries import _ISSUED, PREVENTIVE, _rows, actions_issued, case_routing, query
+from .queries import _ISSUED, INPUTS, PREVENTIVE, actions_issued, decided, query, signals
 
 W = micros("10d")
 
@@ -24,16 +25,9 @@ BASE = _ISSUED + """, al AS MATERIALIZED (SELECT case_id AS alert_id, min(t) AS
  sp AS (SELECT min(event_at) AS first_at, max(event_at) AS last_at FROM kd)"""
 
 
-def _decided(spark, sf_dir) -> DataFrame:
-    """Decisions with instant, account and routing: id, t, ..., written once by its reader."""
-    from .queries import decisions
-
-    x = transactions(spark, sf_dir).select(F.col("txn_id").alias("id"), "t", "account_id", "card_id", "label", "channel")
-    return decisions(spark, sf_dir).withColumnRenamed("subject", "id").join(x, "id").join(case_routing(spark, sf_dir), "id")
-
-
+@shared("cases", INPUTS)
 def _cases(spark, sf_dir) -> DataFrame:
-    d = _decided(spark, sf_dir)
+    d = decided(spark, sf_dir)
     return cases.fold(d.select("id", "routing", "case_id"), d.select("id", "t", "score", "band", "action", "source_rule")).withColumnRenamed("case_id", "alert_id")
 
 
@@ -51,12 +45,12 @@ def _executions(spark, sf_dir) -> DataFrame:
 
 def _signals(spark, sf_dir) -> DataFrame:
     """Signals of each case: those of the decision that it says."""
-    s = rules.consolidate(_rows(spark, sf_dir)).withColumnRenamed("subject", "decision_id")
+    s = signals(spark, sf_dir).withColumnRenamed("subject", "decision_id")
     return _cases(spark, sf_dir).select("alert_id", "decision_id", "first_event_at").join(s, "decision_id")
 
 
 def _span(spark, sf_dir) -> DataFrame:
-    return transactions(spark, sf_dir).agg(F.min("t").alias("first_at"), F.max("t").alias("last_at"))
+    return decided(spark, sf_dir).agg(F.min("t").alias("first_at"), F.max("t").alias("last_at"))
 
 
 def _figures(spark, sf_dir, rows: DataFrame, at: str, parts: dict, by: str | None = None, window: int = W) -> DataFrame:
@@ -85,7 +79,7 @@ def _tile(name: str, rows, base: str, at: str, parts: dict, by: str | None = Non
 
 
 def _decision_rows(spark, sf_dir):
-    return _decided(spark, sf_dir).withColumns({"event_at": F.col("t"), "became_case": F.col("routing").isin("raised", "restated"), "is_fraud": F.col("label") == "fraud", "fail_open": F.col("channel") == "cnp"})
+    return decided(spark, sf_dir).withColumns({"event_at": F.col("t"), "became_case": F.col("routing").isin("raised", "restated"), "is_fraud": F.col("label") == "fraud", "fail_open": F.col("channel") == "cnp"})
 
 
 def _reason_rows(spark, sf_dir):
@@ -177,12 +171,30 @@ def alert_list(spark, sf_dir):
     return rows.join(who, "decision_id").join(signals, "alert_id", "left").select("alert_id", "score", "band", "action", "source_rule", "subject_id", "signals")
 
 
-@query("routing_audit", BASE + f" SELECT failure, CAST(0 AS BIGINT) AS n FROM (VALUES {', '.join('(' + repr(f).replace(chr(34), chr(39)) + ')' for f in kpis.FAILURES[:4])}) f(failure) UNION ALL SELECT 'case that isn''t there', 0")
+def _tampered(d: DataFrame) -> DataFrame:
+    """Routed decisions of which some that a rule of their id picks are spoiled, so that the audit has each failure to find."""
+    k = F.col("id") % 101
+    authorised = F.col("routing") != "no_authority"
+    case = F.when(~authorised & (k == 7), F.col("id")).when(authorised & (k == 11), F.lit(None)).when(authorised & (k == 13), -F.col("id") - 1).otherwise(F.col("case_id"))
+    routing = F.when((F.col("routing") == "raised") & (k == 17), "folded").when((F.col("routing") == "folded") & (k == 19), "restated").otherwise(F.col("routing"))
+    return d.select("id", "t", routing.alias("routing"), case.alias("case_id"))
+
+
+_AUDIT = """, tam AS (SELECT r.id, dt.t, CASE WHEN routing = 'raised' AND r.id % 101 = 17 THEN 'folded' WHEN routing = 'folded' AND r.id % 101 = 19 THEN 'restated' ELSE routing END AS routing,
+  CASE WHEN routing = 'no_authority' AND r.id % 101 = 7 THEN r.id WHEN routing <> 'no_authority' AND r.id % 101 = 11 THEN NULL WHEN routing <> 'no_authority' AND r.id % 101 = 13 THEN -r.id - 1 ELSE case_id END AS case_id FROM routed r JOIN dt ON dt.subject = r.id),
+ newest AS (SELECT case_id, arg_max(id, (t, id)) AS id FROM tam WHERE routing IN ('raised', 'restated') AND case_id IS NOT NULL GROUP BY 1),
+ fa AS (SELECT CASE WHEN routing = 'no_authority' AND tam.case_id IS NOT NULL THEN 'no authority with a case' WHEN routing <> 'no_authority' AND tam.case_id IS NULL THEN 'routed without a case' WHEN tam.case_id IS NOT NULL AND al.alert_id IS NULL THEN 'case that isn''t there'
+  WHEN routing IN ('raised', 'restated') AND newest.id = tam.id AND al.decision_id <> tam.id THEN 'raised or restated but the case says another decision' WHEN routing IN ('folded', 'suppressed') AND al.decision_id = tam.id THEN 'folded or suppressed onto its own case' END AS failure
+  FROM tam LEFT JOIN al ON al.alert_id = tam.case_id LEFT JOIN newest ON newest.case_id = tam.case_id)
+ SELECT kind AS failure, count(fa.failure) AS n FROM (VALUES ('no authority with a case'), ('routed without a case'), ('raised or restated but the case says another decision'), ('folded or suppressed onto its own case'), ('case that isn''t there')) k(kind) LEFT JOIN fa ON fa.failure = kind GROUP BY 1"""
+
+
+@query("routing_audit", BASE + _AUDIT)
 def routing_audit(spark, sf_dir):
-    """Decisions whose routing and case disagree, by kind; each kind has a row."""
-    d = _decided(spark, sf_dir)
-    folded = cases.fold(d.select("id", "routing", "case_id"), d.select("id", "t", "score"))
-    n = kpis.routing_failures(d.select("id", "routing", "case_id"), folded).groupBy("failure").agg(F.count("*").alias("n"))
+    """Decisions whose routing and case disagree, by kind; each kind has a row. Some rows are spoiled so that there is what to find."""
+    d = _tampered(decided(spark, sf_dir))
+    folded = _cases(spark, sf_dir).select(F.col("alert_id").alias("case_id"), "decision_id")
+    n = kpis.routing_failures(d, folded).groupBy("failure").agg(F.count("*").alias("n"))
     return spark.createDataFrame([(f,) for f in kpis.FAILURES], "failure string").join(n, "failure", "left").select("failure", F.coalesce("n", F.lit(0)).alias("n"))
 
 

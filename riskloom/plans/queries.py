@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import predicates
 from ..functions.windows import micros, trailing
 from ..operators import cases, exposure, pit, reducers, rules
-from ..sources.tables import entity_links, transactions
+from ..sources.store import shared
+from ..sources.tables import case_outcomes, entity_links, transactions
 
 DAY, WEEK = micros("1d"), micros("7d")
 QUERIES: dict = {}
@@ -79,9 +80,11 @@ _feature("eq_const", lambda x: x.withColumn("value", reducers.eq_const("channel"
 _feature("min_gap", lambda x: reducers.min_gap(x, "account_id"), "SELECT p.txn_id, round((SELECT min((o.t - i.t) / 6e7) FROM tx o JOIN tx i ON i.account_id = o.account_id AND i.t <= o.t WHERE o.account_id = p.account_id AND o.t <= p.t AND o.direction = 'outbound' AND i.direction = 'inbound'), 5) AS value FROM tx p")
 _feature("age_minutes_latest", lambda x: reducers.age_minutes_latest(x, "account_id", _c("direction") == "inbound"), "SELECT p.txn_id, round((p.t - (SELECT max(h.t) FROM tx h WHERE h.account_id = p.account_id AND h.t <= p.t AND h.direction = 'inbound')) / 6e7, 5) AS value FROM tx p")
 _feature("age_minutes", lambda x: reducers.age_minutes(x, x.groupBy("device_id").agg((F.min("t") + DAY).alias("t0")), "device_id"), f"SELECT txn_id, round(CASE WHEN t0 <= t THEN (t - t0) / 6e7 END, 5) AS value FROM tx JOIN (SELECT device_id AS d, min(t) + {DAY} AS t0 FROM tx GROUP BY 1) ON d = device_id")
-_feature("geo_jump_km", lambda x: reducers.geo_jump(x, "card_id"), """, hist AS MATERIALIZED (SELECT txn_id, card_id, t, lat, lon FROM tx), seen AS MATERIALIZED (SELECT p.txn_id, h.lat, h.lon, row_number() OVER (PARTITION BY p.txn_id ORDER BY h.t DESC, h.lat DESC, h.lon DESC) AS r FROM hist p JOIN hist h ON h.card_id = p.card_id WHERE h.t <= p.t AND h.lat IS NOT NULL AND h.lon IS NOT NULL),
- a AS (SELECT txn_id, lat AS la, lon AS lo FROM seen WHERE r = 1), b AS (SELECT s.txn_id, arg_min(s.lat, s.r) AS lat, arg_min(s.lon, s.r) AS lon FROM seen s JOIN a ON a.txn_id = s.txn_id WHERE s.lat <> la OR s.lon <> lo GROUP BY 1)
- SELECT tx.txn_id, round(2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(la - b.lat) / 2), 2) + cos(radians(b.lat)) * cos(radians(la)) * pow(sin(radians(lo - b.lon) / 2), 2)))), 5) AS value FROM tx LEFT JOIN a ON a.txn_id = tx.txn_id LEFT JOIN b ON b.txn_id = tx.txn_id""")
+_BY_CARD = "(PARTITION BY card_id ORDER BY t NULLS FIRST, lat NULLS FIRST, lon NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND "
+_feature("geo_jump_km", lambda x: reducers.geo_jump(x, "card_id"), f""", g AS (SELECT txn_id, card_id, t, lat, lon, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN {{'a': lat, 'b': lon}} END AS here FROM tx),
+ n AS (SELECT *, last_value(here IGNORE NULLS) OVER {_BY_CARD} CURRENT ROW) AS now, last_value(here IGNORE NULLS) OVER {_BY_CARD} 1 PRECEDING) AS was FROM g),
+ b AS (SELECT *, last_value(CASE WHEN was <> now THEN was END IGNORE NULLS) OVER {_BY_CARD} CURRENT ROW) AS before FROM n)
+ SELECT txn_id, round(2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(now.a - before.a) / 2), 2) + cos(radians(before.a)) * cos(radians(now.a)) * pow(sin(radians(now.b - before.b) / 2), 2)))), 5) AS value FROM b""")
 _feature("pct_running_balance", lambda x: reducers.pct_of_running_balance(x, "account_id", "7d"), f""", m AS (SELECT p.txn_id, h.t, h.txn_id AS id, CAST(h.amount AS DOUBLE) AS x, h.direction FROM tx p JOIN tx h ON h.account_id = p.account_id AND h.t <= p.t AND h.t > p.t - {WEEK} AND h.auth_result = 'approved'),
  l AS (SELECT txn_id, t AS lt, x AS lx FROM m WHERE direction = 'outbound' QUALIFY row_number() OVER (PARTITION BY txn_id ORDER BY t DESC, id DESC) = 1),
  b AS (SELECT l.txn_id, any_value(lx) AS lx, coalesce(sum(CASE WHEN t < lt THEN CASE WHEN direction = 'inbound' THEN x ELSE -x END END), 0) AS bal FROM l JOIN m ON m.txn_id = l.txn_id GROUP BY 1)
@@ -258,19 +261,57 @@ def rule_catalog(spark, sf_dir):
     return by.select("rule_id", "condition_id", "points", F.when(_c("n_fired") == 0, "never fired").when(_c("points") >= 0, "aggravating").otherwise("mitigating").alias("standing"), "n_fired")
 
 
-_ROUTED = _DECIDE + f""", dt AS MATERIALIZED (SELECT d.*, tx.t, tx.account_id FROM d JOIN tx ON txn_id = subject), o AS MATERIALIZED (SELECT account_id, subject AS id, concat('account:', account_id, ':', rules_authorised) AS key, t, score, row_number() OVER (PARTITION BY account_id ORDER BY t, subject) AS n FROM dt WHERE source_rule IS NOT NULL),
- fold AS (SELECT account_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, '' AS routing, CAST(NULL AS BIGINT) AS case_id, CAST(NULL AS VARCHAR) AS ck, CAST(NULL AS BIGINT) AS cf, CAST(NULL AS BIGINT) AS cs FROM o WHERE n = 1 UNION ALL
- SELECT account_id, n, id, CASE WHEN open AND ck = key AND score > cs THEN 'restated' WHEN open AND ck = key THEN 'folded' WHEN open THEN 'suppressed' ELSE 'raised' END, CASE WHEN open THEN case_id ELSE id END, CASE WHEN open THEN ck ELSE key END, CASE WHEN open THEN cf ELSE t END, CASE WHEN NOT open THEN score WHEN ck = key THEN greatest(cs, score) ELSE cs END
- FROM (SELECT o.account_id, o.n, o.id, o.key, o.t, o.score, case_id, ck, cf, cs, coalesce(o.t - cf <= {WEEK}, FALSE) AS open FROM fold JOIN o ON o.account_id = fold.account_id AND o.n = fold.n + 1)),
+_ROUTED = _DECIDE + f""", dt AS MATERIALIZED (SELECT d.*, tx.t, tx.account_id FROM d JOIN tx ON txn_id = subject),
+ closed AS MATERIALIZED (SELECT o_orderkey // 2 AS id, min(tx.t + (30 + o_custkey % 2880) * 60000000) AS closes_at FROM orders JOIN tx ON txn_id = o_orderkey // 2 GROUP BY 1),
+ o AS MATERIALIZED (SELECT account_id, subject AS id, concat('account:', account_id, ':', rules_authorised) AS key, t, score, closes_at, row_number() OVER (PARTITION BY account_id ORDER BY t, subject) AS n FROM dt LEFT JOIN closed ON closed.id = subject WHERE source_rule IS NOT NULL),
+ fold AS (SELECT account_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, '' AS routing, CAST(NULL AS BIGINT) AS case_id, []::STRUCT(k VARCHAR, f BIGINT, s BIGINT, i BIGINT, c BIGINT)[] AS cs FROM o WHERE n = 1 UNION ALL
+ SELECT account_id, n, id, CASE WHEN mine IS NOT NULL AND score > mine.s THEN 'restated' WHEN mine IS NOT NULL THEN 'folded' WHEN blocks IS NOT NULL THEN 'suppressed' ELSE 'raised' END, coalesce(mine.i, blocks.i, id),
+ CASE WHEN mine IS NOT NULL THEN [CASE WHEN x.i = mine.i THEN {{'k': x.k, 'f': x.f, 's': greatest(x.s, score), 'i': x.i, 'c': x.c}} ELSE x END FOR x IN live] WHEN blocks IS NOT NULL THEN live ELSE list_append(live, {{'k': key, 'f': t, 's': score, 'i': id, 'c': closes_at}}) END
+ FROM (SELECT *, [x FOR x IN live IF x.k = key][-1] AS mine, [x FOR x IN live IF x.c IS NULL OR x.c > t][-1] AS blocks FROM (SELECT o.*, [x FOR x IN cs IF o.t - x.f <= {WEEK}] AS live FROM fold JOIN o ON o.account_id = fold.account_id AND o.n = fold.n + 1))),
  routed AS MATERIALIZED (SELECT id, routing, case_id FROM fold WHERE n > 0 UNION ALL SELECT subject, 'no_authority', NULL FROM dt WHERE source_rule IS NULL)"""
-_ROUTED = _ROUTED.replace("WITH ", "WITH RECURSIVE ", 1)  # at most one case of an account is open at a time: a new one is raised only when none is in its window
+_ROUTED = _ROUTED.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _route(spark, sf_dir, decided_rows: DataFrame) -> DataFrame:
+    """decided_rows: subject, t, account_id, score, source_rule, rules_authorised."""
+    closed = case_outcomes(spark, sf_dir).groupBy(_c("alert_id").alias("subject")).agg(F.min("decided_at").alias("closes_at"))
+    key = F.concat_ws(":", F.lit("account"), _c("account_id").cast("string"), "rules_authorised")
+    d = decided_rows.join(closed, "subject", "left")
+    return cases.route(d.select(_c("account_id").alias("subject"), _c("subject").alias("id"), key.alias("key"), "t", "score", _c("source_rule").isNotNull().alias("authorised"), "closes_at"), WEEK)
 
 
 @query("case_routing", _ROUTED + " SELECT id, routing, case_id FROM routed")
 def case_routing(spark, sf_dir):
-    d = decisions(spark, sf_dir).join(transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "t", "account_id"), "subject")
-    key = F.concat_ws(":", F.lit("account"), _c("account_id").cast("string"), "rules_authorised")
-    return cases.route(d.select(_c("account_id").alias("subject"), _c("subject").alias("id"), key.alias("key"), "t", "score", _c("source_rule").isNotNull().alias("authorised")), WEEK)
+    """A case with a verdict no longer suppresses."""
+    return _route(spark, sf_dir, decisions(spark, sf_dir).join(transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "t", "account_id"), "subject"))
+
+
+INPUTS = ("events", "orders")  # that the shared tables derive from
+
+
+@shared("ledger", INPUTS)
+def ledger_rows(spark, sf_dir):
+    """The condition ledger of the registered rules, written once for the reports."""
+    return _rows(spark, sf_dir)
+
+
+@shared("signals", INPUTS)
+def signals(spark, sf_dir):
+    return rules.consolidate(ledger_rows(spark, sf_dir))
+
+
+@shared("decisions", INPUTS)
+def decided_subjects(spark, sf_dir):
+    """Decisions with what reports ask of their transaction."""
+    x = transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "t", "account_id", "card_id", "device_id", "merchant_id", "label", "channel")
+    return rules.decide(rules.rule_scores(ledger_rows(spark, sf_dir)), signals(spark, sf_dir), BANDS).join(x, "subject")
+
+
+@shared("decided", INPUTS)
+def decided(spark, sf_dir):
+    """Decisions with routing and case: id, t, score, band, action, ..."""
+    d = decided_subjects(spark, sf_dir)
+    return d.withColumnRenamed("subject", "id").join(_route(spark, sf_dir, d), "id")
 
 
 _CHANNELS_SQL = "c(action, band, channel) AS (VALUES ('challenge', 'high', 'push'), ('challenge', 'elevated', 'sms'), ('challenge', 'low', 'sms'), ('notify', 'high', 'queue'), ('notify', 'elevated', 'inbox'), ('notify', 'low', 'inbox'))"
@@ -280,7 +321,7 @@ _ISSUED = _ROUTED + f", {_CHANNELS_SQL.replace('c(', 'chan(', 1)}, issued AS (SE
 @query("actions_routed", _ISSUED + " SELECT subject, action, channel FROM issued LEFT JOIN chan USING (action, band)")
 def actions_routed(spark, sf_dir):
     """What is issued: a preventive action for raised decisions, a notice for raised and restated ones. A missing channel is an error."""
-    d = decisions(spark, sf_dir).join(case_routing(spark, sf_dir).withColumnRenamed("id", "subject"), "subject")
+    d = decided(spark, sf_dir).withColumnRenamed("id", "subject")
     channels = spark.createDataFrame(CHANNELS, "action string, band string, channel string")
     return cases.issue(d.select("subject", "action", "band", "routing"), channels, PREVENTIVE)
 
@@ -288,11 +329,10 @@ def actions_routed(spark, sf_dir):
 @query("actions_issued", _ISSUED + " SELECT subject, action, channel, t AS issued_at, case_id FROM issued JOIN (SELECT subject, t FROM dt) USING (subject) LEFT JOIN chan USING (action, band) LEFT JOIN routed ON id = subject")
 def actions_issued(spark, sf_dir):
     """The actions issued, with their instant (that of the decision) and their case."""
-    d = decisions(spark, sf_dir).join(case_routing(spark, sf_dir).withColumnRenamed("id", "subject"), "subject")
+    d = decided(spark, sf_dir).withColumnRenamed("id", "subject")
     channels = spark.createDataFrame(CHANNELS, "action string, band string, channel string")
-    at = transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), _c("t").alias("issued_at"))
     issued = cases.issue(d.select("subject", "action", "band", "routing"), channels, PREVENTIVE)
-    return issued.join(at, "subject").join(d.select("subject", "case_id"), "subject")
+    return issued.join(d.select("subject", _c("t").alias("issued_at"), "case_id"), "subject")
 
 
 @query("ingest_reject", f"WITH {TX} SELECT txn_id, concat_ws(',', CASE WHEN mcc IS NULL THEN 'missing mcc' END, CASE WHEN s_suppkey IS NULL THEN 'unknown device' END, CASE WHEN amount < 1 THEN 'amount too small' END) AS reasons FROM tx LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier) ON s_suppkey = device_id WHERE mcc IS NULL OR s_suppkey IS NULL OR amount < 1")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.windows import micros, trailing
 from ..operators import reducers, routes, rules
 from ..sources.tables import entity_links, transactions
-from .kpi import BASE, _case_base, _decided
-from .queries import _DECIDE, _LEDGER, CONDITIONS, DAY, LINKS, RULES, TX, WEEK, _literal, _rows, _store, decisions, graph_fanout, query
+from .kpi import BASE, _case_base
+from .queries import _DECIDE, _LEDGER, CONDITIONS, DAY, LINKS, RULES, TX, WEEK, _literal, _rows, _store, decided, decided_subjects, decisions, graph_fanout, ledger_rows, query
 
 _c = F.col
 
@@ -136,9 +136,9 @@ _REPORT = ", ob AS (SELECT l.*, label = 'fraud' AS is_fraud, vd.disposition FROM
 
 
 def _report(spark, sf_dir):
-    x = _decided(spark, sf_dir).select(_c("id").alias("subject"), "label", "case_id")
+    x = decided(spark, sf_dir).select(_c("id").alias("subject"), "label", "case_id")
     verdict = _case_base(spark, sf_dir).select(_c("alert_id").alias("case_id"), "disposition")
-    ob = _rows(spark, sf_dir).join(x, "subject").join(verdict, "case_id", "left")
+    ob = ledger_rows(spark, sf_dir).join(x, "subject").join(verdict, "case_id", "left")
     fraud, fired, n = _c("label") == "fraud", _c("fired"), _c("n_fired")
     ag = ob.groupBy("rule_id", "condition_id").agg(F.first("points").alias("points"), F.count("*").alias("evaluated"), F.count_if(fired).alias("n_fired"), F.count_if(fired & fraud).alias("on_fraud"), F.count_if(fired & _c("disposition").isNotNull()).alias("on_cases"), F.count_if(fired & (_c("disposition") == "confirmed_fraud")).alias("confirmed"))
     right = F.when(_c("points") >= 0, _c("on_fraud")).otherwise(n - _c("on_fraud"))
@@ -173,14 +173,14 @@ def cohort_base_rate(spark, sf_dir):
 def calibration_impact(spark, sf_dir):
     """Decisions by band at hand and band under other cuts, and how many of them have authority."""
     new = F.when(_c("score") >= 70, "high").when(_c("score") >= 30, "elevated").otherwise("low")
-    return decisions(spark, sf_dir).groupBy(_c("band").alias("old_band"), new.alias("new_band")).agg(F.count("*").alias("n"), F.count_if(_c("source_rule").isNotNull()).alias("with_case"))
+    return decided_subjects(spark, sf_dir).groupBy(_c("band").alias("old_band"), new.alias("new_band")).agg(F.count("*").alias("n"), F.count_if(_c("source_rule").isNotNull()).alias("with_case"))
 
 
 @query("reason_direction", _LEDGER + " SELECT feature, CASE WHEN bool_or(points >= 0) AND bool_or(points < 0) THEN 'both' WHEN bool_or(points >= 0) THEN 'aggravating' ELSE 'mitigating' END AS direction, count(*) FILTER (fired) AS n_fired FROM l GROUP BY 1")
 def reason_direction(spark, sf_dir):
     """Which way the conditions price each feature's reason, and how often it fired."""
     up, down = F.bool_or(_c("points") >= 0), F.bool_or(_c("points") < 0)
-    return _rows(spark, sf_dir).groupBy("feature").agg(F.when(up & down, "both").when(up, "aggravating").otherwise("mitigating").alias("direction"), F.count_if("fired").alias("n_fired"))
+    return ledger_rows(spark, sf_dir).groupBy("feature").agg(F.when(up & down, "both").when(up, "aggravating").otherwise("mitigating").alias("direction"), F.count_if("fired").alias("n_fired"))
 
 
 @query("data_quality", f"WITH {TX}, v AS (SELECT account_id AS key, t // {DAY} * {DAY} AS as_of, t AS computed_at FROM tx WHERE txn_type = 'transfer') SELECT 'repeated bitemporal keys' AS what, (SELECT count(*) FROM (SELECT 1 FROM v GROUP BY key, as_of, computed_at HAVING count(*) > 1)) AS n UNION ALL SELECT 'several values on a day', (SELECT count(*) FROM (SELECT 1 FROM v GROUP BY key, as_of HAVING count(*) > 1)) UNION ALL SELECT 'merchants unpriced', (SELECT count(DISTINCT merchant_id) FROM tx WHERE mcc IS NULL)")

@@ -6,32 +6,40 @@ runs again, so at-least-once delivery gives each row once.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.windows import trailing
+from ..functions.windows import micros, trailing
+from ..operators import cases
+from ..sources.store import DAY, new_path
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder in spark.checkpoint.dir; a local one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="riskloom-")
-    return f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return new_path(spark, tag)
 
 
-def drop_files(rows: DataFrame, at: str, cuts: list, tag: str) -> str:
-    """Rows as one folder of files for each span between cuts of column `at`, written in order: what arrives one after another."""
-    path = work_dir(rows.sparkSession, tag)
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        span = rows.filter((F.lit(True) if low is None else F.col(at) >= low) & (F.lit(True) if high is None else F.col(at) < high))
-        span.coalesce(1).write.mode("append").parquet(path)  # one file: one arrival
-    return path
+def spans(rows: DataFrame, at: str, cuts: list) -> list[DataFrame]:
+    """Rows between cuts of column `at`, in order: what arrives one after another."""
+    return [rows.filter((F.lit(True) if low is None else F.col(at) >= low) & (F.lit(True) if high is None else F.col(at) < high)) for low, high in zip([None, *cuts], [*cuts, None], strict=True)]
+
+
+def arrive(arrivals: list[dict[str, DataFrame]], read: Callable[[dict[str, DataFrame]], DataFrame], sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Each arrival (named relations) is written into the folders that the stream reads, by as many tasks as it has, and then the query
+    takes what has come since it ran last; its state and its place in the folders are kept between the runs."""
+    spark = next(iter(arrivals[0].values())).sparkSession
+    folder = {name: work_dir(spark, f"stream-{name}") for name in arrivals[0]}
+    checkpoint = work_dir(spark, "stream-checkpoint")
+    for now in arrivals:
+        for name, rows in now.items():
+            rows.write.mode("append").parquet(folder[name])
+        run(read({name: spark.readStream.schema(rows.schema).parquet(folder[name]) for name, rows in now.items()}), sink, checkpoint, mode)
 
 
 def source(spark: SparkSession, path: str, schema: StructType, files: int = 1) -> DataFrame:
@@ -52,30 +60,33 @@ def by_batch(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def newest(out: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the last complete result."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    return write
-
-
-def driven_counts(out: str, history: str, scope: str, window: str) -> Callable[[DataFrame, int], None]:
+def driven_counts(out: str, history: str, frontiers: str, scope: str, window: str) -> Callable[[DataFrame, int], None]:
     """An incremental feature pass: rows above the frontier (the newest instant stored before) drive it, each with its scope's count over
-    the trailing window, all history visible. A row at or below the frontier is stored but drives nothing; later windows include it."""
+    the trailing window. A row at or below the frontier is stored but drives nothing; later windows include it.
+
+    The frontier is a row of a table by batch. History lies in folders by day, of which a batch reads those that its windows reach into, so
+    what it reads grows with the arrival and the window, not with the history."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        stored = spark.read.schema(StructType(batch.schema.fields).add("batch", IntegerType())).option("basePath", history).parquet(history)
-        frontier = stored.filter(F.col("batch") < number).agg(F.max("t")).first()[0]
-        new = F.col("batch") == number
-        mine = stored.filter(F.col("batch") <= number)
-        touched = mine.join(mine.filter(new).select(scope).distinct(), scope, "left_semi")
+        day = F.floor(F.col("t") / DAY)
+        batch.withColumn("day", day).sortWithinPartitions("day").write.mode("overwrite").partitionBy("day").parquet(f"{history}/batch={number}")
+        span = batch.agg(F.min("t"), F.max("t")).first()
+        frontier = None
+        if number:
+            known = spark.read.schema("frontier long, batch long").parquet(frontiers)
+            frontier = known.filter(F.col("batch") < number).agg(F.max("frontier")).first()[0]
+        newest = max((x for x in (frontier, span[1]) if x is not None), default=None)
+        spark.range(1).select(F.lit(newest).cast("long").alias("frontier")).write.mode("overwrite").parquet(f"{frontiers}/batch={number}")
+        if span[0] is None:
+            return
+        stored = spark.read.schema(StructType([*batch.schema.fields, StructField("batch", LongType()), StructField("day", LongType())])).parquet(history)
+        low = span[0] if frontier is None else max(span[0], frontier + 1)  # of the rows that drive
+        first = low - micros(window)
+        mine = stored.filter((F.col("batch") <= number) & (F.col("day") >= first // DAY) & (F.col("t") > first))
+        touched = mine.join(batch.select(scope).distinct(), scope, "left_semi")
         counted = touched.withColumn("value", F.count("*").over(trailing(scope, window)))
-        drives = new if frontier is None else new & (F.col("t") > frontier)
-        counted.filter(drives).drop("batch").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        counted.filter((F.col("batch") == number) & (F.col("t") >= low)).drop("batch", "day").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return write
 
@@ -87,28 +98,38 @@ def affected(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
 
 
 ROUTED = "id long, routing string, case_id long"
-CASE = "key string, first long, score long, id long"
 
 
-def route_stream(decisions: DataFrame, open_window: int) -> DataFrame:
-    """Case routing with keyed state: a subject's open case (key, first, score, id). As batches come in order of time, and within a batch a
-    subject's rows are put in order, this gives what the batch form gives."""
+def route_stream(events: DataFrame, open_window: int) -> DataFrame:
+    """Case routing with keyed state over decisions and verdicts of one stream: (subject, id, key, t, score, is_verdict, at). A verdict's id
+    is that of its case; from its instant on the case no longer suppresses. `at` is t as a timestamp with a watermark.
+
+    State of a subject: its cases of the window, with what closed them. It goes when the watermark has passed the newest case's window. As
+    batches come in order of time, and within a batch a subject's rows are put in order, a verdict before a decision of its instant, this
+    gives what the batch form gives. A verdict on a case that isn't there changes nothing."""
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["t", "id"])
-        case = state.get if state.exists else (None, None, None, None)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(["t", "is_verdict", "id"], ascending=[True, False, True])
+        known = json.loads(state.get[0]) if state.exists else []
         out = []
         for r in rows.itertuples():
-            open_ = case[3] is not None and r.t - case[1] <= open_window
-            if not open_:
-                case = (r.key, int(r.t), int(r.score), int(r.id))
-                out.append((r.id, "raised", r.id))
-            elif case[0] == r.key:
-                out.append((r.id, "restated" if r.score > case[2] else "folded", case[3]))
-                case = (case[0], case[1], max(case[2], int(r.score)), case[3])
-            else:
-                out.append((r.id, "suppressed", case[3]))
-        state.update(case)
+            if r.is_verdict:
+                for c in known:
+                    if c[3] == r.id and c[4] is None:
+                        c[4] = int(r.t)
+                continue
+            score = None if pd.isna(r.score) else int(r.score)
+            known, routing, case = cases.step(known, open_window, int(r.id), r.key, int(r.t), score)
+            out.append((int(r.id), routing, int(case)))
+        known = [c for c in known if c[1] + open_window >= int(rows["t"].iloc[-1])]
+        if known:
+            state.update((json.dumps(known),))
+            state.setTimeoutTimestamp(max((known[-1][1] + open_window) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["id", "routing", "case_id"])
 
-    return decisions.groupBy("subject").applyInPandasWithState(fold, ROUTED, CASE, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("subject").applyInPandasWithState(fold, ROUTED, "cases string", "append", GroupStateTimeout.EventTimeTimeout)
