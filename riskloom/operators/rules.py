@@ -11,19 +11,61 @@ from pyspark.sql import functions as F
 
 
 def holds(op: Column, value: Column, operand: Column) -> Column:
-    """One chain for all operators; an unknown one never holds."""
+    """One chain for all operators on numbers; an unknown one never holds."""
     return F.coalesce(
         F.when(op == ">", value > operand).when(op == ">=", value >= operand).when(op == "<", value < operand).when(op == "<=", value <= operand).when(op == "=", value == operand).when(op.isin("!=", "<>"), value != operand),
         F.lit(False),
     )
 
 
+def said(value: Column, text: Column, flag: Column) -> Column:
+    """A typed value as text: whole numbers bare, booleans as True or False."""
+    number = F.when(value == F.floor(value), F.format_string("%d", F.floor(value).cast("long"))).otherwise(value.cast("string"))
+    return F.coalesce(text, F.when(flag, "True").when(~flag, "False"), number)
+
+
+def fires(op: Column, value: Column, text: Column, flag: Column, operand: Column, operand_text: Column) -> Column:
+    """A condition on a value that is a number, a text or a boolean (the other two null).
+
+    Order is asked of numbers and of texts that read as one, never of booleans. Equality: an operand text `true` or `false` asks for truth (a
+    number other than 0, a text that isn't empty), else a number operand for the number, else the text of the value. `in`: the text of the
+    value is in the operand's list. `!=` and `<>` hold wherever `=` doesn't. An unknown operator never holds."""
+    number = F.coalesce(value, text.try_cast("double"))
+    number = F.when(flag.isNull(), number)
+    truth = F.coalesce(flag, value != 0, text != "")
+    text_of = said(value, text, flag)
+    equal = F.when(operand_text.isin("true", "false"), truth == (operand_text == "true")).when(operand.isNotNull(), number == operand).otherwise(text_of == operand_text)
+    equal = F.coalesce(equal, F.lit(False))
+    options = F.transform(F.split(operand_text, ","), lambda x: F.trim(x))
+    listed = F.array_contains(F.filter(options, lambda x: x != ""), text_of)
+    out = F.when(op == ">", number > operand).when(op == ">=", number >= operand).when(op == "<", number < operand).when(op == "<=", number <= operand)
+    return F.coalesce(out.when(op == "=", equal).when(op.isin("!=", "<>"), ~equal).when(op == "in", listed), F.lit(False))
+
+
+def applicable(rules: DataFrame, subject_type: str, mode: str) -> DataFrame:
+    """Rules of a kind of subject and an execution mode that are live or in shadow."""
+    return rules.filter((F.col("subject_type") == subject_type) & (F.col("mode") == mode) & F.col("status").isin("active", "shadow"))
+
+
 def ledger(values: DataFrame, conditions: DataFrame, rules: DataFrame) -> DataFrame:
-    """A row for each condition visited; contributed is points if fired in a satisfied rule."""
+    """A row for each condition visited; contributed is points if fired in a satisfied rule.
+
+    A rule is satisfied by its required conditions: those of one condition_group by any of them, the groups together as the rule's `combine`
+    says (AND, OR); without required conditions by any that fires. Without a column condition_group each condition is a group, without
+    combine it is AND. values may have text and flag beside value, conditions operand_text."""
     rows = values.join(F.broadcast(conditions), "feature").join(F.broadcast(rules), "rule_id")
-    rows = rows.withColumn("fired", (F.col("status") == "present") & holds(F.col("op"), F.col("value"), F.col("operand")))
+    if "operand_text" in conditions.columns:
+        hit = fires(F.col("op"), F.col("value"), F.col("text"), F.col("flag"), F.col("operand"), F.col("operand_text"))
+    else:
+        hit = holds(F.col("op"), F.col("value"), F.col("operand"))
+    rows = rows.withColumn("fired", (F.col("status") == "present") & hit)
     w = Window.partitionBy("subject", "rule_id")
-    needed = F.bool_and(F.when(F.col("required"), F.col("fired"))).over(w)
+    if "condition_group" in conditions.columns:
+        groups, met = (F.size(F.collect_set(F.when(when, F.col("condition_group"))).over(w)) for when in (F.col("required"), F.col("required") & F.col("fired")))
+        any_of = F.upper("combine") == "OR" if "combine" in rules.columns else F.lit(False)
+        needed = F.when(groups > 0, F.when(any_of, met > 0).otherwise(met == groups))
+    else:
+        needed = F.bool_and(F.when(F.col("required"), F.col("fired"))).over(w)
     rows = rows.withColumn("satisfied", F.coalesce(needed, F.bool_or("fired").over(w)))
     return rows.withColumn("contributed", F.when(F.col("fired") & F.col("satisfied"), F.col("points")).otherwise(0))
 
@@ -47,14 +89,29 @@ def rule_scores(rows: DataFrame) -> DataFrame:
 
 def consolidate(rows: DataFrame) -> DataFrame:
     """One signal for each (feature, direction) of a subject: the largest in size, ties to the lowest rule then condition; all
-    dropped where their sum isn't positive. A fired condition of 0 points is a signal too, with its claimants."""
+    dropped where their sum isn't positive. A fired condition of 0 points is a signal too, with its claimants. A column `evidence` of
+    rows, whatever it holds, goes with the signal that it speaks for."""
+    more = ["evidence"] if "evidence" in rows.columns else []
     fired = rows.filter("fired and satisfied").withColumn("direction", F.when(F.col("points") >= 0, "aggravating").otherwise("mitigating"))
-    best = F.min(F.struct(-F.abs("points"), F.col("rule_id"), F.col("condition_id"), F.col("points").alias("points"))).alias("best")
+    best = F.min(F.struct(-F.abs("points"), F.col("rule_id"), F.col("condition_id"), F.col("points").alias("points"), *more)).alias("best")
     s = fired.groupBy("subject", "feature", "direction").agg(best, F.array_sort(F.collect_set("rule_id")).alias("claimed"))
-    s = s.select("subject", "feature", "direction", F.col("best.points").alias("contribution"), F.col("best.rule_id").alias("rule_id"), "claimed")
+    s = s.select("subject", "feature", "direction", F.col("best.points").alias("contribution"), F.col("best.rule_id").alias("rule_id"), "claimed", *(F.col(f"best.{c}").alias(c) for c in more))
     return s.withColumn("score", F.sum("contribution").over(Window.partitionBy("subject"))).filter("score > 0")
 
 
+VETO_APPLIED, DEGRADED_EVIDENCE = "VETO_APPLIED", "DEGRADED_EVIDENCE"  # fixed values: reason codes of veto signals
+
+
+def ranked_signals(signals: DataFrame, scores: DataFrame) -> DataFrame:
+    """(subject, rank, reason_code, feature, direction, contribution, rule_id): a decision's signals by size, feature and direction, and after
+    them, by rule, a signal of 0 points for each veto that is established or that can't be told for want of evidence."""
+    pool = signals.select("subject", F.lit(0).alias("part"), F.concat(F.lit("reason:"), "feature").alias("reason_code"), "feature", "direction", F.col("contribution").cast("long").alias("contribution"), "rule_id")
+    why = F.when(F.col("veto").isNull(), DEGRADED_EVIDENCE).otherwise(VETO_APPLIED)
+    vetoes = scores.filter("is_veto and coalesce(veto, true)").select("subject", F.lit(1).alias("part"), why.alias("reason_code"), F.lit(None).cast("string").alias("feature"), F.lit("veto").alias("direction"), F.lit(0).cast("long").alias("contribution"), "rule_id")
+    order = Window.partitionBy("subject").orderBy("part", -F.abs("contribution"), "feature", "direction", "rule_id")
+    return pool.unionByName(vetoes).withColumn("rank", F.row_number().over(order)).drop("part")
+
+
 ALERT, MONITOR = 2, 1  # severities of these actions
 
 
