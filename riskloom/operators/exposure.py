@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.windows import trailing
 from . import reducers
 
-BASIS = {"card": "30d", "device": "30d", "merchant": "30d", "account": "90d"}
+BASIS = {"card": "30d", "customer": "30d", "device": "30d", "merchant": "30d", "account": "90d"}
 
 
 def exposures(rows: DataFrame, keys: dict[str, str]) -> DataFrame:

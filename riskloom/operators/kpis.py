@@ -55,13 +55,17 @@ def delta(value: Column, baseline: Column) -> Column:
     return F.when(baseline != 0, F.bround((value - baseline) / F.abs(baseline) * 100, 1))
 
 
-def figures(rows: DataFrame, parts: dict[str, tuple[Column, Column, bool]], by: str | None = None) -> DataFrame:
+def figures(rows: DataFrame, parts: dict[str, tuple[Column, Column, bool]], by: str | None = None, of_all: bool = False) -> DataFrame:
     """(part, value, numerator, denominator, baseline_value, delta_pct) from windowed rows, in one pass; parts: (numerator, denominator,
-    whether the value is a rate or else the count). by: a column whose values are the parts, where the given one part is counted."""
+    whether the value is a rate or else the count). by: a column whose values are the parts, where the given one part is counted; of_all: over the
+    denominator of all groups together."""
     count = lambda c, when: F.count_if(c & F.col(when))
     cells = [F.struct(F.lit(name).alias("part"), count(n, "now").alias("n"), count(d, "now").alias("d"), count(n, "before").alias("nb"), count(d, "before").alias("db"), F.lit(is_rate).alias("is_rate")) for name, (n, d, is_rate) in parts.items()]
     grouped = rows.groupBy(F.col(by).alias("group")) if by else rows.groupBy()
     x = grouped.agg(F.coalesce(F.bool_and("based"), F.lit(False)).alias("based"), F.array(*cells).alias("cells")).select(*(["group"] if by else []), "based", F.inline("cells"))
+    if by and of_all:
+        whole = x.agg(F.sum("d").alias("d"), F.sum("db").alias("db"))  # one row
+        x = x.drop("d", "db").crossJoin(F.broadcast(whole))
     value = F.when(F.col("is_rate"), rate(F.col("n"), F.col("d"))).otherwise(F.col("n").cast("double"))
     base = F.when(F.col("based"), F.when(F.col("is_rate"), rate(F.col("nb"), F.col("db"))).otherwise(F.col("nb").cast("double")))
     return x.select(F.col("group").alias("part") if by else "part", value.alias("value"), F.col("n").alias("numerator"), F.col("d").alias("denominator"), base.alias("baseline_value"), delta(value, base).alias("delta_pct"))

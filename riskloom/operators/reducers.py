@@ -135,3 +135,9 @@ def fan_out(rows: DataFrame, key: str, value: str) -> DataFrame:
         F.max(v).alias("v_max"), F.min(v).alias("v_min"), F.sum(v).alias("v_sum"), F.round(F.avg(v.cast("double")), 6).alias("v_mean"), F.bool_or(yes).alias("any_true"), F.bool_and(yes).alias("all_true"),
         F.count_distinct(v).alias("n_distinct"), F.when(F.count("*") == 1, F.max(v)).alias("v_one"), (F.count("*") > 1).alias("is_error"),
     )
+
+
+def part_of(text, separator: str, n: int):
+    """The n-th part of a text cut at a separator, from 1; empty where there are fewer, null for a null text. The network part of an address
+    with a prefix length is part_of(ip, "/", 1)."""
+    return F.split_part(text, F.lit(separator), F.lit(n))

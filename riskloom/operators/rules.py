@@ -134,3 +134,12 @@ def decide(scores: DataFrame, signals: DataFrame, bands: list[tuple[str, int]])
     capped = F.coalesce("vetoed", F.lit(False)) | F.col("unknown")
     action = F.when(capped & F.col("top").isNotNull() & (level > MONITOR), "monitor").otherwise(action)
     return d.select("subject", score.cast("long").alias("score"), band.alias("band"), action.alias("action"), F.col("top.rule_id").alias("source_rule"), F.coalesce("rules_fired", F.lit("")).alias("rules_fired"), "rules_authorised")
+
+
+def with_shadow(live: DataFrame, rows: DataFrame, shadow_rules: list[str], bands: list[tuple[str, int]]) -> DataFrame:
+    """live (subject, ...) with shadow_score, shadow_action, shadow_rules. rows: the ledger of live and shadow rules together, for the subjects
+    that shadow rules apply to; the decision is made as if the shadow rules were live. shadow_rules are those scored for the subject, in order,
+    fired or not. All three are null where no shadow rule was scored."""
+    both = decide(rule_scores(rows), consolidate(rows), bands)
+    scored = rows.filter(F.col("rule_id").isin(shadow_rules)).groupBy("subject").agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("shadow_rules"))
+    return live.join(both.select("subject", F.col("score").alias("shadow_score"), F.col("action").alias("shadow_action")).join(scored, "subject"), "subject", "left")

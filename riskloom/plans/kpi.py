@@ -57,25 +57,33 @@ def _figures(spark, sf_dir, rows: DataFrame, at: str, parts: dict, by: str | Non
     return kpis.figures(kpis.windowed(rows, at, _span(spark, sf_dir), window), parts, by)
 
 
-def _sql(base: str, at: str, parts: dict, by: str | None = None, window: int = W) -> str:
-    """The figures as SQL: parts as (numerator, denominator, is a rate)."""
+def _sql(base: str, at: str, parts: dict, by: str | None = None, window: int = W, of_all: bool = False) -> str:
+    """The figures as SQL: parts as (numerator, denominator, is a rate). of_all: a group's denominator is that of all groups."""
     out = []
     for name, (n, d, is_rate) in parts.items():
         cell = lambda c, when: f"count(*) FILTER (({c}) AND {when})"
+        whole = (lambda c: f"sum({c}) OVER ()::BIGINT") if of_all else (lambda c: c)
         now, before = f"last_at - {at} < {window}", f"last_at - {at} >= {window}"
         value = (lambda a, b: f"CASE WHEN {b} <> 0 THEN round_even({a} * 100.0 / {b}, 2) END") if is_rate else (lambda a, b: f"CAST({a} AS DOUBLE)")
-        inner = f"SELECT {by if by else repr(name)} AS part, coalesce(bool_and(first_at <= last_at - {2 * window}), FALSE) AS based, {cell(n, now)} AS n, {cell(d, now)} AS d, {cell(n, before)} AS nb, {cell(d, before)} AS db FROM {base}, sp WHERE last_at - {at} BETWEEN 0 AND {2 * window - 1}" + (f" GROUP BY {by}" if by else "")
+        inner = f"SELECT {by if by else repr(name)} AS part, coalesce(bool_and(first_at <= last_at - {2 * window}), FALSE) AS based, {cell(n, now)} AS n, {whole(cell(d, now))} AS d, {cell(n, before)} AS nb, {whole(cell(d, before))} AS db FROM {base}, sp WHERE last_at - {at} BETWEEN 0 AND {2 * window - 1}" + (f" GROUP BY {by}" if by else "")
         out.append(f"SELECT part, {value('n', 'd')} AS value, n AS numerator, d AS denominator, CASE WHEN based THEN {value('nb', 'db')} END AS baseline_value FROM ({inner})")
     return BASE + " SELECT *, CASE WHEN baseline_value <> 0 THEN round_even((value - baseline_value) / abs(baseline_value) * 100, 1) END AS delta_pct FROM (" + " UNION ALL ".join(out) + ")"
 
 
-def _tile(name: str, rows, base: str, at: str, parts: dict, by: str | None = None, window: int = W) -> None:
-    """A tile whose conditions read the same in Spark's SQL and DuckDB's."""
+def _tile(name: str, rows, base: str, at: str, parts: dict, by: str | None = None, window: int = W, headline: dict | None = None) -> None:
+    """A tile whose conditions read the same in Spark's SQL and DuckDB's. headline: figures over all rows beside those of the groups, which
+    then have all rows as their denominator."""
 
     def run(spark, sf_dir):
-        return _figures(spark, sf_dir, rows(spark, sf_dir), at, {k: (F.coalesce(F.expr(n), F.lit(False)), F.coalesce(F.expr(d), F.lit(False)), r) for k, (n, d, r) in parts.items()}, by, window)
+        of = lambda ps: {k: (F.coalesce(F.expr(n), F.lit(False)), F.coalesce(F.expr(d), F.lit(False)), r) for k, (n, d, r) in ps.items()}
+        met = kpis.windowed(rows(spark, sf_dir), at, _span(spark, sf_dir), window)
+        out = kpis.figures(met, of(parts), by, of_all=headline is not None)
+        return out.unionByName(kpis.figures(met, of(headline))) if headline else out
 
-    query(name, _sql(base, at, parts, by, window))(run)
+    sql = _sql(base, at, parts, by, window, headline is not None)
+    if headline:
+        sql += " UNION ALL " + _sql(base, at, headline, None, window)[len(BASE):]
+    query(name, sql)(run)
 
 
 def _decision_rows(spark, sf_dir):
@@ -96,18 +104,29 @@ _CASES, _ATTRIBUTED, _REASONS = "kc", "(SELECT ra.alert_id, ra.rule_id, kc.first
 _EVERY = "true"
 
 _tile("kpi_alert_volume", _decision_rows, "kd", "event_at", {"cases": ("became_case", _EVERY, False), **{r: (f"routing = '{r}'", _EVERY, False) for r in ("raised", "restated", "folded", "suppressed", "no_authority")}})
-_tile("kpi_score_distribution", lambda s, d: _decision_rows(s, d).withColumn("part", F.concat_ws(":", F.lit("transaction"), "band")), "(SELECT *, concat('transaction:', band) AS part FROM kd) x", "event_at", {"scoring": ("score > 0", _EVERY, False)}, "part")
+_tile("kpi_score_distribution", lambda s, d: _decision_rows(s, d).withColumn("part", F.concat_ws(":", F.lit("transaction"), "band")), "(SELECT *, concat('transaction:', band) AS part FROM kd) x", "event_at", {"n": (_EVERY, _EVERY, False)}, "part", headline={"scoring": ("score > 0", _EVERY, False)})
 _tile("kpi_false_positive_rate", _case_base, _CASES, "first_event_at", {"rate": ("is_false_positive", "disposition is not null", True), "inconclusive": ("disposition = 'inconclusive'", _EVERY, False)})
 _tile("kpi_false_negative_rate", _decision_rows, "kd", "event_at", {"rate": ("is_fraud and not became_case", "is_fraud", True)})
 _tile("kpi_no_baseline", _decision_rows, "kd", "event_at", {"cases": ("became_case", _EVERY, False), "missed": ("is_fraud and not became_case", "is_fraud", True)}, window=micros("20d"))
-_tile("kpi_validation_outcomes", lambda s, d: _case_base(s, d).withColumn("part", F.coalesce("disposition", F.lit("undispositioned"))), "(SELECT *, coalesce(disposition, 'undispositioned') AS part FROM kc) x", "first_event_at", {"n": (_EVERY, _EVERY, False)}, "part")
+_tile("kpi_validation_outcomes", lambda s, d: _case_base(s, d).withColumn("part", F.coalesce("disposition", F.lit("undispositioned"))), "(SELECT *, coalesce(disposition, 'undispositioned') AS part FROM kc) x", "first_event_at", {"n": (_EVERY, _EVERY, False)}, "part", headline={"settled": ("disposition is not null", _EVERY, False)})
 _tile("kpi_provenance", _case_base, _CASES, "first_event_at", {"synthetic": ("disposition_source = 'synthetic'", "disposition is not null", False), "analyst": ("disposition_source = 'analyst'", "disposition is not null", False)})
 _tile("kpi_rule_precision", _attributed, _ATTRIBUTED, "first_event_at", {"precision": ("is_true_positive", "disposition is not null", True)}, "rule_id")
 _tile("kpi_trends", _reason_rows, _REASONS, "first_event_at", {"n": (_EVERY, _EVERY, False)}, "reason_code")
-_tile("kpi_executions_rates", lambda s, d: _executions(s, d), "(SELECT *, action = 'challenge' AS is_preventive, coalesce(action = 'challenge' AND outcome = 'passed' AND disposition = 'confirmed_legit', FALSE) AS pfp, coalesce(action = 'challenge' AND disposition = 'confirmed_fraud', FALSE) AS ptp FROM ke) x".replace("AS pfp", "AS is_prevention_false_positive").replace("AS ptp", "AS is_prevention_true_positive"), "issued_at", {
-    "challenge pass rate": ("action = 'challenge' and outcome = 'passed'", "action = 'challenge'", True), "challenge abandon rate": ("action = 'challenge' and outcome = 'abandoned'", "action = 'challenge'", True), "holds issued": ("action = 'hold'", _EVERY, False), "blocks issued": ("action = 'block'", _EVERY, False), "notifications": ("action = 'notify'", _EVERY, False),
-    "prevention false positives": ("is_prevention_false_positive", "is_preventive", False), "prevention true positives": ("is_prevention_true_positive", "is_preventive", False)})
-_tile("kpi_action_rates", lambda s, d: _decision_rows(s, d).join(_executions(s, d).filter("is_preventive").select(F.col("decision_id").alias("id"), F.lit(True).alias("hard")), "id", "left").withColumn("hard", F.coalesce("hard", F.lit(False))), "(SELECT *, decision_id IN (SELECT decision_id FROM ke WHERE action = 'challenge') AS hard FROM kd) x", "event_at", {"preventive": ("hard", _EVERY, True), "fail-open": ("fail_open", _EVERY, True)})
+def _acted(spark, sf_dir):
+    """Executions and the decisions evaluated, told apart by `kind`: rates of what was done to customers, over each other or over decisions."""
+    x = _executions(spark, sf_dir).select(F.lit("done").alias("kind"), F.col("issued_at").alias("event_at"), "action", "outcome", "is_preventive", "is_prevention_false_positive", "is_prevention_true_positive", F.lit(False).alias("fail_open"))
+    d = _decision_rows(spark, sf_dir).select(F.lit("decided").alias("kind"), "event_at", "fail_open")
+    return x.unionByName(d, allowMissingColumns=True)
+
+
+_ACTED = "(SELECT 'done' AS kind, issued_at AS event_at, action, outcome, action = 'challenge' AS is_preventive, coalesce(action = 'challenge' AND outcome = 'passed' AND disposition = 'confirmed_legit', FALSE) AS is_prevention_false_positive, coalesce(action = 'challenge' AND disposition = 'confirmed_fraud', FALSE) AS is_prevention_true_positive, FALSE AS fail_open FROM ke UNION ALL SELECT 'decided', event_at, NULL, NULL, NULL, NULL, NULL, fail_open FROM kd) x"
+_EXECUTED = {
+    "challenge pass rate": ("action = 'challenge' and outcome = 'passed'", "action = 'challenge'", True), "challenge abandon rate": ("action = 'challenge' and outcome = 'abandoned'", "action = 'challenge'", True),
+    "holds issued": ("action = 'hold'", "kind = 'decided'", False), "blocks issued": ("action = 'block'", "kind = 'decided'", False), "notifications": ("action = 'notify'", "kind = 'decided'", False),
+    "prevention false positives": ("is_prevention_false_positive", "is_preventive", False), "prevention true positives": ("is_prevention_true_positive", "is_preventive", False),
+}
+_tile("kpi_executions_rates", _acted, _ACTED, "event_at", _EXECUTED)
+_tile("kpi_action_rates", _acted, _ACTED, "event_at", {"preventive": ("is_preventive", "kind = 'decided'", True), **_EXECUTED, "fail-open": ("fail_open", "kind = 'decided'", True)})
 
 
 def kpi_triage_time(spark, sf_dir):

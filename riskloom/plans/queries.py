@@ -375,23 +375,3 @@ def kpi_bands(spark, sf_dir):
 @query("kpi_percentiles", f"WITH {TX} SELECT direction, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(amount AS DOUBLE)), 6) AS p50, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY CAST(amount AS DOUBLE)), 6) AS p90 FROM tx GROUP BY 1")
 def kpi_percentiles(spark, sf_dir):
     return transactions(spark, sf_dir).groupBy("direction").agg(*[F.round(F.percentile(_c("amount").cast("double"), p), 6).alias(n) for p, n in ((0.5, "p50"), (0.9, "p90"))])
-
-
-@query("band_calibration", f"WITH {TX}, s AS (SELECT DISTINCT CAST(floor(amount) AS BIGINT) AS score FROM tx WHERE amount >= 1), g AS (SELECT score, lead(score) OVER (ORDER BY score) - score AS gap FROM s) SELECT score, gap, CAST(round((score + gap / 2.0) / 5) * 5 AS BIGINT) AS cut FROM g WHERE gap IS NOT NULL ORDER BY gap DESC, score LIMIT 2")
-def band_calibration(spark, sf_dir):
-    s = transactions(spark, sf_dir).filter("amount >= 1").select(F.floor("amount").cast("long").alias("score")).distinct()
-    g = s.withColumn("gap", F.lead("score").over(Window.orderBy("score")) - _c("score")).filter("gap is not null")  # one row per distinct score
-    return g.orderBy(F.desc("gap"), "score").limit(2).withColumn("cut", (F.round((_c("score") + _c("gap") / 2) / 5) * 5).cast("long"))
-
-
-_PRIORITY = _DECIDE + f""", ex AS (SELECT p.txn_id, p.t, coalesce((SELECT sum(h.amount) FROM tx h WHERE h.account_id = p.account_id AND h.direction = 'outbound' AND h.t <= p.t AND h.t > p.t - {90 * DAY}), 0) AS exposure FROM tx p)
- SELECT subject, score, round_even(round_even(CAST(score AS DOUBLE), 3) * round_even(1 + 0.5 * log10(1 + greatest(CAST(exposure AS DOUBLE), 10.0)), 3) * round_even(pow(0.5, greatest((now - t) / 3.6e9, 0) / 48.0), 6), 3) AS priority FROM d JOIN ex ON txn_id = subject, (SELECT max(t) AS now FROM tx) WHERE score > 0 ORDER BY priority DESC, subject LIMIT 100 OFFSET 20"""
-
-
-@query("priority_queue", _PRIORITY)
-def priority_queue(spark, sf_dir):
-    """The second page of the queue, 100 a page after the 20 on top."""
-    d = decisions(spark, sf_dir).filter("score > 0").join(transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "t"), "subject").join(exposure_account(spark, sf_dir).withColumnRenamed("txn_id", "subject"), "subject")
-    now = transactions(spark, sf_dir).agg(F.max("t").alias("now"))
-    d = d.join(F.broadcast(now), F.lit(True))  # one row
-    return d.withColumn("priority", cases.priority(_c("score").cast("double"), _c("exposure").cast("double"), (_c("now") - _c("t")) / 3.6e9)).orderBy(F.desc("priority"), "subject").offset(20).limit(100).select("subject", "score", "priority")

@@ -62,18 +62,8 @@ def plan_all_subjects(spark, sf_dir):
     return out.unionByName(by("network", _c("network"), x.filter("direction = 'inbound'").join(members, "account_id")))
 
 
-@query("exposure_network", f"WITH {TX}, {LINKS}, q AS (SELECT device_id FROM links GROUP BY 1 HAVING count(DISTINCT account_id) > 3), m AS (SELECT DISTINCT l.device_id, l.account_id FROM links l JOIN q ON q.device_id = l.device_id), b AS (SELECT max(t) AS bound FROM tx) SELECT m.device_id AS network, coalesce(sum(amount) FILTER (direction = 'inbound' AND t <= bound AND t > bound - {WEEK}), 0)::DECIMAL(28,4) AS exposure FROM m LEFT JOIN tx ON tx.account_id = m.account_id, b GROUP BY 1")
-def exposure_network(spark, sf_dir):
-    """Inbound amounts of a network's members over the week to the newest instant: summed by account before they meet the members."""
-    x = transactions(spark, sf_dir)
-    bound = x.agg(F.max("t")).first()[0]
-    week = x.filter((_c("direction") == "inbound") & (_c("t") > bound - WEEK)).groupBy("account_id").agg(F.sum("amount").alias("s"))
-    members = entity_links(spark, sf_dir).join(graph_fanout(spark, sf_dir).select("device_id"), "device_id", "left_semi").select(_c("device_id").alias("network"), "account_id").distinct()
-    return members.join(week, "account_id", "left").groupBy("network").agg(F.coalesce(F.sum("s"), F.lit(0)).cast("decimal(28,4)").alias("exposure"))
-
-
-SHADOW_RULES = [*RULES, ("S1", "challenge", 3, True, False, 30, 30)]
-SHADOW_CONDITIONS = [*CONDITIONS, ("S1", "c1", "amt", ">", 90.0, 35, True)]
+SHADOW_RULES = [*RULES, ("S1", "challenge", 3, True, False, 30, 30), ("S2", "alert", 2, False, False, 20, 999)]
+SHADOW_CONDITIONS = [*CONDITIONS, ("S1", "c1", "amt", ">", 90.0, 35, True), ("S2", "c1", "mcc", "=", 99.0, 30, True)]  # S2 never fires
 _BOTH = _DECIDE.replace(_literal(CONDITIONS), _literal(SHADOW_CONDITIONS)).replace(_literal(RULES), _literal(SHADOW_RULES))
 
 
@@ -82,18 +72,10 @@ def _as_ctes(sql: str, last: str, name: str) -> str:
     return f"{name} AS MATERIALIZED ({sql} SELECT * FROM {last})"
 
 
-@query("shadow_decisions", f"WITH {_as_ctes(_DECIDE, 'd', 'live')}, {_as_ctes(_BOTH, 'd', 'shadow')} SELECT live.subject, live.score, live.action, shadow.score AS shadow_score, shadow.action AS shadow_action, shadow.rules_fired AS shadow_rules FROM live JOIN shadow USING (subject)")
-def shadow_decisions(spark, sf_dir):
-    """What live rules decide, and what they would with the shadow rule. A shadow rule changes nothing but its own columns."""
-    live = decisions(spark, sf_dir).select("subject", "score", "action")
-    both = decisions(spark, sf_dir, SHADOW_RULES, SHADOW_CONDITIONS)
-    return live.join(both.select("subject", _c("score").alias("shadow_score"), _c("action").alias("shadow_action"), _c("rules_fired").alias("shadow_rules")), "subject")
-
-
-@query("shadow_ledger", _BOTH + " SELECT subject, rule_id, condition_id, fired, CASE WHEN rule_id = 'S1' THEN 0 ELSE contributed END AS contributed FROM l WHERE fired")
+@query("shadow_ledger", _BOTH + " SELECT subject, rule_id, condition_id, fired, CASE WHEN rule_id IN ('S1', 'S2') THEN 0 ELSE contributed END AS contributed FROM l WHERE fired")
 def shadow_ledger(spark, sf_dir):
     """Fired conditions of live and shadow rules; those of shadow rules contribute nothing."""
-    shadow = _c("rule_id") == "S1"
+    shadow = _c("rule_id").isin("S1", "S2")
     return _rows(spark, sf_dir, SHADOW_RULES, SHADOW_CONDITIONS).filter("fired").select("subject", "rule_id", "condition_id", "fired", F.when(shadow, 0).otherwise(_c("contributed")).alias("contributed"))
 
 
@@ -114,14 +96,6 @@ def backtest(spark, sf_dir):
     return by.join(middle, "band", "left")
 
 
-@query("decision_diff", f"WITH {_as_ctes(_DECIDE, 'd', 'old')}, {_as_ctes(_SWAPPED, 'd', 'new')} SELECT subject, concat_ws('+', CASE WHEN old.score <> new.score THEN 'score' END, CASE WHEN old.action <> new.action THEN 'action' END) AS change, old.action AS old_action, new.action AS new_action FROM new JOIN old USING (subject) WHERE old.score <> new.score OR old.action <> new.action")
-def decision_diff(spark, sf_dir):
-    """Where the candidate's decisions differ from those at hand."""
-    old, new = (decisions(spark, sf_dir, r).select("subject", _c("score").alias(f"{n}_score"), _c("action").alias(f"{n}_action")) for n, r in (("old", None), ("new", CANDIDATE)))
-    change = F.concat_ws("+", F.when(_c("old_score") != _c("new_score"), "score"), F.when(_c("old_action") != _c("new_action"), "action"))
-    return new.join(old, "subject").withColumn("change", change).filter("change <> ''").select("subject", "change", "old_action", "new_action")
-
-
 @query("rule_trace", _DECIDE + " SELECT subject, string_agg(concat(rule_id, ':', CAST(score AS INTEGER), '/', review, CASE WHEN satisfied THEN ' satisfied' ELSE '' END, CASE WHEN authorised THEN ' authorised' ELSE '' END, CASE WHEN is_veto THEN concat(' veto ', CASE WHEN veto IS NULL THEN 'unknown' WHEN veto THEN 'established' ELSE 'no' END) ELSE '' END), '; ' ORDER BY rule_id) AS trace FROM sa GROUP BY 1")
 def rule_trace(spark, sf_dir):
     """One line for each decision: its rules with score, threshold and state."""
@@ -169,13 +143,6 @@ def cohort_base_rate(spark, sf_dir):
     return transactions(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("n"), F.round(F.count_if(_c("label") == "fraud") / F.count("*"), 6).alias("base_rate"))
 
 
-@query("calibration_impact", _DECIDE + " SELECT band AS old_band, CASE WHEN score >= 70 THEN 'high' WHEN score >= 30 THEN 'elevated' ELSE 'low' END AS new_band, count(*) AS n, count(*) FILTER (source_rule IS NOT NULL) AS with_case FROM d GROUP BY 1, 2")
-def calibration_impact(spark, sf_dir):
-    """Decisions by band at hand and band under other cuts, and how many of them have authority."""
-    new = F.when(_c("score") >= 70, "high").when(_c("score") >= 30, "elevated").otherwise("low")
-    return decided_subjects(spark, sf_dir).groupBy(_c("band").alias("old_band"), new.alias("new_band")).agg(F.count("*").alias("n"), F.count_if(_c("source_rule").isNotNull()).alias("with_case"))
-
-
 @query("reason_direction", _LEDGER + " SELECT feature, CASE WHEN bool_or(points >= 0) AND bool_or(points < 0) THEN 'both' WHEN bool_or(points >= 0) THEN 'aggravating' ELSE 'mitigating' END AS direction, count(*) FILTER (fired) AS n_fired FROM l GROUP BY 1")
 def reason_direction(spark, sf_dir):
     """Which way the conditions price each feature's reason, and how often it fired."""
