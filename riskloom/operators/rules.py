@@ -53,16 +53,20 @@ def ledger(values: DataFrame, conditions: DataFrame, rules: DataFrame) -> DataFr
     A rule is satisfied by its required conditions: those of one condition_group by any of them, the groups together as the rule's `combine`
     says (AND, OR); without required conditions by any that fires. Without a column condition_group each condition is a group, without
     combine it is AND. values may have text and flag beside value, conditions operand_text."""
-    rows = values.join(F.broadcast(conditions), "feature").join(F.broadcast(rules), "rule_id")
-    if "operand_text" in conditions.columns:
+    return with_verdict(values.join(F.broadcast(conditions), "feature").join(F.broadcast(rules), "rule_id"), conditions.columns, rules.columns)
+
+
+def with_verdict(rows: DataFrame, of_conditions: list[str], of_rules: list[str]) -> DataFrame:
+    """rows (values met with conditions and rules of these columns) with fired, satisfied and contributed."""
+    if "operand_text" in of_conditions:
         hit = fires(F.col("op"), F.col("value"), F.col("text"), F.col("flag"), F.col("operand"), F.col("operand_text"))
     else:
         hit = holds(F.col("op"), F.col("value"), F.col("operand"))
     rows = rows.withColumn("fired", (F.col("status") == "present") & hit)
     w = Window.partitionBy("subject", "rule_id")
-    if "condition_group" in conditions.columns:
+    if "condition_group" in of_conditions:
         groups, met = (F.size(F.collect_set(F.when(when, F.col("condition_group"))).over(w)) for when in (F.col("required"), F.col("required") & F.col("fired")))
-        any_of = F.upper("combine") == "OR" if "combine" in rules.columns else F.lit(False)
+        any_of = F.upper("combine") == "OR" if "combine" in of_rules else F.lit(False)
         needed = F.when(groups > 0, F.when(any_of, met > 0).otherwise(met == groups))
     else:
         needed = F.bool_and(F.when(F.col("required"), F.col("fired"))).over(w)
@@ -143,3 +147,11 @@ def with_shadow(live: DataFrame, rows: DataFrame, shadow_rules: list[str], bands
     both = decide(rule_scores(rows), consolidate(rows), bands)
     scored = rows.filter(F.col("rule_id").isin(shadow_rules)).groupBy("subject").agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("shadow_rules"))
     return live.join(both.select("subject", F.col("score").alias("shadow_score"), F.col("action").alias("shadow_action")).join(scored, "subject"), "subject", "left")
+
+
+def scenarios(values: DataFrame, conditions: DataFrame, rules: DataFrame) -> DataFrame:
+    """One ledger for many candidate rule sets. conditions and rules have a column `scenario`; each value is worked out once and meets the
+    conditions of all scenarios, and the ledger's subject is (scenario, subject), so that no scenario sees another in whatever is made of
+    the ledger: scores, signals, decisions. A subject's scenarios are rows, so none is gathered with the others."""
+    rows = values.join(F.broadcast(conditions), "feature").join(F.broadcast(rules), ["scenario", "rule_id"])
+    return with_verdict(rows.withColumn("subject", F.struct("scenario", "subject")).drop("scenario"), conditions.columns, rules.columns)

@@ -158,12 +158,23 @@ CONDITION_SCHEMA = "rule_id string, condition_id string, feature string, op stri
 BANDS = [("high", 75), ("elevated", 40), ("low", 0)]
 
 
-def _rows(spark, sf_dir, rule_rows=None, condition_rows=None) -> DataFrame:
-    x = transactions(spark, sf_dir).withColumn("n7", reducers.count(F.lit(True), trailing("account_id", "7d"))).withColumn("z", reducers.zscore_of_self("amount", trailing("account_id")))
+def feature_values(spark, sf_dir, only: DataFrame | None = None) -> DataFrame:
+    """(subject, feature, value, status) of the features that the rules ask for. only: the subjects asked for; the windows then hold the
+    whole history of their accounts, and of no others."""
+    x = transactions(spark, sf_dir)
+    if only is not None:
+        asked = x.select(_c("txn_id").alias("subject"), "account_id").join(only, "subject", "left_semi")
+        x = x.join(asked.select("account_id").distinct(), "account_id", "left_semi")
+    x = x.withColumn("n7", reducers.count(F.lit(True), trailing("account_id", "7d"))).withColumn("z", reducers.zscore_of_self("amount", trailing("account_id")))
     name = lambda n, c: F.struct(F.lit(n).alias("feature"), c.cast("double").alias("value"))
     x = x.select(_c("txn_id").alias("subject"), F.explode(F.array(name("n7", _c("n7")), name("amt", _c("amount")), name("z", F.round("z", 6)), name("mcc", _c("mcc")))).alias("f"))
-    values = x.select("subject", "f.feature", "f.value", F.when(_c("f.value").isNull(), "absent").otherwise("present").alias("status"))
-    return rules.ledger(values, spark.createDataFrame(condition_rows or CONDITIONS, CONDITION_SCHEMA), spark.createDataFrame(rule_rows or RULES, RULE_SCHEMA))
+    if only is not None:
+        x = x.join(only, "subject", "left_semi")
+    return x.select("subject", "f.feature", "f.value", F.when(_c("f.value").isNull(), "absent").otherwise("present").alias("status"))
+
+
+def _rows(spark, sf_dir, rule_rows=None, condition_rows=None) -> DataFrame:
+    return rules.ledger(feature_values(spark, sf_dir), spark.createDataFrame(condition_rows or CONDITIONS, CONDITION_SCHEMA), spark.createDataFrame(rule_rows or RULES, RULE_SCHEMA))
 
 
 def _literal(rows) -> str:
