@@ -17,6 +17,14 @@ def micros(text: str) -> int:
 
 
 def trailing(scope: str, window: str | None = None, lag: str | None = None) -> WindowSpec:
-    """Rows of the scope in (t - window, t - lag]; no window: all history. Peers at one instant count."""
+    """Rows of the scope in (t - window, t - lag]; no window: all history. Peers at one instant count.
+
+    The spec has an attribute `grown`: the frames (all to t - lag) and (all to t - window), which only grow as t goes on. A count or an exact
+    sum over the window is the difference of those, which costs a step for each row however many rows the window holds."""
+    ordered = Window.partitionBy(scope).orderBy("t")
+    end = -micros(lag) if lag else 0
     start = Window.unboundedPreceding if window is None else -(micros(window) - 1)
-    return Window.partitionBy(scope).orderBy("t").rangeBetween(start, -micros(lag) if lag else 0)
+    spec = ordered.rangeBetween(start, end)
+    grow = lambda last: ordered.rangeBetween(Window.unboundedPreceding, last)
+    spec.grown = (grow(end), None if window is None else grow(start - 1))
+    return spec

@@ -1,23 +1,40 @@
-"""Exposure of a subject at each of its decisions' own instants: outbound of an account, volume of other kinds of subject."""
+"""Exposure of a subject at each of its decisions' own instants: outbound of an account, volume of other kinds of subject.
+
+A total over (t - w, t] is the running total at t less that at t - w. A running total is the sum of the whole hours before, from a table with
+a row for each subject and hour, and of the part of the hour so far. So the rows of a subject are parted by hours, and a merchant with a third
+of all rows is no single task; what is ordered by subject alone is hours, not rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import trailing
-from . import reducers
+from ..functions.windows import micros
 
 BASIS = {"card": "30d", "customer": "30d", "device": "30d", "merchant": "30d", "account": "90d"}
+HOUR = 3_600_000_000
 
 
 def exposures(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """(txn_id, subject_type, basis, exposure); keys: the column of each kind of subject. The transaction's own is its amount."""
-    both = rows
-    for kind, key in keys.items():
-        keep = F.col("direction") == "outbound" if kind == "account" else F.lit(True)
-        both = both.withColumn(f"x_{kind}", reducers.total(keep, "amount", trailing(key, BASIS[kind])))
+    """(txn_id, subject_type, basis, exposure); keys: the column of each kind of subject. The transaction's own is its amount. A transaction
+    without a key of a kind has exposure 0 of it."""
     name = lambda kind: f"{'outbound' if kind == 'account' else 'volume'}_{BASIS[kind]}"
-    parts = [F.struct(F.lit(kind).alias("subject_type"), F.lit(name(kind)).alias("basis"), F.coalesce(F.col(f"x_{kind}").cast("decimal(28,4)"), F.lit(0).cast("decimal(28,4)")).alias("exposure")) for kind in keys]
-    own = F.struct(F.lit("transaction").alias("subject_type"), F.lit("amount").alias("basis"), F.col("amount").cast("decimal(28,4)").alias("exposure"))
-    return both.select("txn_id", F.explode(F.array(own, *parts)).alias("x")).select("txn_id", "x.*")
+    own = rows.select("txn_id", F.lit("transaction").alias("subject_type"), F.lit("amount").alias("basis"), F.col("amount").cast("decimal(28,4)").alias("exposure"))
+    parts = []
+    for kind, key in keys.items():
+        counts = F.col("direction") == "outbound" if kind == "account" else F.lit(True)
+        for side, at in ((1, F.col("t")), (-1, F.col("t") - micros(BASIS[kind]))):
+            taken = F.when(counts, F.col("amount")) if side == 1 else F.lit(None)
+            parts.append(F.struct(F.lit(kind).alias("subject_type"), F.lit(name(kind)).alias("basis"), F.col(key).cast("long").alias("key"), at.alias("at"), F.lit(side).alias("side"), taken.cast("decimal(28,4)").alias("x")))
+    marks = rows.select("txn_id", F.inline(F.array(*parts))).withColumn("hour", F.floor(F.col("at") / HOUR))
+    subject = ["subject_type", "basis", "key"]
+    hours = marks.groupBy(*subject, "hour").agg(F.sum("x").alias("s"))
+    upto = F.sum("s").over(Window.partitionBy(*subject).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
+    before = hours.select(*subject, "hour", F.coalesce(upto, F.lit(0)).cast("decimal(28,4)").alias("before"))
+    within = F.sum("x").over(Window.partitionBy(*subject, "hour").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    placed = marks.withColumn("within", F.coalesce(within, F.lit(0)).cast("decimal(28,4)")).join(before, [*subject, "hour"], "left")
+    running = F.col("side") * (F.coalesce("before", F.lit(0)) + F.col("within"))
+    known = F.bool_and(F.col("key").isNotNull())
+    totals = placed.groupBy("txn_id", "subject_type", "basis").agg(F.when(known, F.sum(running)).otherwise(0).cast("decimal(28,4)").alias("exposure"))
+    return own.unionByName(totals)

@@ -20,11 +20,18 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def count(keep, w):
-    return F.count(_when(keep, 1)).over(w)
+    n = F.count(_when(keep, 1))
+    upto, gone = getattr(w, "grown", (w, None))
+    return n.over(upto) if gone is None else n.over(upto) - n.over(gone)
 
 
 def total(keep, value, w):
-    return F.sum(_when(keep, F.col(value))).over(w)
+    """The sum of a decimal column; null over no rows. Decimals add up exactly, so a difference of running sums is the window's sum."""
+    x = _when(keep, F.col(value))
+    upto, gone = getattr(w, "grown", (w, None))
+    if gone is None:
+        return F.sum(x).over(upto)
+    return F.when(F.count(x).over(upto) > F.count(x).over(gone), (F.sum(x).over(upto) - F.coalesce(F.sum(x).over(gone), F.lit(0))).cast("decimal(28,4)"))
 
 
 def distinct_count(keep, value, w):
@@ -106,16 +113,20 @@ def geo_jump(rows: DataFrame, scope: str) -> DataFrame:
 
 
 def pct_of_running_balance(rows: DataFrame, scope: str, window: str) -> DataFrame:
-    """The latest outbound amount against the balance standing strictly before it, inside the window. A probe and its history meet
-    on the scope and on time slices of the window's length, so a scope's history isn't met as a whole."""
+    """The latest outbound amount against the balance standing strictly before it, inside the window; approved rows only.
+
+    Running balances of decimals are exact, so the balance is the one before the latest outbound row less the one at the window's start; the
+    latest outbound row of all history is that of the window, if it lies inside. All frames only grow, one sort serves them."""
     w = micros(window)
-    probe = rows.select("txn_id", F.col(scope).alias("s"), F.col("t").alias("pt"), F.explode(F.array(F.floor(F.col("t") / w), F.floor(F.col("t") / w) - 1)).alias("slice"))
-    past = rows.filter("auth_result = 'approved'").select(F.col(scope).alias("s"), "t", F.col("txn_id").alias("id"), F.col("amount").cast("double").alias("x"), "direction", F.floor(F.col("t") / w).alias("slice"))
-    met = probe.join(past, ["s", "slice"]).filter((F.col("t") <= F.col("pt")) & (F.col("t") > F.col("pt") - w))
-    last = met.groupBy("txn_id").agg(F.max(F.when(F.col("direction") == "outbound", F.struct("t", "id", "x"))).alias("last"), F.array_sort(F.collect_list(F.struct("t", "direction", "x"))).alias("rows"))
-    signed = lambda r: F.when(r["t"] >= F.col("last.t"), 0.0).when(r["direction"] == "inbound", r["x"]).otherwise(-r["x"])
-    balance = F.aggregate("rows", F.lit(0.0), lambda acc, r: acc + signed(r))
-    return rows.join(last.select("txn_id", _ratio(100 * F.col("last.x"), balance).alias("value")), "txn_id", "left")
+    mine = Window.partitionBy(scope).orderBy("t")
+    upto = lambda last: mine.rangeBetween(Window.unboundedPreceding, last)
+    fine, out = F.col("auth_result") == "approved", F.col("direction") == "outbound"
+    signed = F.when(fine, F.when(F.col("direction") == "inbound", F.col("amount")).otherwise(-F.col("amount")))
+    stood = lambda last: F.coalesce(F.sum(signed).over(upto(last)), F.lit(0))
+    r = rows.withColumns({"__before": stood(-1), "__gone": stood(-w)})
+    r = r.withColumn("__last", F.max(F.when(fine & out, F.struct("t", "txn_id", F.col("amount").cast("double").alias("x"), "__before"))).over(upto(0)))
+    value = F.when(F.col("__last.t") > F.col("t") - w, _ratio(100 * F.col("__last.x"), (F.col("__last.__before") - F.col("__gone")).cast("double")))
+    return r.withColumn("value", value).drop("__before", "__gone", "__last")
 
 
 def cluster_density(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -53,6 +53,7 @@ def ledger(values: DataFrame, conditions: DataFrame, rules: DataFrame) -> DataFr
     A rule is satisfied by its required conditions: those of one condition_group by any of them, the groups together as the rule's `combine`
     says (AND, OR); without required conditions by any that fires. Without a column condition_group each condition is a group, without
     combine it is AND. values may have text and flag beside value, conditions operand_text."""
+    values = values.repartition("subject")  # all that follows is by subject, and needs no further exchange
     return with_verdict(values.join(F.broadcast(conditions), "feature").join(F.broadcast(rules), "rule_id"), conditions.columns, rules.columns)
 
 
@@ -154,4 +155,4 @@ def scenarios(values: DataFrame, conditions: DataFrame, rules: DataFrame) -> Dat
     conditions of all scenarios, and the ledger's subject is (scenario, subject), so that no scenario sees another in whatever is made of
     the ledger: scores, signals, decisions. A subject's scenarios are rows, so none is gathered with the others."""
     rows = values.join(F.broadcast(conditions), "feature").join(F.broadcast(rules), ["scenario", "rule_id"])
-    return with_verdict(rows.withColumn("subject", F.struct("scenario", "subject")).drop("scenario"), conditions.columns, rules.columns)
+    return with_verdict(rows.withColumn("subject", F.struct("scenario", "subject")).drop("scenario").repartition("subject"), conditions.columns, rules.columns)

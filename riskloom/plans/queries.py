@@ -85,10 +85,10 @@ _feature("geo_jump_km", lambda x: reducers.geo_jump(x, "card_id"), f""", g AS (S
  n AS (SELECT *, last_value(here IGNORE NULLS) OVER {_BY_CARD} CURRENT ROW) AS now, last_value(here IGNORE NULLS) OVER {_BY_CARD} 1 PRECEDING) AS was FROM g),
  b AS (SELECT *, last_value(CASE WHEN was <> now THEN was END IGNORE NULLS) OVER {_BY_CARD} CURRENT ROW) AS before FROM n)
  SELECT txn_id, round(2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(now.a - before.a) / 2), 2) + cos(radians(before.a)) * cos(radians(now.a)) * pow(sin(radians(now.b - before.b) / 2), 2)))), 5) AS value FROM b""")
-_feature("pct_running_balance", lambda x: reducers.pct_of_running_balance(x, "account_id", "7d"), f""", m AS (SELECT p.txn_id, h.t, h.txn_id AS id, CAST(h.amount AS DOUBLE) AS x, h.direction FROM tx p JOIN tx h ON h.account_id = p.account_id AND h.t <= p.t AND h.t > p.t - {WEEK} AND h.auth_result = 'approved'),
+_feature("pct_running_balance", lambda x: reducers.pct_of_running_balance(x, "account_id", "7d"), f""", m AS (SELECT p.txn_id, h.t, h.txn_id AS id, h.amount AS x, h.direction FROM tx p JOIN tx h ON h.account_id = p.account_id AND h.t <= p.t AND h.t > p.t - {WEEK} AND h.auth_result = 'approved'),
  l AS (SELECT txn_id, t AS lt, x AS lx FROM m WHERE direction = 'outbound' QUALIFY row_number() OVER (PARTITION BY txn_id ORDER BY t DESC, id DESC) = 1),
  b AS (SELECT l.txn_id, any_value(lx) AS lx, coalesce(sum(CASE WHEN t < lt THEN CASE WHEN direction = 'inbound' THEN x ELSE -x END END), 0) AS bal FROM l JOIN m ON m.txn_id = l.txn_id GROUP BY 1)
- SELECT tx.txn_id, round(100 * lx / CASE WHEN abs(bal) > 1e-9 THEN bal END, 5) AS value FROM tx LEFT JOIN b ON b.txn_id = tx.txn_id""")
+ SELECT tx.txn_id, round(100 * CAST(lx AS DOUBLE) / CAST(nullif(bal, 0) AS DOUBLE), 5) AS value FROM tx LEFT JOIN b ON b.txn_id = tx.txn_id""")
 _feature("self_ref_novelty", lambda x: x.withColumn("value", F.coalesce(F.lag("t").over(Window.partitionBy("account_id", "mcc").orderBy("t")).isNull() | _c("mcc").isNull(), F.lit(True))), _past("count(*) = 0", "account_id", None, "h.mcc = p.mcc AND h.txn_id <> p.txn_id", rounded=False))
 _feature("lagged_baseline", lambda x: x.withColumn("value", reducers.count(F.lit(True), trailing("account_id", None, "1d"))), _past("count(*)", "account_id", None, lag=DAY, rounded=False))
 
