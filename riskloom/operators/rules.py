@@ -156,3 +156,21 @@ def scenarios(values: DataFrame, conditions: DataFrame, rules: DataFrame) -> Dat
     the ledger: scores, signals, decisions. A subject's scenarios are rows, so none is gathered with the others."""
     rows = values.join(F.broadcast(conditions), "feature").join(F.broadcast(rules), ["scenario", "rule_id"])
     return with_verdict(rows.withColumn("subject", F.struct("scenario", "subject")).drop("scenario").repartition("subject"), conditions.columns, rules.columns)
+
+
+def banded(decisions: DataFrame, bands: DataFrame) -> DataFrame:
+    """decisions (subject_type, score, ...) with `band`: the one of the highest min_score that the score reaches, among those of the kind of
+    subject, or of `transaction` for a kind without any; `low` where none is reached. bands (subject_type, band, min_score) is configuration of
+    a few rows and becomes one map, so no row is multiplied."""
+    ladder = bands.groupBy(F.col("subject_type").alias("kind")).agg(F.sort_array(F.collect_list(F.struct("min_score", "band")), asc=False).alias("steps"))
+    ladders = ladder.agg(F.map_from_entries(F.collect_list(F.struct("kind", "steps"))).alias("ladders"))  # one row
+    x = decisions.crossJoin(F.broadcast(ladders))
+    steps = F.coalesce(F.try_element_at("ladders", F.col("subject_type")), F.try_element_at("ladders", F.lit("transaction")))
+    reached = F.filter(steps, lambda s: F.col("score") >= s["min_score"])
+    return x.withColumn("band", F.coalesce(F.try_element_at(reached, F.lit(1))["band"], F.lit("low"))).drop("ladders")
+
+
+def degraded_features(rows: DataFrame, live: list[str]) -> DataFrame:
+    """(subject, degraded): features that conditions of live rules asked for and couldn't read, though they apply; in order."""
+    bad = F.col("status").isin("absent", "stale", "fanout_error") & F.col("rule_id").isin(live)
+    return rows.groupBy("subject").agg(F.array_sort(F.collect_set(F.when(bad, F.col("feature")))).alias("degraded"))

@@ -8,7 +8,7 @@ from ..operators import explain, pit, rules
 from ..sources import store
 from ..sources.tables import entity_links, transactions
 from .kpi import BASE, _case_base, _cases, _executions
-from .queries import _DECIDE, _LEDGER, _PIT, _SCORES, CONDITIONS, DAY, LINKS, TX, _literal, _store, decided, graph_fanout, ledger_rows, query, signals
+from .queries import _DECIDE, _LEDGER, _PIT, DAY, LINKS, TX, _literal, _store, decided, graph_fanout, ledger_rows, query, signals
 
 _c = F.col
 

@@ -9,7 +9,7 @@ from ..functions.windows import micros, trailing
 from ..operators import reducers, routes, rules
 from ..sources.tables import entity_links, transactions
 from .kpi import BASE, _case_base
-from .queries import _DECIDE, _LEDGER, CONDITIONS, DAY, LINKS, RULES, TX, WEEK, _literal, _rows, _store, decided, decided_subjects, decisions, graph_fanout, ledger_rows, query
+from .queries import _DECIDE, _LEDGER, CONDITIONS, DAY, LINKS, RULES, TX, WEEK, _literal, _rows, _store, decided, decisions, graph_fanout, ledger_rows, query
 
 _c = F.col
 
