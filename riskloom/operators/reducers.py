@@ -19,16 +19,22 @@ def _ratio(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
-def count(keep, w):
+def count(keep, w, exclude_self: bool = False):
+    """exclude_self: without the row itself; of rows at its instant the others count."""
     n = F.count(_when(keep, 1))
     upto, gone = getattr(w, "grown", (w, None))
-    return n.over(upto) if gone is None else n.over(upto) - n.over(gone)
+    out = n.over(upto) if gone is None else n.over(upto) - n.over(gone)
+    return out - F.when(F.coalesce(keep, F.lit(False)), 1).otherwise(0) if exclude_self else out
 
 
-def total(keep, value, w):
-    """The sum of a decimal column; null over no rows. Decimals add up exactly, so a difference of running sums is the window's sum."""
+def total(keep, value, w, exclude_self: bool = False):
+    """The sum of a decimal column; null over no rows. Decimals add up exactly, so a difference of running sums is the window's sum, and that
+    less the row's own part the sum of the others."""
     x = _when(keep, F.col(value))
     upto, gone = getattr(w, "grown", (w, None))
+    if exclude_self:
+        others = F.count(x).over(upto) - (F.lit(0) if gone is None else F.count(x).over(gone)) - x.isNotNull().cast("int")
+        return F.when(others > 0, (total(keep, value, w) - F.coalesce(x, F.lit(0))).cast("decimal(28,4)"))
     if gone is None:
         return F.sum(x).over(upto)
     return F.when(F.count(x).over(upto) > F.count(x).over(gone), (F.sum(x).over(upto) - F.coalesce(F.sum(x).over(gone), F.lit(0))).cast("decimal(28,4)"))

@@ -62,7 +62,7 @@ def follow(roots: DataFrame, hops: list[DataFrame]) -> DataFrame:
 
 
 def verdict(subjects: DataFrame, reached: DataFrame, policy: str) -> DataFrame:
-    """(subject, n, state): no_entities without any, unresolvable where the policy `one` meets several, else resolved."""
+    """(subject, n, state): no_entities without any, unresolvable where the policies `one` and `error` meet several, else resolved."""
     n = reached.groupBy("subject").agg(F.count("*").alias("n"))
     x = subjects.select("subject").join(n, "subject", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return x.withColumn("state", F.when(F.col("n") == 0, "no_entities").when((F.lit(policy) == "one") & (F.col("n") > 1), "unresolvable").otherwise("resolved"))
+    return x.withColumn("state", F.when(F.col("n") == 0, "no_entities").when(F.lit(policy).isin("one", "error") & (F.col("n") > 1), "unresolvable").otherwise("resolved"))

@@ -174,3 +174,8 @@ def degraded_features(rows: DataFrame, live: list[str]) -> DataFrame:
     """(subject, degraded): features that conditions of live rules asked for and couldn't read, though they apply; in order."""
     bad = F.col("status").isin("absent", "stale", "fanout_error") & F.col("rule_id").isin(live)
     return rows.groupBy("subject").agg(F.array_sort(F.collect_set(F.when(bad, F.col("feature")))).alias("degraded"))
+
+
+def one_group_each(conditions: DataFrame) -> DataFrame:
+    """conditions with condition_group 1, 2, ... in order of condition_id within each rule, so that under AND all required ones must fire."""
+    return conditions.drop("condition_group").withColumn("condition_group", F.row_number().over(Window.partitionBy("rule_id").orderBy("condition_id")))

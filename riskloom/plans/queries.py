@@ -68,6 +68,8 @@ def _keep(tx: DataFrame, spec: dict | None):
 
 _feature("count", lambda x: x.withColumn("value", reducers.count(_keep(x, CNP), trailing("card_id", "7d"))), _past("count(*)", "card_id", WEEK, "channel = 'cnp' AND auth_result = 'approved'", rounded=False))
 _feature("sum", lambda x: x.withColumn("value", reducers.total(_c("direction") == "inbound", "amount", trailing("account_id", "7d"))), _past("CAST(sum(amount) AS DOUBLE)", "account_id", WEEK, "direction = 'inbound'"))
+_feature("count_of_others", lambda x: x.withColumn("value", reducers.count(_c("direction") == "debit", trailing("account_id", "7d"), exclude_self=True)), _past("count(*)", "account_id", WEEK, "h.direction = 'debit' AND h.txn_id <> p.txn_id", rounded=False))
+_feature("sum_of_others", lambda x: x.withColumn("value", reducers.total(_c("direction") == "debit", "amount", trailing("account_id", "7d"), exclude_self=True)), _past("CAST(sum(amount) AS DOUBLE)", "account_id", WEEK, "h.direction = 'debit' AND h.txn_id <> p.txn_id"))
 _feature("distinct_count", lambda x: x.withColumn("value", reducers.distinct_count(F.lit(True), "merchant_id", trailing("account_id", "7d"))), _past("count(DISTINCT merchant_id)", "account_id", WEEK, rounded=False))
 _feature("bool_exists", lambda x: x.withColumn("value", reducers.bool_exists(_keep(x, MID), trailing("account_id", "1d"))), _past("count(*) > 0", "account_id", DAY, "amount BETWEEN 20 AND 60", rounded=False))
 _feature("bool_not_exists", lambda x: x.withColumn("value", reducers.bool_not_exists(_c("txn_type") == "transfer", trailing("account_id", "1d"))), _past("count(*) = 0", "account_id", DAY, "txn_type = 'transfer'", rounded=False))

@@ -54,6 +54,11 @@ def test_groups(spark, combine, required, fired, want):
     assert {r.satisfied for r in out} == {want} and sum(r.contributed for r in out) == (5 * sum(fired) if want else 0)
 
 
+def test_one_group_each(spark):
+    conditions = spark.createDataFrame([("B", "y", 7), ("A", "z", 1), ("A", "x", 1)], "rule_id string, condition_id string, condition_group int")
+    assert sorted((r.rule_id, r.condition_id, r.condition_group) for r in rules.one_group_each(conditions).collect()) == [("A", "x", 1), ("A", "z", 2), ("B", "y", 1)]
+
+
 def test_rules_that_apply(spark):
     catalog = spark.createDataFrame([("a", "account", "inline", "active"), ("b", "account", "inline", "shadow"), ("c", "account", "inline", "retired"), ("d", "card", "inline", "active"), ("e", "account", "async", "active"), ("f", None, None, None)], "rule_id string, subject_type string, mode string, status string")
     assert sorted(r.rule_id for r in rules.applicable(catalog, "account", "inline").collect()) == ["a", "b"]

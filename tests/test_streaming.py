@@ -50,6 +50,19 @@ def test_a_batch_reads_only_the_days_of_its_windows(spark, tmp_path):
     assert "PartitionFilters" in plan and "day" in plan.split("PartitionFilters")[1][:80]
 
 
+def test_dedup_forgets_beyond_its_watermark(spark, tmp_path):
+    """An id that comes again within the watermark is dropped; one that comes after its state has expired is let through."""
+    from pyspark.sql import functions as F
+
+    day = 86_400
+    rows = [(1, 10 * day), (1, 11 * day), (2, 12 * day), (3, 30 * day), (1, 31 * day), (3, 31 * day)]
+    df = spark.createDataFrame(rows, "id long, t long")
+    out = str(tmp_path / "out")
+    read = lambda s: s["rows"].withColumn("at", F.timestamp_seconds("t")).withWatermark("at", "5 days").dropDuplicatesWithinWatermark(["id"]).select("id", "t")
+    stream.arrive([{"rows": x} for x in stream.spans(df, "t", [11 * day, 20 * day, 31 * day])], read, stream.by_batch(out))
+    assert sorted(tuple(r) for r in spark.read.schema("id long, t long").parquet(f"{out}/batch=*").collect()) == [(1, 10 * day), (1, 31 * day), (2, 12 * day), (3, 30 * day)]
+
+
 def test_arrivals_need_no_single_task(spark):
     rows = spark.range(0, 1000, 1, 4).selectExpr("id", "id as t")
     parts = stream.spans(rows, "t", [10, 500])

@@ -33,6 +33,16 @@ def test_counts_and_sums_over_windows(spark):
             assert got[i] == (len(mine), sum(amounts) if amounts else None)
 
 
+def test_windows_without_the_row_itself(spark):
+    rows, df = history(spark)
+    w, debit = trailing("account_id", "2d"), F.col("direction") == "debit"
+    got = {r.txn_id: (r.n, r.s) for r in df.select("txn_id", reducers.count(debit, w, exclude_self=True).alias("n"), reducers.total(debit, "amount", w, exclude_self=True).alias("s")).collect()}
+    for i, t, _, account, *_ in rows:
+        others = [r for r in rows if r[3] == account and r[4] == "debit" and t - 48 * H < r[1] <= t and r[0] != i]
+        amounts = [r[2] for r in others if r[2] is not None]
+        assert got[i] == (len(others), sum(amounts) if amounts else None)
+
+
 def test_exposures_by_hours(spark):
     """Each exposure is the plain sum of its window; hours, negative times, hot and missing keys make no difference."""
     rows, df = history(spark)
