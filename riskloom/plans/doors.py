@@ -90,7 +90,7 @@ def ingest_receipt(spark, sf_dir):
     return ingest.receipt(_tagged(spark, sf_dir), ingest_devices(spark, sf_dir))[0]
 
 
-@query("ingest_rejected", BATCH + " SELECT index, string_split(reasons, ';') AS reasons FROM fa WHERE fate = 'rejected'")
+@query("ingest_rejected", BATCH + " SELECT index, reasons FROM fa WHERE fate = 'rejected'")
 def ingest_rejected(spark, sf_dir):
     """The receipt's second part: every rejected row with all that speaks against it."""
-    return ingest.receipt(_tagged(spark, sf_dir), ingest_devices(spark, sf_dir))[1]
+    return ingest.receipt(_tagged(spark, sf_dir), ingest_devices(spark, sf_dir))[1].select("index", F.array_join("reasons", ";").alias("reasons"))
