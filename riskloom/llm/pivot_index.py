@@ -141,9 +141,11 @@ def near_vectors(vectors: DataFrame, min_cosine: float = 0.98, prefix: int = 24,
     rows = hashed
     m = min(MAX_PIVOTS, max(64, 1 << (math.isqrt(16 * max(n, 1)) - 1).bit_length()))
     points: dict[int, list] = {}
-    for r in classes.orderBy(F.xxhash64("rep", F.lit("pivot")), "rep").limit(min(MAX_PIVOTS, 2 * m)).select("embedding").collect():
-        points.setdefault(len(r[0]), []).append(r[0])
-    sent = spark.sparkContext.broadcast({d: _thinned(_unit(np.array(p)), min_cosine, m) for d, p in points.items()})
+    sample = classes.orderBy(F.xxhash64("rep", F.lit("pivot")), "rep").limit(min(MAX_PIVOTS, 2 * m)).select("embedding").toArrow()
+    for chunk in sample["embedding"].chunks:
+        for _, x in _by_length(chunk):
+            points.setdefault(x.shape[1], []).append(x)
+    sent = spark.sparkContext.broadcast({d: _thinned(_unit(np.concatenate(p)), min_cosine, m) for d, p in points.items()})
     described = stash(classes.select("rep", "label", "weight", "embedding").mapInArrow(_describe(sent, prefix), "rep long, label string, weight long, embedding array<double>, near array<int>"), "pivot-near")
 
     # lists: (label, pivot) with members posted and members probing; how many blocks each side takes

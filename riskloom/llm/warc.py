@@ -10,7 +10,7 @@ goes on there, and logs the bytes between as a quarantined gap. Plain records ou
 several records it looks for the next version line in the inflated content; such a gap has the member's offset and its own in
 `inner`. Of a damaged member the records that inflated before the damage are kept, with length 0; its bytes are in a gap.
 
-Files are bounded in bytes, as a reader takes a whole file at once. Very long pages lie in files of their own. Null html: an empty payload. Null page_id: written as `null`; such rows refer to the smallest id of their payload, and are responses
+Files are bounded in bytes, as a reader takes a whole file at once. A page too long for one lies in a file of its own. Null html: an empty payload. Null page_id: written as `null`; such rows refer to the smallest id of their payload, and are responses
 where there is none. Rows of the smallest id itself are all responses. Null url: no target line. Empty tables give no files' records.
 """
 
@@ -49,10 +49,23 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     return b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _write_batches(batches):
-    for b in batches:
-        rows = zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(record(*r), 4, mtime=0) for r in rows], pa.binary())], ["member"])
+def _write_batches(file_bytes: int):
+    """Members, each with the number of its file among its task's; a file ends before the record that would not fit."""
+
+    def run(batches):
+        file, size = 0, 0
+        for b in batches:
+            members, files = [], []
+            for r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
+                one = record(*r)
+                if size and size + len(one) > file_bytes:
+                    file, size = file + 1, 0
+                size += len(one)
+                members.append(gzip.compress(one, 4, mtime=0))
+                files.append(file)
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(files, pa.int32())], ["member", "file"])
+
+    return run
 
 
 def plan_records(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
@@ -66,15 +79,10 @@ def plan_records(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
 def write(pages: DataFrame, path: str, min_revisit: int = 100, file_bytes: int = FILE_BYTES) -> None:
     """Archives whose records come to file_bytes at most before compression, but for a record that is larger alone.
 
-    Records of about one size (within a factor of 8) share files, so that a number of records bounds a file's bytes."""
-    bytes_of = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
-    kind = lambda payload: F.ceil(F.log2(1024 + bytes_of(payload) + 3 * bytes_of("url")) / 3).cast("int")
-    kinds = sorted(r[0] for r in pages.select(F.col("html").cast("string").alias("html"), F.col("url").cast("string").alias("url")).groupBy(kind("html").alias("kind")).agg(F.count("*")).collect())  # 12 rows at most
-    records = plan_records(pages, min_revisit)
-    for k in kinds or [4]:
-        members = records.filter(kind("payload") == k).mapInArrow(_write_batches, "member binary")
-        lines = members.select(F.col("member").cast("string").alias("value")).write.mode("append").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
-        lines.option("maxRecordsPerFile", max(1, file_bytes // 8**k)).text(path)
+    One pass over the pages; each task numbers its files, and those of one number share a folder `file=N`."""
+    members = plan_records(pages, min_revisit).mapInArrow(_write_batches(file_bytes), "member binary, file int")
+    lines = members.select(F.col("member").cast("string").alias("value"), "file").write.partitionBy("file")
+    lines.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
 def _inflate(data: memoryview, at: int) -> tuple[bytes, int, bool]:

@@ -175,7 +175,7 @@ def test_warc_files_are_bounded(spark, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     warc.write(pages, str(tmp_path / "w"), file_bytes=150_000)
     sizes, ids = [], []
-    for f in (tmp_path / "w").glob("part-*"):
+    for f in (tmp_path / "w").glob("file=*/part-*"):
         got = [x for x in warc.salvage(f.read_bytes()) if x[0] == "record"]
         ids += [x[3]["warc-record-id"] for x in got]
         sizes.append((sum(len(x[4]) for x in got), len(got)))
@@ -190,7 +190,7 @@ def test_salvage_reads_damaged_files(spark, tmp_path):
     """The reader over files as Spark gives them: damage costs only what is damaged."""
     pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(40)], "page_id long, url string, html string").coalesce(1)
     warc.write(pages, str(tmp_path / "w"))
-    (part,) = (tmp_path / "w").glob("part-*")
+    (part,) = (tmp_path / "w").glob("file=*/part-*")
     data = bytearray(part.read_bytes())
     starts = [i for i in range(len(data)) if data[i : i + 3] == b"\x1f\x8b\x08"]
     data[starts[20] + 40] ^= 255
