@@ -5,7 +5,9 @@ earlier tokens is one of its merges, so that merges by rank agree with the rank
 A text without white space after a space splits at its spaces into chunks that encode alike wherever they stand; distinct chunks
 are encoded once per worker (a cache of bounded size). Other texts are encoded as they are. Both ways give the same ids.
 
-Null text: empty, no tokens. Very long texts are encoded whole. Rows with equal ids each get their own result.
+Null text: empty, no tokens. Very long texts are encoded whole. Rows with equal ids or equal texts each get their own result; of equal
+pairs the left one merges first. An empty table gives an empty result. Columns of docs called as an added column (ids, spans where asked
+for; data and text of decode) are replaced; all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_columns
+
 CACHE = 400_000
 _models: dict[tuple[str, str], Bpe] = {}
 _UNSAFE = re.compile(r" \s")
@@ -108,35 +112,29 @@ def load(path: str, pattern: str) -> Bpe:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
-    """docs with ids array<int>, and token spans in characters if asked for."""
-    fields = "ids array<int>" + (", spans array<struct<start int, end int>>" if offsets else "")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("ids", "spans")) + ", " + fields
+    """docs with `ids`, and `spans` of the tokens in characters if asked for."""
 
-    def run(batches):
+    def of(column):
         bpe = load(path, pattern)
-        for b in batches:
-            ids = bpe.encode([x.as_py() or "" for x in b.column(text)])
-            keep = [c for c in b.schema.names if c not in ("ids", "spans")]
-            cols = [*(b.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))]
-            if offsets:
-                cols.append(pa.array([[{"start": s, "end": e} for s, e in bpe.offsets(x)] for x in ids], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
-            yield pa.RecordBatch.from_arrays(cols, [*keep, "ids", *(["spans"] if offsets else [])])
+        ids = bpe.encode([x.as_py() or "" for x in column])
+        out = [pa.array(ids, pa.list_(pa.int32()))]
+        if offsets:
+            out.append(pa.array([[{"start": s, "end": e} for s, e in bpe.offsets(x)] for x in ids], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+        return out
 
-    return docs.mapInArrow(run, schema)
+    return with_columns(docs, text, {"ids": "array<int>"} | ({"spans": "array<struct<start:int,end:int>>"} if offsets else {}), of)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """tokens with `data` (the bytes) and `text`; bytes that are no character, as where ids end inside one, become U+FFFD in text only."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name not in ("data", "text")) + ", data binary, text string"
+    """tokens with `data` (the bytes) and `text`; bytes that are no character, as where ids end inside one, become U+FFFD in text only.
+    Null ids are none."""
 
-    def run(batches):
+    def of(column):
         bpe = load(path, pattern)
-        for b in batches:
-            data = [bpe.decode(x.as_py() or ()) for x in b.column(ids)]
-            keep = [c for c in b.schema.names if c not in ("data", "text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(data, pa.binary()), pa.array([codecs.decode(x, "utf-8", "replace") for x in data])], [*keep, "data", "text"])
+        data = [bpe.decode(x.as_py() or ()) for x in column]
+        return [pa.array(data, pa.binary()), pa.array([codecs.decode(x, "utf-8", "replace") for x in data], pa.string())]
 
-    return tokens.mapInArrow(run, schema)
+    return with_columns(tokens, ids, {"data": "binary", "text": "string"}, of)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

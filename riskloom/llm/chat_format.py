@@ -9,7 +9,8 @@ alone but not together is rendered at that level throughout.
 Escapes: `\b` for `\`, `\l` for `<`, `\k` for `[`. After escaping, each `\` is followed by one of these, so taking back is exact.
 
 Rows of a conversation are ordered by turn, then role and text (nulls first); null role or text is empty, a null turn comes first,
-rows with a null conv_id are one conversation, repeated rows are turns of their own. A conversation is one row and stays whole.
+rows with a null conv_id are one conversation, repeated rows are turns of their own. A conversation is one row and stays whole,
+so its texts together must fit a row; a very long text is escaped and read whole. An empty table gives no rows. Further columns aren't read.
 """
 
 from __future__ import annotations

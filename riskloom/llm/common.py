@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,20 @@ def row_key(*cols: str):
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols])
 
 
+def with_columns(df: DataFrame, source: str, added: dict[str, str], of) -> DataFrame:
+    """df with the columns `added` in place of any of these names; of(Arrow column source) gives them. Columns go by place, so that names
+    with dots or backticks, or the same name twice, do no harm."""
+    keep = [i for i, c in enumerate(df.columns) if c not in added]
+    at = df.columns.index(source)
+    schema = ", ".join([*(f"c{i} {df.schema[i].dataType.simpleString()}" for i in keep), *(f"a{k} {kind}" for k, kind in enumerate(added.values()))])
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *of(b.column(at))], [*(f"c{i}" for i in keep), *(f"a{k}" for k in range(len(added)))])
+
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema).toDF(*(df.columns[i] for i in keep), *added)
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value):
     """A setting of the session for jobs that run inside."""

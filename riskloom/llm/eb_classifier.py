@@ -10,7 +10,9 @@ sampling noise, by the method of moments. A document's posterior joins its evide
 
 For documents the host is `source` and the path is source and `lang`. Null host or path: a group of their own. Null text: no words,
 judged by its levels and path. Labels with null id or values are left out; several labels of one id count as the worst. Without
-labels nothing is rejected.
+labels nothing is rejected. Very long texts are read whole. Repeated rows are rows of their own, each counted in its path and judged alike; a
+posterior of just 0.5 is kept. An empty table gives no rows. Further columns aren't read, and
+`keep_good` returns them as they were, whatever their names.
 """
 
 from __future__ import annotations

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_columns
+
 CACHE = 900_000  # words that a worker keeps; it starts anew when full
 LETTERS = 1 << 20  # characters encoded at once
 WIDE = 24  # characters of a stretch up to which many agendas go side by side
@@ -294,20 +296,6 @@ def load(path: str) -> Pieces:
     return _models[path]
 
 
-def _with_columns(df: DataFrame, source: str, added: dict[str, str], of) -> DataFrame:
-    """df with the columns `added` in place of any of these names; of(Arrow column source) gives them. Columns go by place, so that names
-    with dots or backticks, or the same name twice, do no harm."""
-    keep = [i for i, c in enumerate(df.columns) if c not in added]
-    at = df.columns.index(source)
-    schema = ", ".join([*(f"c{i} {df.schema[i].dataType.simpleString()}" for i in keep), *(f"a{k} {kind}" for k, kind in enumerate(added.values()))])
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *of(b.column(at))], [*(f"c{i}" for i in keep), *(f"a{k}" for k in range(len(added)))])
-
-    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema).toDF(*(df.columns[i] for i in keep), *added)
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", pieces: bool = False) -> DataFrame:
     """docs with `ids`, and their `pieces` if asked for."""
 
@@ -317,12 +305,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", pieces: bool = False)
         out = [pa.array(ids, pa.list_(pa.int32()))]
         return [*out, pa.array([[model.name[i] for i in x] for x in ids], pa.list_(pa.string()))] if pieces else out
 
-    return _with_columns(docs, text, {"ids": "array<int>"} | ({"pieces": "array<string>"} if pieces else {}), of)
+    return with_columns(docs, text, {"ids": "array<int>"} | ({"pieces": "array<string>"} if pieces else {}), of)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """tokens with `text`, what the library's decoder makes of the ids; null ids are none."""
-    return _with_columns(tokens, ids, {"text": "string"}, lambda column: [pa.array(load(path).decode([x.as_py() or [] for x in column]), pa.string())])
+    return with_columns(tokens, ids, {"text": "string"}, lambda column: [pa.array(load(path).decode([x.as_py() or [] for x in column]), pa.string())])
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

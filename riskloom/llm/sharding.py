@@ -6,7 +6,8 @@ its rows locally and cuts them by its counts. After the exchange each shard perm
 hash, sub-blocks lie one after another, and each permutes its own. No task holds a whole shard.
 
 Shard sizes differ by one at most. Null texts have size 1 and the checksum of no bytes; null ids and repeated rows are rows as any
-other, as hashes cover all of a row's text and id. An empty table gives no rows.
+other, as hashes cover all of a row's text and id. Very long texts are measured whole, and only their size and checksum are
+moved. An empty table gives no rows. Further columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
