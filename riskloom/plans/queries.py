@@ -105,7 +105,11 @@ def pred_all_ops(spark, sf_dir):
 
 @query("graph_fanout", f"WITH {LINKS} SELECT device_id, count(DISTINCT account_id) AS n_accounts, min(first_seen) AS first_seen, max(first_seen) AS last_seen FROM links GROUP BY 1 HAVING count(DISTINCT account_id) > 3")
 def graph_fanout(spark, sf_dir):
-    return entity_links(spark, sf_dir).groupBy("device_id").agg(F.count_distinct("account_id").alias("n_accounts"), F.min("first_seen").alias("first_seen"), F.max("first_seen").alias("last_seen")).filter("n_accounts > 3")
+    return fanout_of(entity_links(spark, sf_dir))
+
+
+def fanout_of(links: DataFrame) -> DataFrame:
+    return links.groupBy("device_id").agg(F.count_distinct("account_id").alias("n_accounts"), F.min("first_seen").alias("first_seen"), F.max("first_seen").alias("last_seen")).filter("n_accounts > 3")
 
 
 @query("graph_members", f"WITH {LINKS}, q AS (SELECT device_id FROM links GROUP BY 1 HAVING count(DISTINCT account_id) > 3) SELECT concat('device_fanout:', l.device_id) AS cluster, 'account' AS subject_type, l.account_id AS member, l.first_seen AS joined_at FROM links l JOIN q ON q.device_id = l.device_id UNION ALL SELECT concat('device_fanout:', l.device_id), 'device', l.device_id, min(l.first_seen) FROM links l JOIN q ON q.device_id = l.device_id GROUP BY l.device_id")

@@ -31,9 +31,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Devices (suppliers) that opened accounts (customers), with the first time seen."""
+def entity_links(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Devices (suppliers) that opened accounts (customers), with the first time seen, once for each pair. of: the devices (device_id) asked
+    for, whose links are then whole."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_shipdate")
+    if of is not None:
+        line = line.join(of, line.l_suppkey == of.device_id, "left_semi")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     return line.join(orders, line.l_orderkey == orders.o_orderkey).groupBy(F.col("l_suppkey").alias("device_id"), F.col("o_custkey").alias("account_id")).agg(F.min("l_shipdate").cast("date").alias("first_seen"))
 
