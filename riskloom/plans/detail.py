@@ -13,7 +13,7 @@ from ..sources.tables import arrivals, entity_links, transactions
 from .doors import BATCH
 from .evidence import _RANKED, _VERSIONS, _ranked, _version_sets
 from .kpi import BASE, _case_base
-from .queries import _DECIDE, _LEDGER, _SCORES, CONDITIONS, DAY, LINKS, RULES, TX, WEEK, _literal, decided, decided_subjects, exposure_account, graph_fanout, ledger_rows, query
+from .queries import _DECIDE, _LEDGER, _SCORES, CONDITIONS, DAY, LINKS, RULES, TX, WEEK, _literal, decided, decided_subjects, exposure_account, graph_fanout, ledger_rows, query, stored
 from .simulate import swapped
 
 _c = F.col
@@ -133,13 +133,12 @@ def reason_catalog(spark, sf_dir):
 @query("rule_catalog_view", _LEDGER + _SCORES + ", vs AS (SELECT l.rule_id, max(CASE WHEN tx.t >= 1705276800000000 AND l.rule_id IN ('R1', 'R2') THEN 2 ELSE 1 END) AS version FROM l JOIN tx ON txn_id = subject GROUP BY 1), pf AS (SELECT rule_id, string_agg(concat(condition_id, ':', visited, '/', n_fired, '/', degraded), ' ' ORDER BY condition_id) AS performance, count(*) AS n_conditions FROM (SELECT rule_id, condition_id, count(*) AS visited, count(*) FILTER (fired) AS n_fired, count(*) FILTER (missing) AS degraded FROM l GROUP BY 1, 2) GROUP BY 1) SELECT ru.rule_id, action, severity, is_veto, version, n_conditions, performance, (SELECT count(*) FROM sa WHERE sa.rule_id = ru.rule_id AND authorised) AS authorised FROM ru JOIN pf ON pf.rule_id = ru.rule_id JOIN vs ON vs.rule_id = ru.rule_id")
 def rule_catalog_view(spark, sf_dir):
     """Rules with their newest version in use, conditions with their measured performance (visited, fired, degraded), and authority given."""
-    rows = ledger_rows(spark, sf_dir)
-    t = transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "t")
+    rows = ledger_rows(spark, sf_dir, "t")
     by = rows.groupBy("rule_id", "condition_id").agg(F.count("*").alias("visited"), F.count_if("fired").alias("fired"), F.count_if(_c("status") != "present").alias("degraded"))
     line = F.concat_ws("/", F.concat_ws(":", "condition_id", _c("visited").cast("string")), _c("fired").cast("string"), _c("degraded").cast("string"))
     conditions = by.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("condition_id", line.alias("line")))).alias("c"), F.count("*").alias("n_conditions"))
-    version = rows.select("subject", "rule_id").distinct().join(t, "subject").groupBy("rule_id").agg(F.max(F.when((_c("t") >= 1705276800000000) & _c("rule_id").isin("R1", "R2"), 2).otherwise(1)).alias("version"))
-    given = rules.rule_scores(rows).groupBy("rule_id").agg(F.count_if("authorised").alias("authorised"), F.first("action").alias("action"), F.first("severity").alias("severity"), F.first("is_veto").alias("is_veto"))
+    version = rows.groupBy("rule_id").agg(F.max(F.when((_c("t") >= 1705276800000000) & _c("rule_id").isin("R1", "R2"), 2).otherwise(1)).alias("version"))
+    given = stored(spark, sf_dir).scores().groupBy("rule_id").agg(F.count_if("authorised").alias("authorised"), F.first("action").alias("action"), F.first("severity").alias("severity"), F.first("is_veto").alias("is_veto"))
     return given.join(conditions, "rule_id").join(version, "rule_id").select("rule_id", "action", "severity", "is_veto", "version", "n_conditions", F.array_join("c.line", " ").alias("performance"), "authorised")
 
 

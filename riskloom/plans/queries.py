@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates
 from ..functions.windows import micros, trailing
-from ..operators import cases, exposure, pit, reducers, rules
+from ..operators import cases, exposure, pit, reducers
+from ..operators.sheets import Sheet
 from ..sources.store import shared
 from ..sources.tables import case_outcomes, entity_links, transactions
 
@@ -164,23 +165,33 @@ CONDITION_SCHEMA = "rule_id string, condition_id string, feature string, op stri
 BANDS = [("high", 75), ("elevated", 40), ("low", 0)]
 
 
-def feature_values(spark, sf_dir, only: DataFrame | None = None) -> DataFrame:
-    """(subject, feature, value, status) of the features that the rules ask for. only: the subjects asked for; the windows then hold the
-    whole history of their accounts, and of no others."""
+CARRIED = ["t", "account_id", "card_id", "device_id", "merchant_id", "label", "channel"]  # what reports ask of a decision's transaction
+
+
+def facts(spark, sf_dir, only: DataFrame | None = None) -> DataFrame:
+    """A row for each transaction: subject, the features that the rules ask for (null: absent), CARRIED. only: the subjects asked for; the windows
+    then hold the whole history of their accounts, and of no others."""
     x = transactions(spark, sf_dir)
     if only is not None:
         asked = x.select(_c("txn_id").alias("subject"), "account_id").join(only, "subject", "left_semi")
         x = x.join(asked.select("account_id").distinct(), "account_id", "left_semi")
+    x = x.select(_c("txn_id").alias("subject"), "amount", "mcc", *CARRIED)
     x = x.withColumn("n7", reducers.count(F.lit(True), trailing("account_id", "7d"))).withColumn("z", reducers.zscore_of_self("amount", trailing("account_id")))
-    name = lambda n, c: F.struct(F.lit(n).alias("feature"), c.cast("double").alias("value"))
-    x = x.select(_c("txn_id").alias("subject"), F.explode(F.array(name("n7", _c("n7")), name("amt", _c("amount")), name("z", F.round("z", 6)), name("mcc", _c("mcc")))).alias("f"))
-    if only is not None:
-        x = x.join(only, "subject", "left_semi")
-    return x.select("subject", "f.feature", "f.value", F.when(_c("f.value").isNull(), "absent").otherwise("present").alias("status"))
+    out = x.select("subject", _c("n7").cast("double").alias("n7"), _c("amount").cast("double").alias("amt"), F.round("z", 6).alias("z"), _c("mcc").cast("double").alias("mcc"), *CARRIED)
+    return out if only is None else out.join(only, "subject", "left_semi")
+
+
+INPUTS = ("events", "orders")  # that the shared tables derive from
+stored_facts = shared("facts", ("events",))(facts)  # written once for the reports
 
 
-def _rows(spark, sf_dir, rule_rows=None, condition_rows=None) -> DataFrame:
-    return rules.ledger(feature_values(spark, sf_dir), spark.createDataFrame(condition_rows or CONDITIONS, CONDITION_SCHEMA), spark.createDataFrame(rule_rows or RULES, RULE_SCHEMA))
+def sheet(spark, sf_dir, rule_rows=None, condition_rows=None, of: DataFrame | None = None) -> Sheet:
+    """The registered rules, or others, on facts that are worked out anew, or on those given."""
+    return Sheet(facts(spark, sf_dir) if of is None else of, condition_rows or CONDITIONS, rule_rows or RULES)
+
+
+def stored(spark, sf_dir, rule_rows=None, condition_rows=None) -> Sheet:
+    return sheet(spark, sf_dir, rule_rows, condition_rows, stored_facts(spark, sf_dir))
 
 
 def _literal(rows) -> str:
@@ -201,22 +212,22 @@ _SIGNALS = """, g AS (SELECT subject, feature, direction, arg_min(points, (-abs(
 
 @query("condition_ledger", _LEDGER + " SELECT subject, rule_id, condition_id, fired, satisfied, contributed FROM l")
 def condition_ledger(spark, sf_dir):
-    return _rows(spark, sf_dir).select("subject", "rule_id", "condition_id", "fired", "satisfied", "contributed")
+    return sheet(spark, sf_dir).ledger().select("subject", "rule_id", "condition_id", "fired", "satisfied", "contributed")
 
 
 @query("rule_score", _LEDGER + _SCORES + " SELECT subject, rule_id, score, satisfied, authorised, sound FROM sa")
 def rule_score(spark, sf_dir):
-    return rules.rule_scores(_rows(spark, sf_dir)).select("subject", "rule_id", "score", "satisfied", "authorised", "sound")
+    return sheet(spark, sf_dir).scores().select("subject", "rule_id", "score", "satisfied", "authorised", "sound")
 
 
 @query("veto_state", _LEDGER + _SCORES + " SELECT subject, veto FROM sa WHERE is_veto")
 def veto_state(spark, sf_dir):
-    return rules.rule_scores(_rows(spark, sf_dir)).filter("is_veto").select("subject", "veto")
+    return sheet(spark, sf_dir).scores().filter("is_veto").select("subject", "veto")
 
 
 @query("consolidate", _LEDGER + _SIGNALS + " SELECT subject, feature, direction, contribution, rule_id, array_to_string(claimed, ',') AS claimed, score FROM sg")
 def consolidate(spark, sf_dir):
-    return rules.consolidate(_rows(spark, sf_dir)).withColumn("claimed", F.array_join("claimed", ","))
+    return sheet(spark, sf_dir).signals().withColumn("claimed", F.array_join("claimed", ","))
 
 
 _DECIDE = _LEDGER + _SCORES + _SIGNALS + """, pt AS (SELECT subject, max(score) AS score, array_to_string(list_sort(list_distinct(flatten(list(claimed)))), ',') AS rules_fired FROM sg GROUP BY 1),
@@ -230,22 +241,22 @@ _DECIDE = _LEDGER + _SCORES + _SIGNALS + """, pt AS (SELECT subject, max(score)
 
 @query("decisions", _DECIDE + " SELECT * FROM d")
 def decisions(spark, sf_dir, rule_rows=None, condition_rows=None):
-    rows = _rows(spark, sf_dir, rule_rows, condition_rows)
-    return rules.decide(rules.rule_scores(rows), rules.consolidate(rows), BANDS)
+    return sheet(spark, sf_dir, rule_rows, condition_rows).decisions(BANDS)
 
 
 @query("invariant_audit", _DECIDE + ", b AS (SELECT d.subject FROM d LEFT JOIN (SELECT subject, sum(contribution) AS c FROM sg GROUP BY 1) x ON x.subject = d.subject WHERE coalesce(c, 0) <> d.score OR (action <> 'allow' AND source_rule IS NULL)) SELECT count(*) AS n_bad FROM b")
 def invariant_audit(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    signals = rules.consolidate(rows)
-    d = rules.decide(rules.rule_scores(rows), signals, BANDS)
-    sums = signals.groupBy("subject").agg(F.sum("contribution").alias("c"))
-    return d.join(sums, "subject", "left").filter("coalesce(c, 0) <> score or (action <> 'allow' and source_rule is null)").agg(F.count("*").alias("n_bad"))
+    """Decisions whose score isn't the sum of their signals, or that act without a rule; both are worked out from the facts on their own."""
+    of = sheet(spark, sf_dir)
+    d = sheet(spark, sf_dir, of=of.by_signal(*(c for c in of.facts if c != "subject")).drop("score")).decisions(BANDS, "signals")
+    total = F.aggregate("signals", F.lit(0).cast("long"), lambda n, s: n + s["contribution"])
+    bad = (total != _c("score")) | ((_c("action") != "allow") & _c("source_rule").isNull())
+    return d.agg(F.count_if(bad).alias("n_bad"))  # a filter would be pushed down, and repeat all that its columns are made of
 
 
 @query("condition_performance", _LEDGER + " SELECT l.rule_id, condition_id, count(*) AS visited, count(*) FILTER (fired) AS n_fired, round(count(*) FILTER (fired) / count(*), 6) AS fire_rate, count(*) FILTER (missing) AS degraded, round(count(*) FILTER (fired AND label = CASE WHEN points >= 0 THEN 'fraud' ELSE 'legit' END) / nullif(count(*) FILTER (fired), 0), 6) AS hit_rate FROM l JOIN tx ON txn_id = subject GROUP BY 1, 2")
 def condition_performance(spark, sf_dir):
-    rows = _rows(spark, sf_dir).join(transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "label"), "subject")
+    rows = sheet(spark, sf_dir).ledger("label")
     hit = _c("fired") & (_c("label") == F.when(_c("points") >= 0, "fraud").otherwise("legit"))
     n = F.count_if("fired")
     return rows.groupBy("rule_id", "condition_id").agg(F.count("*").alias("visited"), n.alias("n_fired"), F.round(n / F.count("*"), 6).alias("fire_rate"), F.count_if(_c("status") != "present").alias("degraded"), F.round(F.count_if(hit) / F.when(n > 0, n), 6).alias("hit_rate"))
@@ -274,7 +285,7 @@ CHANNELS = [("challenge", "high", "push"), ("challenge", "elevated", "sms"), ("c
 @query("rule_catalog", _LEDGER + " SELECT rule_id, condition_id, points, CASE WHEN n_fired = 0 THEN 'never fired' WHEN points >= 0 THEN 'aggravating' ELSE 'mitigating' END AS standing, n_fired FROM (SELECT rule_id, condition_id, any_value(points) AS points, count(*) FILTER (fired) AS n_fired FROM l GROUP BY 1, 2)")
 def rule_catalog(spark, sf_dir):
     """Each condition with its direction, or that it never fired."""
-    by = _rows(spark, sf_dir).groupBy("rule_id", "condition_id").agg(F.first("points").alias("points"), F.count_if("fired").alias("n_fired"))
+    by = sheet(spark, sf_dir).ledger().groupBy("rule_id", "condition_id").agg(F.first("points").alias("points"), F.count_if("fired").alias("n_fired"))
     return by.select("rule_id", "condition_id", "points", F.when(_c("n_fired") == 0, "never fired").when(_c("points") >= 0, "aggravating").otherwise("mitigating").alias("standing"), "n_fired")
 
 
@@ -300,28 +311,21 @@ def _route(spark, sf_dir, decided_rows: DataFrame) -> DataFrame:
 @query("case_routing", _ROUTED + " SELECT id, routing, case_id FROM routed")
 def case_routing(spark, sf_dir):
     """A case with a verdict no longer suppresses."""
-    return _route(spark, sf_dir, decisions(spark, sf_dir).join(transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "t", "account_id"), "subject"))
-
-
-INPUTS = ("events", "orders")  # that the shared tables derive from
+    return _route(spark, sf_dir, sheet(spark, sf_dir).decisions(BANDS, "t", "account_id"))
 
 
-@shared("ledger", INPUTS)
-def ledger_rows(spark, sf_dir):
-    """The condition ledger of the registered rules, written once for the reports."""
-    return _rows(spark, sf_dir)
+def ledger_rows(spark, sf_dir, *more: str):
+    """The condition ledger of the registered rules, from the stored facts."""
+    return stored(spark, sf_dir).ledger(*more)
 
 
-@shared("signals", INPUTS)
 def signals(spark, sf_dir):
-    return rules.consolidate(ledger_rows(spark, sf_dir))
+    return stored(spark, sf_dir).signals()
 
 
-@shared("decisions", INPUTS)
 def decided_subjects(spark, sf_dir):
     """Decisions with what reports ask of their transaction."""
-    x = transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "t", "account_id", "card_id", "device_id", "merchant_id", "label", "channel")
-    return rules.decide(rules.rule_scores(ledger_rows(spark, sf_dir)), signals(spark, sf_dir), BANDS).join(x, "subject")
+    return stored(spark, sf_dir).decisions(BANDS, *CARRIED)
 
 
 @shared("decided", INPUTS)
@@ -385,7 +389,7 @@ def plan_subjects(spark, sf_dir):
 
 @query("kpi_bands", _DECIDE + " SELECT band, action, count(*) AS n, count(*) FILTER (label = 'fraud') AS n_fraud, round(avg(d.score), 6) AS mean_score FROM d JOIN tx ON txn_id = subject GROUP BY 1, 2")
 def kpi_bands(spark, sf_dir):
-    d = decisions(spark, sf_dir).join(transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "label"), "subject")
+    d = sheet(spark, sf_dir).decisions(BANDS, "label")
     return d.groupBy("band", "action").agg(F.count("*").alias("n"), F.count_if(_c("label") == "fraud").alias("n_fraud"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import micros, trailing
 from ..operators import reducers, rules
 from ..sources.tables import transactions
-from .queries import _DECIDE, _LEDGER, BANDS, CONDITION_SCHEMA, CONDITIONS, RULE_SCHEMA, RULES, TX, WEEK, _literal, _rows, decided, query
+from .queries import _DECIDE, _LEDGER, BANDS, CONDITION_SCHEMA, CONDITIONS, RULE_SCHEMA, RULES, TX, WEEK, _literal, decided, facts, query, sheet, stored
 from .wider import _as_ctes
 
 _c = F.col
@@ -42,23 +44,16 @@ def _scenario_sql(last: str) -> str:
     return "WITH " + ", ".join(_as_ctes(sql, last, f"x{i}") for i, sql in enumerate(each)) + f", {TX}, x AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{name}' AS scenario, * FROM x{i}" for i, name in enumerate(SCENARIOS)) + ")"
 
 
-def _scenario_ledger(spark, sf_dir):
-    tagged = lambda k, schema: spark.createDataFrame([(name, *row) for name, both in SCENARIOS.items() for row in both[k]], f"scenario string, {schema}")
-    return rules.scenarios(_values(spark, sf_dir), tagged(1, CONDITION_SCHEMA), tagged(0, RULE_SCHEMA))
-
-
-def _values(spark, sf_dir, only=None):
-    from .queries import feature_values
-
-    return feature_values(spark, sf_dir, only)
+def _scenarios(spark, sf_dir, rows) -> DataFrame:
+    """What `rows` makes of each scenario's rules on the stored facts, side by side; the facts are worked out once."""
+    each = (rows(stored(spark, sf_dir, r, c)).withColumn("scenario", F.lit(name)) for name, (r, c) in SCENARIOS.items())
+    return reduce(DataFrame.unionByName, each)
 
 
 @query("backtest_many", _scenario_sql("d") + " SELECT scenario, band, count(*) AS n, count(*) FILTER (rules_fired <> '') AS would_fire, count(*) FILTER (rules_authorised <> '') AS would_alert, count(*) FILTER (source_rule IS NOT NULL) AS would_carry, min(score) FILTER (score > 0) AS least, list_sort(list(score) FILTER (score > 0))[count(*) FILTER (score > 0) // 2 + 1] AS middle, max(score) FILTER (score > 0) AS most, round(count(*) FILTER (rules_authorised <> '' AND label = 'fraud') / nullif(count(*) FILTER (rules_authorised <> ''), 0), 6) AS precision FROM x JOIN tx ON txn_id = subject GROUP BY 1, 2")
 def backtest_many(spark, sf_dir):
     """Candidate rule sets side by side on one ledger: how many would fire, alert and carry an action, the spread of scores, precision."""
-    rows = _scenario_ledger(spark, sf_dir)
-    d = rules.decide(rules.rule_scores(rows), rules.consolidate(rows), BANDS).select("subject.*", "score", "band", "source_rule", "rules_fired", "rules_authorised")
-    d = d.join(transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "label"), "subject")
+    d = _scenarios(spark, sf_dir, lambda x: x.decisions(BANDS, "label"))
     alert, positive, by = _c("rules_authorised") != "", F.when(_c("score") > 0, _c("score")), ["scenario", "band"]
     ladder = d.filter("score > 0").groupBy(*by, "score").agg(F.count("*").alias("c"))  # a row for each distinct score
     mine = Window.partitionBy(*by)
@@ -71,7 +66,7 @@ def backtest_many(spark, sf_dir):
 @query("backtest_conditions", _scenario_sql("l") + " SELECT scenario, rule_id, condition_id, count(*) AS visited, count(*) FILTER (fired) AS n_fired, sum(contributed)::BIGINT AS points, round(count(*) FILTER (fired AND label = 'fraud') / nullif(count(*) FILTER (fired), 0), 6) AS on_fraud FROM x JOIN tx ON txn_id = subject GROUP BY 1, 2, 3")
 def backtest_conditions(spark, sf_dir):
     """The candidates' conditions: how often each fires, what it takes, and how often on fraud."""
-    rows = _scenario_ledger(spark, sf_dir).select("subject.*", "rule_id", "condition_id", "fired", "contributed").join(transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "label"), "subject")
+    rows = _scenarios(spark, sf_dir, lambda x: x.ledger("label"))
     n = F.count_if("fired")
     return rows.groupBy("scenario", "rule_id", "condition_id").agg(F.count("*").alias("visited"), n.alias("n_fired"), F.sum("contributed").alias("points"), F.round(F.count_if(_c("fired") & (_c("label") == "fraud")) / F.when(n > 0, n), 6).alias("on_fraud"))
 
@@ -109,15 +104,13 @@ def hypothetical_scores(spark, sf_dir):
 def rescore_subjects(spark, sf_dir):
     """The subjects whose stored decision has authority, scored again: only their accounts' histories are read into windows."""
     asked = decided(spark, sf_dir).filter("source_rule is not null").select(_c("id").alias("subject"))
-    rows = rules.ledger(_values(spark, sf_dir, asked), spark.createDataFrame(CONDITIONS, CONDITION_SCHEMA), spark.createDataFrame(RULES, RULE_SCHEMA))
-    return rules.decide(rules.rule_scores(rows), rules.consolidate(rows), BANDS).select("subject", "score", "band", "action", "source_rule")
+    return sheet(spark, sf_dir, of=facts(spark, sf_dir, asked)).decisions(BANDS).select("subject", "score", "band", "action", "source_rule")
 
 
 @query("rescore_all", _DECIDE + " SELECT subject, score, band, action, (SELECT max(t) FROM tx) AS as_of FROM d")
 def rescore_all(spark, sf_dir):
     """A full rescore as of the later of a reference instant and the newest event."""
     reference = 1704067200000000
-    rows = _rows(spark, sf_dir)
-    d = rules.decide(rules.rule_scores(rows), rules.consolidate(rows), BANDS)
+    d = sheet(spark, sf_dir).decisions(BANDS)
     frontier = transactions(spark, sf_dir).agg(F.greatest(F.lit(reference), F.max("t")).alias("as_of"))  # one row
     return d.select("subject", "score", "band", "action").crossJoin(F.broadcast(frontier))

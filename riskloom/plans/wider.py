@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import micros, trailing
-from ..operators import reducers, routes, rules
+from ..operators import reducers, routes
 from ..sources.tables import entity_links, transactions
 from .kpi import BASE, _case_base
-from .queries import _DECIDE, _LEDGER, CONDITIONS, DAY, LINKS, RULES, TX, WEEK, _literal, _rows, _store, decided, decisions, graph_fanout, ledger_rows, query
+from .queries import _DECIDE, _LEDGER, BANDS, CONDITIONS, DAY, LINKS, RULES, TX, WEEK, _literal, _store, decided, graph_fanout, ledger_rows, query, sheet
 
 _c = F.col
 
@@ -76,7 +76,7 @@ def _as_ctes(sql: str, last: str, name: str) -> str:
 def shadow_ledger(spark, sf_dir):
     """Fired conditions of live and shadow rules; those of shadow rules contribute nothing."""
     shadow = _c("rule_id").isin("S1", "S2")
-    return _rows(spark, sf_dir, SHADOW_RULES, SHADOW_CONDITIONS).filter("fired").select("subject", "rule_id", "condition_id", "fired", F.when(shadow, 0).otherwise(_c("contributed")).alias("contributed"))
+    return sheet(spark, sf_dir, SHADOW_RULES, SHADOW_CONDITIONS).ledger().filter("fired").select("subject", "rule_id", "condition_id", "fired", F.when(shadow, 0).otherwise(_c("contributed")).alias("contributed"))
 
 
 CANDIDATE = [r if r[0] != "R2" else ("R2", "alert", 2, False, False, 35, 999) for r in RULES]
@@ -86,9 +86,9 @@ _SWAPPED = _DECIDE.replace(_literal(RULES), _literal(CANDIDATE))
 @query("backtest", f"WITH {_as_ctes(_SWAPPED, 'd', 'cand')}, {TX} SELECT band, count(*) AS n, count(*) FILTER (contains(rules_fired, 'R2')) AS fired, count(*) FILTER (contains(rules_authorised, 'R2')) AS authorised, count(*) FILTER (source_rule = 'R2') AS carried, min(score) FILTER (score > 0) AS least, quantile_disc(CASE WHEN score > 0 THEN score END, 0.5) AS middle, max(score) FILTER (score > 0) AS most, round(count(*) FILTER (source_rule = 'R2' AND label = 'fraud') / nullif(count(*) FILTER (source_rule = 'R2'), 0), 6) AS precision FROM cand JOIN tx ON txn_id = subject GROUP BY 1".replace("quantile_disc(CASE WHEN score > 0 THEN score END, 0.5)", "list_sort(list(score) FILTER (score > 0))[count(*) FILTER (score > 0) // 2 + 1]"))
 def backtest(spark, sf_dir):
     """A candidate in place of a rule, all subjects scored again, nothing written: counts by band, and the upper median of scores."""
-    d = decisions(spark, sf_dir, CANDIDATE).join(transactions(spark, sf_dir).select(_c("txn_id").alias("subject"), "label"), "subject")
+    d = sheet(spark, sf_dir, CANDIDATE).decisions(BANDS, "label")
     mine, positive = _c("source_rule") == "R2", F.when(_c("score") > 0, _c("score"))
-    ranked = d.filter("score > 0").withColumn("r", F.row_number().over(Window.partitionBy("band", "score").orderBy("subject"))).groupBy("band", "score").agg(F.count("*").alias("n"))
+    ranked = d.filter("score > 0").groupBy("band", "score").agg(F.count("*").alias("n"))
     upto = ranked.withColumn("cum", F.sum("n").over(Window.partitionBy("band").orderBy("score"))).withColumn("all", F.sum("n").over(Window.partitionBy("band")))  # one row per distinct score
     middle = upto.filter("cum > floor(`all` / 2)").groupBy("band").agg(F.min("score").alias("middle"))
     n = F.count_if(mine)
@@ -100,10 +100,9 @@ def backtest(spark, sf_dir):
 def rule_trace(spark, sf_dir):
     """One line for each decision: its rules with score, threshold and state."""
     said = lambda c, text: F.when(c, F.lit(text)).otherwise("")
-    veto = F.when(_c("is_veto"), F.concat(F.lit(" veto "), F.when(_c("veto").isNull(), "unknown").when(_c("veto"), "established").otherwise("no"))).otherwise("")
-    line = F.concat(_c("rule_id"), F.lit(":"), _c("score").cast("int").cast("string"), F.lit("/"), _c("review").cast("string"), said(_c("satisfied"), " satisfied"), said(_c("authorised"), " authorised"), veto)
-    x = rules.rule_scores(_rows(spark, sf_dir)).groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("rule_id", line.alias("line")))).alias("x"))
-    return x.select("subject", F.array_join("x.line", "; ").alias("trace"))
+    veto = lambda r: F.when(r["is_veto"], F.concat(F.lit(" veto "), F.when(r["veto"].isNull(), "unknown").when(r["veto"], "established").otherwise("no"))).otherwise("")
+    line = lambda r: F.concat(r["rule_id"], F.lit(":"), r["score"].cast("int").cast("string"), F.lit("/"), r["review"].cast("string"), said(r["satisfied"], " satisfied"), said(r["authorised"], " authorised"), veto(r))
+    return sheet(spark, sf_dir).by_rule().select("subject", F.array_join(F.transform("rules", line), "; ").alias("trace"))
 
 
 _REPORT = ", ob AS (SELECT l.*, label = 'fraud' AS is_fraud, vd.disposition FROM l JOIN tx ON txn_id = l.subject LEFT JOIN routed ON id = l.subject LEFT JOIN vd ON vd.alert_id = case_id), ag AS (SELECT rule_id, condition_id, any_value(points) AS points, count(*) AS evaluated, count(*) FILTER (fired) AS n_fired, count(*) FILTER (fired AND is_fraud) AS on_fraud, count(*) FILTER (fired AND disposition IS NOT NULL) AS on_cases, count(*) FILTER (fired AND disposition = 'confirmed_fraud') AS confirmed FROM ob GROUP BY 1, 2), sc AS (SELECT *, round(100.0 * n_fired / evaluated, 2) AS fire_rate_pct, CASE WHEN n_fired > 0 THEN round(100.0 * CASE WHEN points >= 0 THEN on_fraud ELSE n_fired - on_fraud END / n_fired, 2) END AS precision_pct, CASE WHEN on_cases > 0 THEN round(100.0 * confirmed / on_cases, 2) END AS case_precision_pct FROM ag)"
