@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.windows import micros, trailing
 from ..operators import reducers, rules
 from ..sources.tables import transactions
 from .queries import _DECIDE, _LEDGER, BANDS, CONDITION_SCHEMA, CONDITIONS, RULE_SCHEMA, RULES, TX, WEEK, _literal, decided, facts, query, sheet, stored
-from .wider import _as_ctes
+from .wider import _as_ctes, off_ladder
 
 _c = F.col
 
@@ -54,13 +54,9 @@ def _scenarios(spark, sf_dir, rows) -> DataFrame:
 def backtest_many(spark, sf_dir):
     """Candidate rule sets side by side on one ledger: how many would fire, alert and carry an action, the spread of scores, precision."""
     d = _scenarios(spark, sf_dir, lambda x: x.decisions(BANDS, "label"))
-    alert, positive, by = _c("rules_authorised") != "", F.when(_c("score") > 0, _c("score")), ["scenario", "band"]
-    ladder = d.filter("score > 0").groupBy(*by, "score").agg(F.count("*").alias("c"))  # a row for each distinct score
-    mine = Window.partitionBy(*by)
-    middle = ladder.withColumns({"upto": F.sum("c").over(mine.orderBy("score")), "total": F.sum("c").over(mine)}).filter("upto > floor(total / 2)").groupBy(*by).agg(F.min("score").alias("middle"))
-    n = F.count_if(alert)
-    out = d.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(_c("rules_fired") != "").alias("would_fire"), n.alias("would_alert"), F.count_if(_c("source_rule").isNotNull()).alias("would_carry"), F.min(positive).alias("least"), F.max(positive).alias("most"), F.round(F.count_if(alert & (_c("label") == "fraud")) / F.when(n > 0, n), 6).alias("precision"))
-    return out.join(middle, by, "left")
+    alert, by = _c("rules_authorised") != "", ["scenario", "band"]
+    ladder = d.groupBy(*by, "score").agg(F.count("*").alias("n"), F.count_if(_c("rules_fired") != "").alias("would_fire"), F.count_if(alert).alias("would_alert"), F.count_if(_c("source_rule").isNotNull()).alias("would_carry"), F.count_if(alert & (_c("label") == "fraud")).alias("right"))
+    return off_ladder(ladder, by, ["n", "would_fire", "would_alert", "would_carry"], F.round(F.sum("right") / F.when(F.sum("would_alert") > 0, F.sum("would_alert")), 6).alias("precision"))
 
 
 @query("backtest_conditions", _scenario_sql("l") + " SELECT scenario, rule_id, condition_id, count(*) AS visited, count(*) FILTER (fired) AS n_fired, sum(contributed)::BIGINT AS points, round(count(*) FILTER (fired AND label = 'fraud') / nullif(count(*) FILTER (fired), 0), 6) AS on_fraud FROM x JOIN tx ON txn_id = subject GROUP BY 1, 2, 3")

@@ -87,13 +87,19 @@ _SWAPPED = _DECIDE.replace(_literal(RULES), _literal(CANDIDATE))
 def backtest(spark, sf_dir):
     """A candidate in place of a rule, all subjects scored again, nothing written: counts by band, and the upper median of scores."""
     d = sheet(spark, sf_dir, CANDIDATE).decisions(BANDS, "label")
-    mine, positive = _c("source_rule") == "R2", F.when(_c("score") > 0, _c("score"))
-    ranked = d.filter("score > 0").groupBy("band", "score").agg(F.count("*").alias("n"))
-    upto = ranked.withColumn("cum", F.sum("n").over(Window.partitionBy("band").orderBy("score"))).withColumn("all", F.sum("n").over(Window.partitionBy("band")))  # one row per distinct score
-    middle = upto.filter("cum > floor(`all` / 2)").groupBy("band").agg(F.min("score").alias("middle"))
-    n = F.count_if(mine)
-    by = d.groupBy("band").agg(F.count("*").alias("n"), F.count_if(_c("rules_fired").contains("R2")).alias("fired"), F.count_if(_c("rules_authorised").contains("R2")).alias("authorised"), n.alias("carried"), F.min(positive).alias("least"), F.max(positive).alias("most"), F.round(F.count_if(mine & (_c("label") == "fraud")) / F.when(n > 0, n), 6).alias("precision"))
-    return by.join(middle, "band", "left")
+    mine = _c("source_rule") == "R2"
+    ladder = d.groupBy("band", "score").agg(F.count("*").alias("n"), F.count_if(_c("rules_fired").contains("R2")).alias("fired"), F.count_if(_c("rules_authorised").contains("R2")).alias("authorised"), F.count_if(mine).alias("carried"), F.count_if(mine & (_c("label") == "fraud")).alias("right"))
+    return off_ladder(ladder, ["band"], ["n", "fired", "authorised", "carried"], F.round(F.sum("right") / F.when(F.sum("carried") > 0, F.sum("carried")), 6).alias("precision"))
+
+
+def off_ladder(ladder, by: list[str], counts: list[str], *more):
+    """Counts by group, and the least, the upper median and the most of its positive scores, from a row for each distinct score with counts:
+    the decisions are gone through once."""
+    mine, positive = Window.partitionBy(*by), _c("score") > 0
+    c = F.when(positive, _c("n")).otherwise(0)
+    x = ladder.withColumns({"upto": F.sum(c).over(mine.orderBy("score")), "total": F.sum(c).over(mine)})
+    least = lambda when: F.min(F.when(when, _c("score")))
+    return x.groupBy(*by).agg(*(F.sum(n).alias(n) for n in counts), least(positive).alias("least"), least(positive & (_c("upto") > F.floor(_c("total") / 2))).alias("middle"), F.max(F.when(positive, _c("score"))).alias("most"), *more)
 
 
 @query("rule_trace", _DECIDE + " SELECT subject, string_agg(concat(rule_id, ':', CAST(score AS INTEGER), '/', review, CASE WHEN satisfied THEN ' satisfied' ELSE '' END, CASE WHEN authorised THEN ' authorised' ELSE '' END, CASE WHEN is_veto THEN concat(' veto ', CASE WHEN veto IS NULL THEN 'unknown' WHEN veto THEN 'established' ELSE 'no' END) ELSE '' END), '; ' ORDER BY rule_id) AS trace FROM sa GROUP BY 1")
