@@ -96,12 +96,12 @@ class LedgerLog(Log):
 
     def append(self, number: int, rows: DataFrame) -> None:
         """rows have a column t, the decision's instant. Of rows with one key inside the batch, one stays."""
-        rows = rows.withColumn("day", F.floor(F.col("t") / DAY)).dropDuplicates(self.key)
-        span = rows.agg(F.min("day"), F.max("day")).first()
+        rows = rows.withColumn("day", F.floor(F.col("t") / DAY))
+        span = rows.agg(F.min("day"), F.max("day")).first()  # repeated rows don't change it, so nothing is moved for it
         if span[0] is None:
             return
         before = self.read().filter((F.col("batch") != number) & F.col("day").between(span[0], span[1]))
-        super().append(number, rows.join(before.select(*self.key), self.key, "left_anti"))
+        super().append(number, rows.dropDuplicates(self.key).join(before.select(*self.key), self.key, "left_anti"))
 
 
 # ---------------------------------------------------------------- tables that reports share
