@@ -98,38 +98,47 @@ def affected(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
 
 
 ROUTED = "id long, routing string, case_id long"
+_EVENT = ["t", "is_verdict", "id", "subject", "key", "score"]
 
 
-def route_stream(events: DataFrame, open_window: int) -> DataFrame:
+def route_stream(events: DataFrame, open_window: int, buckets: int = 4096) -> DataFrame:
     """Case routing with keyed state over decisions and verdicts of one stream: (subject, id, key, t, score, is_verdict, at). A verdict's id
     is that of its case; from its instant on the case no longer suppresses. `at` is t as a timestamp with a watermark.
 
-    State of a subject: its cases of the window, with what closed them. It goes when the watermark has passed the newest case's window. As
-    batches come in order of time, and within a batch a subject's rows are put in order, a verdict before a decision of its instant, this
-    gives what the batch form gives. A verdict on a case that isn't there changes nothing."""
+    The key of the state is a bucket of subjects, by hash: a call has a fixed cost of milliseconds, which a subject's few rows in a batch
+    don't pay for. A task holds a batch's rows of one bucket. State: the cases of the window by subject, with what closed them. Cases go when
+    the watermark has passed their window, and a bucket's state with its newest case. As batches come in order of time, and within a batch a
+    subject's rows are put in order, a verdict before a decision of its instant, this gives what the batch form gives. A verdict on a case
+    that isn't there changes nothing."""
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(parts)).sort_values(["t", "is_verdict", "id"], ascending=[True, False, True])
-        known = json.loads(state.get[0]) if state.exists else []
-        out = []
-        for r in rows.itertuples():
-            if r.is_verdict:
-                for c in known:
-                    if c[3] == r.id and c[4] is None:
-                        c[4] = int(r.t)
+        rows = sorted((r for p in parts for r in zip(*(p[c].tolist() for c in _EVENT), strict=True)), key=lambda r: (r[0], not r[1], r[2]))
+        known = dict(json.loads(state.get[0])) if state.exists else {}
+        ids, said, of = [], [], []
+        for t, is_verdict, i, subject, case_key, score in rows:
+            mine = known.get(subject, [])
+            if is_verdict:
+                for c in mine:
+                    if c[3] == i and c[4] is None:
+                        c[4] = t
                 continue
-            score = None if pd.isna(r.score) else int(r.score)
-            known, routing, case = cases.step(known, open_window, int(r.id), r.key, int(r.t), score)
-            out.append((int(r.id), routing, int(case)))
-        known = [c for c in known if c[1] + open_window >= int(rows["t"].iloc[-1])]
+            known[subject], routing, case = cases.step(mine, open_window, i, case_key, t, None if score is None or score != score else int(score))
+            ids.append(i)
+            said.append(routing)
+            of.append(case)
+        passed = state.getCurrentWatermarkMs()
+        known = {s: live for s, live in ((s, [c for c in mine if c[1] + open_window >= passed * 1000]) for s, mine in known.items()) if live}
         if known:
-            state.update((json.dumps(known),))
-            state.setTimeoutTimestamp(max((known[-1][1] + open_window) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            state.update((json.dumps(list(known.items())),))
+            newest = max(c[1] for mine in known.values() for c in mine)
+            state.setTimeoutTimestamp(max((newest + open_window) // 1000 + 1, passed + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["id", "routing", "case_id"])
+        if ids:
+            yield pd.DataFrame({"id": ids, "routing": said, "case_id": of})
 
-    return events.groupBy("subject").applyInPandasWithState(fold, ROUTED, "cases string", "append", GroupStateTimeout.EventTimeTimeout)
+    parted = events.withColumns({"subject": F.col("subject").cast("string"), "bucket": F.pmod(F.xxhash64("subject"), F.lit(buckets))})
+    return parted.groupBy("bucket").applyInPandasWithState(fold, ROUTED, "cases string", "append", GroupStateTimeout.EventTimeTimeout)

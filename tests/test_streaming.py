@@ -98,6 +98,32 @@ def test_routing_stream_with_verdicts(spark, tmp_path):
     assert {tuple(r) for r in spark.read.schema(stream.ROUTED).parquet(f"{out}/batch=*").collect()} == want
 
 
+def test_routing_stream_calls_grow_with_buckets_not_with_subjects(spark, tmp_path):
+    """Many subjects in few buckets, null subjects and subjects that differ beyond 2^53: a call for each bucket of a batch, rows as in batch."""
+    from pyspark.sql import functions as F
+
+    from riskloom.operators import cases
+
+    big = 2**60
+    rows = [(None if i % 41 == 0 else big + i % 200, i, "ab"[i % 2], (1000 + i // 4) * 1_000_000_000, i % 7 * 10) for i in range(1600)]
+    d = spark.createDataFrame(rows, "subject long, id long, key string, t long, score long")
+    v = d.filter("id % 3 = 0").select("subject", "id", (F.col("t") + 30_000_000_000).alias("t"))
+    want = {tuple(r) for r in cases.route(d.join(v.select("id", F.col("t").alias("closes_at")), "id", "left").withColumn("authorised", F.lit(True)), 90_000_000_000).collect()}
+    assert {r[1] for r in want} == {"raised", "restated", "folded", "suppressed"}
+    e = d.withColumn("is_verdict", F.lit(False)).unionByName(v.withColumns({"key": F.lit(None).cast("string"), "score": F.lit(None).cast("long"), "is_verdict": F.lit(True)}))
+    out, groups = str(tmp_path / "out"), []
+    read = lambda s: stream.route_stream(s["e"].withColumn("at", F.timestamp_micros("t")).withWatermark("at", "0 seconds"), 90_000_000_000, buckets=3)
+
+    def sink(b, n):
+        stream.by_batch(out)(b, n)
+        groups.append(max((o.numRowsTotal() for q in spark.streams.active for o in (q._jsq.lastProgress().stateOperators() if q._jsq.lastProgress() else [])), default=0))
+
+    stream.arrive([{"e": x} for x in stream.spans(e, "t", [1_120_000_000_000, 1_250_000_000_000])], read, sink)
+    got = [tuple(r) for r in spark.read.schema(stream.ROUTED).parquet(f"{out}/batch=*").collect()]
+    assert len(got) == 1600 and set(got) == want
+    assert max(groups) <= 3  # keys of the state
+
+
 def test_routing_failures_are_named(spark):
     routed = spark.createDataFrame([(1, "raised", 1), (2, "restated", 1), (3, "folded", 1), (4, "no_authority", None), (5, "no_authority", 1), (6, "raised", None), (7, "raised", 7), (8, "raised", 99), (9, "folded", 7), (10, "suppressed", 10)], "id long, routing string, case_id long").selectExpr("id", "id as t", "routing", "case_id")
     cases = spark.createDataFrame([(1, 2), (7, 3), (10, 10)], "case_id long, decision_id long")
