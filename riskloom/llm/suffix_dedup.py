@@ -16,6 +16,9 @@ one span around it.
    longer than that with a neighbour in that order; what a run shares with near neighbours is repeated for certain. Strings between
    the two bounds are counted by a 128-bit digest, with those strings of other runs that a membership filter lets through.
 
+Repeats of two lengths: a string of `length` bytes that is found again lies in a span of the shorter strings that are, in each of its places.
+So the shorter ones are looked for in all texts, and the longer ones in those spans alone, each taken as a text.
+
 Null text: no bytes. Matches never cross documents. Rows of equal id and text are two documents. Long texts are read in pieces of
 1 MB. Empty tables give empty results; further columns of any name are carried or left out, never read. Ties need no rule: all
 copies of a repeated string go. Strings counted in steps 1 and 3 are equal by 128-bit digest, all others by their bytes.
@@ -36,6 +39,7 @@ from .textops import mix, powers, prefix_hash, span_hash, text_bytes
 
 GRAM, SEGMENT = 64, 1 << 20
 GROUP = 1024
+PASSAGE = 200  # bytes: a repeated passage of more than 50 words has them, at four bytes a word, space included
 CHUNK = 2048  # runs sorted at once, or one group
 U = np.uint64
 LOW = U(0xFFFFFFFF)
@@ -106,26 +110,26 @@ def _distinct_runs(length: int):
     return run
 
 
-def _chosen(batch, length: int, wanted, hot, want_hot: bool):
-    """(k, g, q, piece, place of the piece, anchor, first and last start) of a batch's runs that are wanted, and whose anchor is hot or not."""
+def _chosen(batch, length: int, wanted):
+    """(k, g, q, piece, place of the piece, first and last start) of a batch's runs that are wanted."""
     data, offsets, _ = text_bytes(batch.column("text"))
     for k, lo, hi in zip(batch.column("k").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         for at, piece, g, q, s, e in runs(data[lo:hi], length):
-            pick = wanted.value.mask(_run_key(k, q + at))
-            if hot is not None:
-                pick &= hot.value.mask(g) == want_hot
-            pick = np.flatnonzero(pick)
+            pick = np.flatnonzero(wanted.value.mask(_run_key(k, q + at)))
             if len(pick):
                 yield k, g[pick], q[pick], piece, at, s[pick], e[pick]
 
 
-def _contexts(wanted, hot, want_hot: bool, length: int):
+def _contexts(wanted, hot, length: int):
+    """The wanted runs with their bytes, and whether their anchor is hot, in one pass over the texts."""
+
     def run(batches):
         for b in batches:
-            for k, g, q, piece, at, s, e in _chosen(b, length, wanted, hot, want_hot):
+            for k, g, q, piece, at, s, e in _chosen(b, length, wanted):
                 view = piece.tobytes()
                 text = [view[x:y] for x, y in zip(s.tolist(), (e + length).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), k)), pa.array(q + at), pa.array(q - s), pa.array(text, pa.binary())], ["g", "k", "q", "before", "text"])
+                crowded = np.zeros(len(g), bool) if hot is None else hot.value.mask(g)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), k)), pa.array(q + at), pa.array(q - s), pa.array(text, pa.binary()), pa.array(crowded)], ["g", "k", "q", "before", "text", "hot"])
 
     return run
 
@@ -383,17 +387,54 @@ def repeated_spans(texts: DataFrame, length: int, group: int = GROUP) -> DataFra
     wanted = key_filter(mixed, "r")
     crowded = anchors.filter(F.col("classes") > group)
     hot = None if crowded.isEmpty() else key_filter(crowded, "g")
-    schema = "g long, k long, q long, before long, text binary"
+    release(occ, classes, anchors, mixed)
     with small_batches(spark, 512):
-        found = texts.mapInArrow(_contexts(wanted, hot, False, length), schema)
-        spans.append(stash(found.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(length), SPANS), "suf-sorted"))
+        found = texts.mapInArrow(_contexts(wanted, hot, length), "g long, k long, q long, before long, text binary, hot boolean")
+        if hot is not None:
+            found = stash(found, "suf-found")
+        cool = found.filter("not hot").drop("hot").repartition("g").sortWithinPartitions("g")
+        spans.append(stash(cool.mapInArrow(_compare(length), SPANS), "suf-sorted"))
         if hot is not None:  # rows of equal id and text are of a class found twice already
-            spans += _crowded(stash(texts.mapInArrow(_contexts(wanted, hot, True, length), schema).dropDuplicates(["k", "q"]), "suf-hot"), length)
-    release(occ, classes, anchors, mixed)
+            crowd = stash(found.filter("hot").drop("hot").dropDuplicates(["k", "q"]), "suf-hot")
+            release(found)
+            spans += _crowded(crowd, length)
     every = spans[0]
     for x in spans[1:]:
         every = every.unionByName(x)
     out = stash(every.groupBy("k").agg(F.collect_list(F.struct("starts", "n")).alias("spans")), "suf-spans")
+    release(*(x for x in spans if hasattr(x, "_stash_path")))
+    return out
+
+
+def _pieces(length: int):
+    """Spans of at least `length` bytes of each text, as texts of their own: key, the document's key, place, bytes."""
+
+    def run(batches):
+        for b in batches:
+            data, offsets, _ = text_bytes(b.column("text"))
+            rows = []
+            for k, lo, hi, s in zip(b.column("k").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), b.column("spans").to_pylist(), strict=True):
+                view = data[lo:hi]
+                rows += [(k, x, view[x:y].tobytes()) for x, y in union_of(s) if y - x >= length]
+            k, at, text = zip(*rows, strict=True) if rows else ((), (), ())
+            k, at = np.array(k, np.int64), np.array(at, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(k.view(U) ^ mix(at.astype(U))).view(np.int64)), pa.array(k), pa.array(at), pa.array(text, pa.binary())], ["p", "k", "at", "text"])
+
+    return run
+
+
+def nested_spans(texts: DataFrame, length: int, passage: int, group: int = GROUP) -> DataFrame:
+    """(k, spans, passages): the repeated spans of `length` bytes and those of `passage` bytes, which are no longer."""
+    outer = repeated_spans(texts, passage, group)
+    if passage == length:
+        return outer.withColumn("passages", F.col("spans"))
+    with small_batches(texts.sparkSession, 512):
+        pieces = stash(texts.hint("merge").join(outer, "k").mapInArrow(_pieces(length), "p long, k long, at long, text binary"), "suf-pieces")
+    inner = repeated_spans(pieces.select(F.col("p").alias("k"), "text"), length, group).withColumnRenamed("k", "p")
+    placed = F.transform("spans", lambda s: F.struct(F.transform(s["starts"], lambda x: x + F.col("at")).alias("starts"), s["n"].alias("n")))
+    back = pieces.select("p", "k", "at").dropDuplicates(["p"]).hint("merge").join(inner, "p").groupBy("k").agg(F.flatten(F.collect_list(placed)).alias("spans"))
+    out = stash(outer.withColumnRenamed("spans", "passages").hint("merge").join(back, "k", "left").select("k", "spans", "passages"), "suf-nested")
+    release(outer, pieces)
     return out
 
 
@@ -412,27 +453,29 @@ def _kept(data: bytes, spans: list[list[int]]) -> bytes:
     return b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
 
 
-def _joined(docs: DataFrame, length: int, group: int) -> DataFrame:
-    """(row, spans): each row of docs as a struct, so that no name of its columns can clash."""
-    texts = docs.select(row_key("doc_id", "text").alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(texts, length, group)
-    return docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("k")).hint("merge").join(spans, "k", "left").select("row", "spans")
+def _joined(docs: DataFrame, find) -> DataFrame:
+    """(row, spans, ...): each row of docs as a struct, so that no name of its columns can clash, and what find gives for texts (k, text)."""
+    spans = find(docs.select(row_key("doc_id", "text").alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    return docs.select(F.struct(*docs.columns).alias("row"), row_key("doc_id", "text").alias("k")).hint("merge").join(spans, "k", "left").drop("k")
 
 
-def removal_digests(docs: DataFrame, length: int = 400, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, the digest of what is left, and its bytes."""
+def removal_digests(docs: DataFrame, length: int = 400, group: int = GROUP, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, the digest of what is left, and its bytes; and the bytes covered by strings of `passage` bytes,
+    or `length` if that is less, that are found again. Those are counted, not removed."""
+    passage = min(passage, length)
 
     def run(batches):
         for b in batches:
             rows = []
-            for t, s in zip(b.column("text"), b.column("spans"), strict=True):
+            for t, s, p in zip(b.column("text"), b.column("spans"), b.column("passages"), strict=True):
                 data, spans = (t.as_py() or "").encode(), union_of(s.as_py())
                 left = _kept(data, spans)
-                rows.append((len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), len(left)))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string(), pa.int64()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+                rows.append((len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), len(left), sum(y - x for x, y in union_of(p.as_py()))))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "passage_bytes"])
 
-    return _joined(docs.select("doc_id", "text"), length, group).select("row.doc_id", "row.text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long")
+    found = _joined(docs.select("doc_id", "text"), lambda texts: nested_spans(texts, length, passage, group))
+    return found.select("row.doc_id", "row.text", "spans", "passages").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long, passage_bytes long")
 
 
 def without_repeats(docs: DataFrame, length: int = 400, group: int = GROUP) -> DataFrame:
@@ -446,4 +489,4 @@ def without_repeats(docs: DataFrame, length: int = 400, group: int = GROUP) -> D
             own = {"text": pa.array(text, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in text], pa.int64())}
             yield pa.RecordBatch.from_arrays([own[c].cast(of[c].type) if c in own else of[c] for c in names], names)
 
-    return _joined(docs, length, group).mapInArrow(run, docs.schema)
+    return _joined(docs, lambda texts: repeated_spans(texts, length, group)).mapInArrow(run, docs.schema)

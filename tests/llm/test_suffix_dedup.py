@@ -83,3 +83,17 @@ def test_empty_and_columns(spark):
     assert out.filter("n_chars <> char_length(text)").count() == 0
     kept = {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect()}
     assert kept == {(r[0], r[4]) for r in brute([x for x in fixture()], 400)}  # no character of the fixture is cut through
+
+
+def test_passages_of_over_50_words_are_told(spark):
+    """Repeats too short to be removed are counted beside the removal, which stays that of `length` bytes."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(5))
+    own = lambda n: " ".join(word() for _ in range(n))
+    passage = own(51)
+    rows = [(i, f"{own(80)} {passage if i % 2 else own(51)} {own(80)}", "en", "s", 0, "x", "y") for i in range(20)] + fixture()
+    for group in (1024, 3):
+        out = suffix_dedup.removal_digests(spark.createDataFrame(rows, SCHEMA), group=group).collect()
+        assert sorted((tuple(r)[:5] for r in out), key=str) == brute(rows, 400)
+        assert sorted((r.doc_id or -1, r.n_bytes, r.passage_bytes) for r in out) == sorted((r[0] or -1, r[1], r[2]) for r in brute(rows, 200))
+    assert 200 < len(passage) < 400
